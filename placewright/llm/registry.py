@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import op01_decontamination, op04_simhash, op06_sharding, op08_mixing, op10_quality_rules
+from . import op01_decontamination, op04_simhash, op06_sharding, op07_chat, op08_mixing, op09_warc, op10_quality_rules
 
 QUERIES = {
     "op1_decontamination": op01_decontamination.op1_decontamination,
     "op4_simhash": op04_simhash.op4_simhash,
     "op6_sharding": op06_sharding.op6_sharding,
+    "op7_chat": op07_chat.op7_chat,
     "op8_mixing": op08_mixing.op8_mixing,
+    "op9_warc": op09_warc.op9_warc,
     "op10_quality_rules": op10_quality_rules.op10_quality_rules,
 }
 
 ORACLES = {
     "op1_decontamination": op01_decontamination.ORACLE,
+    "op7_chat": op07_chat.ORACLE,
     "op8_mixing": op08_mixing.ORACLE,
+    "op9_warc": op09_warc.ORACLE,
 }
