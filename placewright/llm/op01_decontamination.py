@@ -36,30 +36,49 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return starts.select("item", F.slice("words", F.col("at") + 1, F.col("width")).alias("gram"), "width").distinct()
 
 
+def hashes(keys: Column, n: Column, widths: list[int]) -> Column:
+    """Hashes of all windows of an array of word hashes, first those of the first width."""
+    none = F.array().cast("array<bigint>")
+
+    def of(w: int) -> Column:
+        return F.when(n >= w, F.transform(F.sequence(F.lit(0), n - w), lambda i: F.xxhash64(*[F.get(keys, i + k) for k in range(w)]))).otherwise(none)
+
+    each = [of(w) for w in widths]
+    return F.concat(F.array(F.lit(0).cast("bigint")), *each)
+
+
 def hits(docs: DataFrame, grams: DataFrame, widths: list[int], *keys: str) -> DataFrame:
     """For each occurrence of a gram keys, n_words, at, width and gram; and for each row of docs one with width 0.
 
-    docs: keys and text. Places are counted through all widths, one after the other; place 0 is an empty window, which
-    the empty gram meets, so documents without hits are reported in the same pass. Windows are hashed and looked up
-    within one generated loop over the places; neither the words nor the windows are copied before a hit.
+    docs: keys and text. Before the hashes stands a zero, which a row of the broadcast table always meets, so documents
+    without hits are reported in the same pass. The table is looked up by the hash alone and words are compared only then.
     """
     listed = docs.withColumn("_words", alnum_words(F.col("text"))).drop("text").withColumn("n_words", F.size("_words"))
-    n, i = F.col("n_words"), F.col("_i")
-    width, at, start = F.when(i == 0, F.lit(0)), F.when(i == 0, F.lit(0)), F.lit(1)
+    listed = listed.withColumn("_keys", F.transform("_words", lambda w: F.xxhash64(w)))
+    # The outer form, as the optimizer would put a filter on the array below the steps that make it and so make it anew for each element.
+    listed = listed.withColumn("_hashes", hashes(F.col("_keys"), F.col("n_words"), widths))
+    rows = listed.select(*keys, "n_words", "_words", F.posexplode_outer("_hashes").alias("_i", "_h"))
+    known = _keyed_grams(grams, widths)
+    #: Where the windows of a width start in the list.
+    offset, start = F.when(F.col("width") == 0, F.lit(0)), F.lit(1)
+    for w in widths:
+        offset, start = offset.when(F.col("width") == w, start), start + F.greatest(F.lit(0), F.col("n_words") - w + 1)
+    at = F.col("_i") - offset
+    inside = (at >= 0) & (at + F.col("width") <= F.col("n_words"))
+    words = F.slice("_words", F.greatest(at, F.lit(0)) + 1, F.col("width"))
+    #: coalesce keeps the comparison of words from becoming a key of the join.
+    same = F.coalesce(F.when(F.col("width") == 0, F.col("_i") == 0).otherwise((F.col("_i") > 0) & inside & (words == F.col("gram"))), F.lit(False))
+    joined = rows.join(F.broadcast(known), (F.col("_h") == F.col("_key")) & same)
+    return joined.select(*keys, "n_words", at.alias("at"), "width", F.array_join("gram", " ").alias("gram"))
+
+
+def _keyed_grams(grams: DataFrame, widths: list[int]) -> DataFrame:
+    """_key, gram and width; and one row of width 0 with the key 0."""
+    key = F.lit(0).cast("bigint")
     for w in widths:
-        end = start + F.greatest(F.lit(0), n - w + 1)
-        width, at, start = width.when(i < end, F.lit(w)), at.when(i < end, i - start), end
-    rows = listed.select(*keys, "n_words", "_words", F.explode(F.sequence(F.lit(0), start - 1)).alias("_i"))
-    rows = rows.withColumn("width", width).withColumn("at", at)
-    words = [F.when(F.col("width") > k, F.get("_words", F.col("at") + k)) for k in range(WIDTH)]
-    empty = grams.sparkSession.sql("SELECT CAST(array() AS ARRAY<STRING>) AS gram, 0 AS width")
-    known = grams.select("gram", "width").unionByName(empty).withColumnRenamed("width", "_width")
-    known = known.withColumn("_key", F.xxhash64(*[F.get("gram", k) for k in range(WIDTH)]))
-    same = F.col("width") == F.col("_width")
-    for k, word in enumerate(words):
-        same = same & word.eqNullSafe(F.get("gram", k))
-    joined = rows.join(F.broadcast(known), (F.xxhash64(*words) == F.col("_key")) & same)
-    return joined.select(*keys, "n_words", "at", "width", F.array_join("gram", " ").alias("gram"))
+        key = F.when(F.col("width") == w, F.xxhash64(*[F.xxhash64(F.get("gram", k)) for k in range(w)])).otherwise(key)
+    empty = grams.sparkSession.sql("SELECT 0L AS _key, CAST(array() AS ARRAY<STRING>) AS gram, 0 AS width")
+    return grams.select(key.alias("_key"), "gram", "width").unionByName(empty)
 
 
 def covered(spans: Column) -> Column:
