@@ -9,6 +9,9 @@ emits variants of itself, fingerprints that share a variant collide, and the col
   one-bit variants of even ones, which differ from them in 1 or 3 bits (these have the other parity). Of 3 differing bits
   two always lie in the same half, so only pairs within a half are flipped: 992 instead of 2016.
 
+Variants with two flipped bits are dealt by their other half, which is as it was: the fingerprint travels once a half and its
+variants are made where they are met, so little is shuffled and it doesn't depend on how well variants compress.
+
 A variant belongs to 64 + 993 fingerprints at most, so no group on a variant is large, whatever the texts are. Edges go
 to one representative a variant: their number grows with the emitted variants, never with the square of a group.
 Components come from alternating large and small stars, whose rounds are written to the shared folder.
@@ -72,24 +75,59 @@ def _signed(x: int) -> int:
 
 
 ONE = [_signed(1 << i) for i in range(64)]
-TWO = [_signed(1 << i | 1 << j) for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)]
+#: The bits of each half; for each half nothing, one bit and two bits of it flipped.
+HALF = [_signed(0xFFFFFFFF), _signed(0xFFFFFFFF << 32)]
+ONES = [[_signed(1 << i) for i in range(h, h + 32)] for h in (0, 32)]
+TWOS = [[_signed(1 << i | 1 << j) for i in range(h, h + 32) for j in range(i + 1, h + 32)] for h in (0, 32)]
+
 
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("bigint") for v in values])
 
-def _variants(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    flipped = nodes.select("fp", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("_mask"))
-    return flipped.select("fp", F.col("fp").bitwiseXOR(F.col("_mask")).alias("variant"))
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(fp, rep): an odd fingerprint with the smallest even one at each variant that both emit.
+
+    A route is a half that may be flipped and the value of the other half. Even fingerprints go to the routes of themselves
+    and of their variants in the other half, 33 for each half; odd ones to their own two. On a route an even one makes its
+    variants with one bit of the half flipped (or, if a bit of the other half is, just that variant), an odd one those with
+    two bits of the half flipped, and itself.
+    """
+    spark = nodes.sparkSession
+    even = F.bit_count("fp") % 2 == 0
+    routed = [(nodes.where(even).select("fp", F.lit(h).alias("half"), F.explode(_longs([0, *ONES[1 - h]])).alias("flip")), nodes.where(~even).select("fp", F.lit(h).alias("half"))) for h in (0, 1)]
+    rest = F.when(F.col("half") == 0, F.lit(HALF[1]).cast("bigint")).otherwise(F.lit(HALF[0]).cast("bigint"))
+    evens = routed[0][0].unionByName(routed[1][0]).withColumn("base", F.col("fp").bitwiseXOR(F.col("flip")))
+    evens = evens.select("half", F.col("base").bitwiseAND(rest).alias("route"), "fp", "flip")
+    odds = routed[0][1].unionByName(routed[1][1]).select("half", F.col("fp").bitwiseAND(rest).alias("route"), "fp")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_half = lambda masks: F.when(F.col("half") == 0, _longs(masks[0])).otherwise(_longs(masks[1]))
+    own = F.when(F.col("flip") == 0, of_half(ONES)).otherwise(_longs([0]))
+    evens = evens.repartition(tasks, "half", "route").select("half", "route", "fp", F.explode(own).alias("_mask"), "flip")
+    evens = evens.select("half", "route", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseXOR(F.col("_mask")).alias("variant"), "fp")
+    reps = evens.groupBy("half", "route", "variant").agg(F.min("fp").alias("rep")).withColumnRenamed("half", "_half").withColumnRenamed("route", "_route").withColumnRenamed("variant", "_variant")
+    odds = odds.repartition(tasks, "half", "route").select("half", "route", "fp", F.explode(of_half([[0, *TWOS[0]], [0, *TWOS[1]]])).alias("_mask"))
+    odds = odds.select("half", "route", F.col("fp").bitwiseXOR(F.col("_mask")).alias("variant"), "fp")
+    on = (F.col("half") == F.col("_half")) & (F.col("route") == F.col("_route")) & (F.col("variant") == F.col("_variant"))
+    return odds.join(reps.hint("shuffle_hash"), on).select("fp", "rep")
+
+
+def _in_place(met: DataFrame) -> DataFrame:
+    """met, written while joins may use a partitioning by some of their keys: the variants of a route are together already."""
+    conf, name = met.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return settled(met, "met")
+    finally:
+        conf.set(name, before)
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, that connect all fingerprints of the column fp within RADIUS bits of one another."""
-    even = F.bit_count("fp") % 2 == 0
-    single = _variants(nodes, ONE)
-    smallest = single.groupBy("variant").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("n"))
-    smallest = settled(smallest, "variants")
-    shared = smallest.where("n > 1").select("variant", "rep")
-    pairs = single.join(shared, "variant").select("fp", "rep")
-    met = smallest.where(F.bit_count("rep") % 2 == 0).select("variant", "rep")
-    pairs = pairs.unionByName(_variants(nodes.where(~even), [0, *TWO]).join(met.hint("shuffle_hash"), "variant").select("fp", "rep"))
+    single = nodes.select("fp", F.explode(_longs(ONE)).alias("_mask")).select("fp", F.col("fp").bitwiseXOR(F.col("_mask")).alias("variant"))
+    shared = single.groupBy("variant").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("variant", "rep")
+    pairs = single.join(settled(shared, "shared"), "variant").select("fp", "rep").unionByName(_in_place(_met(nodes)))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("rep"))).between(1, RADIUS)
     return pairs.where(near).select(F.greatest("fp", "rep").alias("a"), F.least("fp", "rep").alias("b")).distinct()
 
