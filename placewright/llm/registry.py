@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op01_decontamination, op03_licenses, op04_simhash, op06_sharding, op07_chat, op08_mixing, op09_warc, op10_quality_rules
+from . import op01_decontamination, op02_pii, op03_licenses, op04_simhash, op05_quality_mil, op06_sharding, op07_chat, op08_mixing, op09_warc, op10_quality_rules
 
 QUERIES = {
     "op1_decontamination": op01_decontamination.op1_decontamination,
+    "op2_pii": op02_pii.op2_pii,
     "op3_licenses": op03_licenses.op3_licenses,
     "op4_simhash": op04_simhash.op4_simhash,
+    "op5_quality_mil": op05_quality_mil.op5_quality_mil,
     "op6_sharding": op06_sharding.op6_sharding,
     "op7_chat": op07_chat.op7_chat,
     "op8_mixing": op08_mixing.op8_mixing,
