@@ -1,4 +1,7 @@
-"""Registered queries of the geoparsing engine."""
+"""Registered queries of the geoparsing engine, and the SQL that each can be held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import basics, flows, spatial  # noqa: F401
+from .flows import flagship  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
