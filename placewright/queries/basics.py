@@ -205,7 +205,7 @@ def name_or_alias(place, alias, wikipedia):
 
 
 @query("j05_order_rank", "v_place", "v_feature", "v_featureplace", sql="""WITH r AS (SELECT order_id, country_code, dense_rank() OVER (PARTITION BY order_id ORDER BY count(*) DESC) - 1 AS rank FROM v_featureplace fp JOIN v_feature f ON fp.feature_id = f.id JOIN v_place p ON p.id = fp.place_id WHERE correct GROUP BY 1, 2)
- SELECT p.id AS place_id, r.rank AS ccrank FROM v_place p LEFT JOIN r ON r.country_code = p.country_code AND r.order_id = 7 WHERE p.name = 'red plate'""")
+ SELECT p.id AS place_id, CAST(r.rank AS INT) AS ccrank FROM v_place p LEFT JOIN r ON r.country_code = p.country_code AND r.order_id = 7 WHERE p.name = 'red plate'""")
 def order_rank(place, feature, featureplace):
     """The rank of a candidate's country in an order, joined instead of looked up row by row."""
     linked = featureplace.where("correct").join(feature.select(F.col("id").alias("feature_id"), "order_id"), "feature_id").join(place.select(F.col("id").alias("place_id"), "country_code"), "place_id")

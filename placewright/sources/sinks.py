@@ -72,7 +72,7 @@ def collection(features: list[str]) -> str:
 
 def xy(links: DataFrame) -> DataFrame:
     """The pair of the first feature as JSON, one row, or null."""
-    return links.agg(F.min_by(F.struct("lon", "lat"), "feature_id").alias("p")).select(F.coalesce(F.to_json(F.array("p.lon", "p.lat")), F.lit("null")).alias("xy"))
+    return links.agg(F.min_by(F.struct("lon", "lat"), "feature_id").alias("p")).select(F.when(F.col("p").isNull(), "null").otherwise(F.to_json(F.array("p.lon", "p.lat"))).alias("xy"))
 
 
 def shape_parts(links: DataFrame) -> DataFrame:
