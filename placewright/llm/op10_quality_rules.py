@@ -21,19 +21,21 @@ from pyspark.sql import functions as F
 
 from .common import fence, plain_words, settled, table, without
 
-RISK = 0.03
+RISK = 0.05
 LEVEL = 0.05
 #: Tables of cutoffs up to so many strata are broadcast; larger ones are joined by shuffle.
 BROADCAST_STRATA = 50_000
 #: Positions up to this fit beside a hash in one number; longer texts sort pairs instead.
 _SLOT = 20
 
+#: Computed in one pass over the text.
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Figures of a document and the ladder of cutoffs of each, from lax to strict: reject if the figure is above.
 LADDERS = {
     "symbols_a_word": [4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
     "dup_lines": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
     "repeats": [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
+    "capitals": [0.95, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15],
     "word_length": [40.0, 25.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0],
 }
 
@@ -47,6 +49,7 @@ def _figures(docs: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
     df = df.withColumn("n_symbols", F.regexp_count(content, F.lit(r"[#*$%&|<>]")).cast("long"))
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
+    df = df.withColumn("n_capitals", F.regexp_count(content, F.lit("[A-Z]")))
     df = df.withColumn("n_lines", (F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1).cast("long"))
 
     w, n = F.col("_words"), F.col("n_words").cast("int")
@@ -69,7 +72,7 @@ def _figures(docs: DataFrame, text: str) -> DataFrame:
     at = F.col("_at")
     spans = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
     df = df.withColumn("n_repeat_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_at")
-    return fence(df, *FIGURES, "n_lines")
+    return fence(df, *FIGURES, "n_lines", "n_capitals")
 
 
 def figures(docs: DataFrame, *keep: Column, text: str = "text") -> DataFrame:
@@ -79,7 +82,7 @@ def figures(docs: DataFrame, *keep: Column, text: str = "text") -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     some = F.greatest(F.col("n_words"), F.lit(1))
     df = df.withColumn("base_failed", failed).withColumn("symbols_a_word", F.col("n_symbols") / some).withColumn("dup_lines", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))
-    return df.withColumn("repeats", F.col("n_repeat_words") / some).withColumn("word_length", F.col("word_chars") / some).drop("n_lines")
+    return df.withColumn("repeats", F.col("n_repeat_words") / some).withColumn("word_length", F.col("word_chars") / some).withColumn("capitals", F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1))).drop("n_lines", "n_capitals")
 
 
 def binomial_tail(k: Column, n: Column, risk: float) -> Column:
