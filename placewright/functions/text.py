@@ -79,8 +79,9 @@ def prettify_topic(shown: Column) -> Column:
 
 
 def file_name(name: Column) -> Column:
-    """Marks that don't belong in file names become dashes, 1000 characters at most."""
-    return F.left(F.regexp_replace(name, r'[<>:"/\\|?*]', "-"), F.lit(1000))
+    """Marks and blanks become underscores, two of them (before blanks count) one; 1000 characters at most."""
+    marked = F.regexp_replace(name, r"""[/\\'".:]""", "_")
+    return F.left(F.replace(F.replace(marked, F.lit("__"), F.lit("_")), F.lit(" "), F.lit("_")), F.lit(1000))
 
 
 def fixed_url(url: Column) -> Column:
@@ -95,7 +96,7 @@ def extension(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
-#: Keywords of admin levels, looked for in this order.
+#: Fixed: keywords of admin levels, looked for in this order.
 LEVELS = {1: ["admin 1", "admin1", "adm1", "shabiya"], 2: ["admin 2", "admin2", "adm2"], 3: ["admin 3", "admin3", "adm3"], 4: ["admin 4", "admin4", "adm4"], 5: ["admin 5", "admin5", "adm5", "vill", "village", "hay"]}
 
 

@@ -116,14 +116,18 @@ def match_places(inputs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def match_countries(names: DataFrame, places: DataFrame) -> DataFrame:
-    """(input_id, place_id): by country code, else the only place with that prefix and level 0, else the only one with that prefix."""
+    """(input_id, place_id): by country code, else the only place with that prefix and level 0, else the only one with that prefix. Where a step finds several, none is taken."""
     p = places.select(F.col("id").alias("place_id"), F.col("name").alias("_name"), F.col("country_code").alias("_cc"), F.col("admin_level").alias("_level"))
-    by_code = names.join(p.where("_level = 0"), F.col("country_code") == F.col("_cc")).groupBy("input_id").agg(F.min("place_id").alias("code_id"))
-    #: Prefixes meet by their first four characters before they are compared in full.
-    near = names.where(F.length("name") >= 4).join(p, (F.substring("name", 1, 4) == F.substring("_name", 1, 4)) & F.col("_name").startswith(F.col("name")))
+    by_code = names.join(p.where("_level = 0"), F.col("country_code") == F.col("_cc")).groupBy("input_id").agg(F.min("place_id").alias("code_id"), F.count(F.lit(1)).alias("nc"))
+    #: Prefixes meet by their first four characters (short ones by the first) before they are compared in full.
+    starts = F.col("_name").startswith(F.col("name"))
+    near = names.where(F.length("name") >= 4).join(p, (F.substring("name", 1, 4) == F.substring("_name", 1, 4)) & starts)
+    near = near.unionByName(names.where(F.length("name") < 4).join(p, (F.substring("name", 1, 1) == F.substring("_name", 1, 1)) & starts))
     only = near.groupBy("input_id").agg(F.count_if(F.col("_level") == 0).alias("n0"), F.min(F.when(F.col("_level") == 0, F.col("place_id"))).alias("id0"), F.count(F.lit(1)).alias("n"), F.min("place_id").alias("id"))
     joined = names.select("input_id").join(by_code, "input_id", "left").join(only, "input_id", "left")
-    return joined.select("input_id", F.coalesce("code_id", F.when(F.col("n0") == 1, F.col("id0")), F.when(F.col("n") == 1, F.col("id"))).alias("place_id"))
+    return joined.select("input_id", 
+        F.when(F.col("nc") == 1, F.col("code_id")).when(F.coalesce("nc", F.lit(0)) > 1, None).when(F.col("n0") == 1, F.col("id0")).when(F.coalesce("n0", F.lit(0)) > 1, None).when(F.col("n") == 1, F.col("id")).alias("place_id"),
+    )
 
 
 def parents(places: DataFrame) -> DataFrame:

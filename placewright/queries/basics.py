@@ -80,7 +80,7 @@ def extension(pages):
     return pages.select("page_id", T.extension(F.col("url")).alias("extension"))
 
 
-@query("f07_file_name", "pages", sql=r"""SELECT page_id, left(regexp_replace(url, '[<>:"/\\|?*]', '-', 'g'), 1000) AS file FROM pages""")
+@query("f07_file_name", "pages", sql=r"""SELECT page_id, left(replace(replace(regexp_replace(url, '[/\\''".:]', '_', 'g'), '__', '_'), ' ', '_'), 1000) AS file FROM pages""")
 def file_name(pages):
     return pages.select("page_id", T.file_name(F.col("url")).alias("file"))
 

@@ -200,13 +200,13 @@ def shapes(spark: SparkSession, path: str) -> DataFrame:
     return pairs.mapInPandas(run, out)
 
 
-#: Fixed: providers without a usable base map.
-NO_BASEMAP = {"HERE", "MapBox", "OpenWeatherMap", "Thunderforest", "NASAGIBS"}
+#: Fixed: providers that are left out.
+NO_BASEMAP = {"CartoDB", "Esri", "HERE", "MapBox", "Thunderforest"}
 
 
 def basemaps(spark: SparkSession, providers: dict[str, list[str]]) -> DataFrame:
-    """Names of base maps: provider or provider.variant, and Blank."""
-    names = ["Blank"] + [f"{k}.{v}" if v else k for k, vs in providers.items() if k not in NO_BASEMAP for v in (vs or [""])]
+    """Names of base maps: provider.variant, and Blank; providers without variants have none."""
+    names = ["Blank"] + [f"{k}.{v}" for k, vs in providers.items() if k not in NO_BASEMAP for v in vs]
     return spark.createDataFrame([(n,) for n in names], "name string").dropDuplicates(["name"])
 
 

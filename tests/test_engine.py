@@ -116,7 +116,7 @@ def test_readers(spark, tmp_path):
     assert [(x.country, x.geonameid) for x in r] == [("Andorra", 3041565)]
     (tmp_path / "p.tsv").write_text("id\tname\n" + "")
     assert files.metadata_entries(spark.createDataFrame([(1, {"a": "b"})], "id long, fields map<string,string>")).first().value == "b"
-    assert files.basemaps(spark, {"OSM": ["Mapnik", "DE"], "Stamen": [], "MapBox": ["x"]}).count() == 4
+    assert files.basemaps(spark, {"OSM": ["Mapnik", "DE"], "Stamen": [], "MapBox": ["x"]}).count() == 3
 
 
 def test_documents(spark, tmp_path):
