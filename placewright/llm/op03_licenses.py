@@ -77,11 +77,10 @@ def label(found: DataFrame, *keys: str) -> DataFrame:
     """keys, label, share and verified of the candidates in the rows of scan()."""
     spark = found.sparkSession
     some = found.where(F.size("hits") > 0).select(*keys, "hits", "phrases").distinct()
-    #: A number for each file, as the keys may hold nulls.
-    total = found.agg(F.count(F.lit(1)).alias("n"))
+    total = found.count()
     held = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     vocabulary = spark.createDataFrame([(w,) for w in _VOCABULARY], "word string")
-    idf = settled(vocabulary.join(held, "word", "left").crossJoin(total).select("word", F.round(F.ln((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 0.5)), 6).alias("idf")), "idf")
+    idf = settled(vocabulary.join(held, "word", "left").select("word", F.round(F.ln(F.lit(float(total + 1)) / (F.coalesce("df", F.lit(0)) + 0.5)), 6).alias("idf")), "idf")
 
     postings = spark.createDataFrame([(w, t, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON], "word string, template int, place int")
     names = spark.createDataFrame([(t, name, len(keys_)) for t, (name, _, keys_) in enumerate(TEMPLATES)], "template int, label string, n_keys int")
