@@ -26,7 +26,7 @@ def locations_in_text(docs: DataFrame, key: str, stop: DataFrame | None = None,
     names = F.array_distinct(T.pattern_names(F.col("text"), case_insensitive)) if pattern_only else names_of(F.col("text"), case_insensitive)
     each = rows.select(F.col(key), F.col("text"), F.explode(names).alias("name"))
     if stop is not None:
-        each = each.join(F.broadcast(stop.select(F.lower("name").alias("_stop")).limit(50_000)), F.lower("name") == F.col("_stop"), "left_anti")
+        each = each.join(stop.select(F.lower("name").alias("_stop")).distinct(), F.lower("name") == F.col("_stop"), "left_anti")
     count = (F.length("text") - F.length(F.replace("text", F.col("name"), F.lit("")))) / F.length("name")
     sentence = F.get(F.filter(F.split("text", r"(?<=[.!?])\s+|\n"), lambda s: F.contains(s, F.col("name"))), 0)
     return each.select(key, "name", F.greatest(F.lit(1), count.cast("int")).alias("count"), sentence.alias("context"))

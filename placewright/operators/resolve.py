@@ -55,7 +55,7 @@ def by_distance(names: DataFrame, places: DataFrame, wikipedia: DataFrame, count
     n = n.select("target", F.substring("target", 1, 1).alias("_first"), F.explode(F.sequence(F.length("target") - most, F.length("target") + most)).alias("_len"))
     p = places.where(F.col("lon").isNotNull()).join(_small(names.select("name").distinct()), "name", "left_anti")
     if countries is not None:
-        p = p.join(F.broadcast(countries.select("country_code").limit(BROADCAST_NAMES)), "country_code", "left_semi")
+        p = p.join(_small(countries.select("country_code").distinct()), "country_code", "left_semi")
     pairs = p.join(n, (F.substring("name", 1, 1) == F.col("_first")) & (F.length("name") == F.col("_len"))).withColumn("_d", F.levenshtein("name", "target", most)).where("_d >= 0")
     best = pairs.groupBy("id").agg(F.min(F.struct("_d", "target")).alias("_t"))
     found = p.join(best, "id").withColumn("target", F.col("_t.target")).withColumn("_d", F.col("_t._d")).drop("_t")
@@ -75,7 +75,7 @@ def resolve(names: DataFrame, places: DataFrame, aliases: DataFrame, wikipedia:
     out = by_name(names, here, wikipedia).unionByName(by_alias(names, here, aliases, wikipedia))
     if thorough:
         out = out.unionByName(by_distance(names, places, wikipedia, ranks.where("ccrank = 1")))
-    return out.join(F.broadcast(ranks.select(F.col("country_code").alias("_c"), "ccrank").limit(BROADCAST_NAMES)), F.col("country_code") == F.col("_c"), "left").drop("_c")
+    return out.join(ranks.select(F.col("country_code").alias("_c"), "ccrank"), F.col("country_code") == F.col("_c"), "left").drop("_c")
 
 
 def candidates(target: str, order_id: int, ranks: DataFrame, places: DataFrame, aliases: DataFrame, wikipedia: DataFrame, thorough: bool = False) -> DataFrame:

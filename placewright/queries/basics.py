@@ -260,7 +260,7 @@ def parents(place):
 @query("j23_stop_list", "v_text_place", sql="SELECT id, name FROM v_text_place WHERE name_normalized NOT IN (SELECT name_normalized FROM v_text_place WHERE id % 3 = 0)")
 def stop_list(place):
     stop = place.where("id % 3 = 0").select("name_normalized")
-    return place.join(F.broadcast(stop), "name_normalized", "left_anti").select("id", "name")
+    return place.join(stop, "name_normalized", "left_anti").select("id", "name")
 
 
 @query("j24_metadata", "events", sql="SELECT user_id AS metadata_id, count(*) AS n, min(event_type) AS first FROM events GROUP BY user_id")
