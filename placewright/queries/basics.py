@@ -102,9 +102,9 @@ def value_tests(place):
     return place.select("id", T.is_pcode(F.concat("country_code", "id")).alias("pcode"), T.is_digits(F.col("id").cast("string")).alias("digits"))
 
 
-@query("p11_hygiene", "v_text_place", sql="SELECT id, trim(name) AS name FROM v_text_place WHERE id % 2 = 0")
+@query("p11_hygiene", "v_text_place", sql="SELECT id, name FROM v_text_place WHERE NOT contains(name, 'e')")
 def hygiene(place):
-    raw = F.when(F.col("id") % 2 == 0, F.concat(F.lit("  "), "name", F.lit(" "))).otherwise(F.concat("name", F.lit(" (x)")))
+    raw = F.when(F.contains("name", F.lit("e")), F.concat("name", F.lit(" (x)"))).otherwise(F.concat(F.lit("  "), "name", F.lit(" ")))
     return place.withColumn("name", F.trim(raw)).where(T.hygienic(F.col("name"))).select("id", "name")
 
 
@@ -156,10 +156,11 @@ def null_fill(place):
 
 
 @query("p10_population_close", "v_place", sql="""SELECT a.id AS a, b.id AS b, coalesce(a.population IS NOT NULL AND b.population > 0 AND CAST(abs(a.population - b.population) AS DOUBLE) / greatest(a.population, b.population) < 0.05, false) AS close
- FROM v_place a JOIN v_place b ON a.name = b.name AND a.id <> b.id WHERE a.id < 200""")
+ FROM v_place a JOIN (SELECT name, min(id) AS id, min_by(coalesce(population, -1), id) AS population FROM v_place GROUP BY name) b ON a.name = b.name""")
 def population_close(place):
-    a, b = place.where("id < 200").alias("a"), place.alias("b")
-    pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") != F.col("b.id")))
+    """Each place against the first of its name."""
+    first = place.groupBy("name").agg(F.min_by(F.struct("id", "population"), "id").alias("f")).select("name", "f.id", "f.population")
+    pairs = place.alias("a").join(first.alias("b"), F.col("a.name") == F.col("b.name"))
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), G.population_is_close(F.col("a.population"), F.col("b.population")).alias("close"))
 
 
@@ -214,7 +215,7 @@ def order_rank(place, feature, featureplace):
     return R.candidates("red plate", 7, A.country_ranks(linked), place, none, wiki).select("place_id", "ccrank")
 
 
-FUZZY_SQL = """WITH t AS (SELECT DISTINCT substr(name, 1, length(name) - 1) AS target FROM v_place WHERE id < 3),
+FUZZY_SQL = """WITH t AS (SELECT unnest(['red plat', 'hot rin']) AS target),
  d AS (SELECT p.id, levenshtein(p.name, t.target) AS d, t.target FROM v_place p JOIN t ON left(p.name, 1) = left(t.target, 1) WHERE levenshtein(p.name, t.target) <= 2 AND p.name NOT IN (SELECT target FROM t))
  SELECT id AS place_id, min(d) AS edit_distance, min_by(target, d || target) AS target FROM d GROUP BY id"""
 
@@ -222,8 +223,7 @@ FUZZY_SQL = """WITH t AS (SELECT DISTINCT substr(name, 1, length(name) - 1) AS t
 @query("j06_fuzzy", "v_place", "v_wikipedia", sql=FUZZY_SQL.replace("min(d) AS", "CAST(min(d) AS INT) AS"))
 def fuzzy(place, wikipedia):
     """Nearest target within two edits, blocked by first letter and length."""
-    typos = place.where("id < 3").select(F.expr("substr(name, 1, length(name) - 1)").alias("name")).distinct()
-    return R.by_distance(typos, place, wikipedia).select("place_id", "edit_distance", "target")
+    return R.by_distance(names(place, "red plat", "hot rin"), place, wikipedia).select("place_id", "edit_distance", "target")
 
 
 @query("j08_anti", "v_place", "v_wikipedia", sql="SELECT id FROM v_place p WHERE NOT EXISTS (SELECT 1 FROM v_wikipedia w WHERE w.place_id = p.id)")
@@ -257,9 +257,9 @@ def parents(place):
     return G.parents(coded)
 
 
-@query("j23_stop_list", "v_text_place", sql="SELECT id, name FROM v_text_place WHERE name_normalized NOT IN (SELECT name_normalized FROM v_text_place WHERE id % 3 = 0)")
+@query("j23_stop_list", "v_text_place", sql="SELECT id, name FROM v_text_place WHERE name_normalized NOT IN (SELECT name_normalized FROM v_text_place WHERE contains(name, 'an'))")
 def stop_list(place):
-    stop = place.where("id % 3 = 0").select("name_normalized")
+    stop = place.where(F.contains("name", F.lit("an"))).select("name_normalized")
     return place.join(stop, "name_normalized", "left_anti").select("id", "name")
 
 

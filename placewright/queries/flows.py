@@ -116,11 +116,11 @@ def geolocate(documents, place):
     return Q.geolocate(documents, "doc_id", spots)
 
 
-@query("x18_training", "v_featureplace", "v_place", sql="""WITH p AS (SELECT name AS title, max(id) AS correct, name_normalized FROM v_place GROUP BY 1, 3), t AS (SELECT DISTINCT feature_id, name AS title FROM v_featureplace fp JOIN v_place q ON fp.place_id = q.id)
- SELECT feature_id AS page_id, title, id AS place_id, id = correct AS correct FROM t JOIN p USING (title) JOIN v_place USING (name_normalized) WHERE feature_id < 500""")
-def training(featureplace, place):
+@query("x18_training", "v_place", sql="""WITH p AS (SELECT name AS title, max(id) AS correct, name_normalized FROM v_place GROUP BY 1, 3), t AS (SELECT DISTINCT country_code AS page_id, name AS title FROM v_place)
+ SELECT page_id, title, id AS place_id, id = correct AS correct FROM t JOIN p USING (title) JOIN v_place USING (name_normalized)""")
+def training(place):
     """X18, SK07, W06, J12: mentions with every place of the same name."""
-    mentions = featureplace.where("feature_id < 500").join(place.select(F.col("id").alias("place_id"), F.col("name").alias("title")), "place_id").select(F.col("feature_id").alias("page_id"), "title").distinct()
+    mentions = place.select(F.col("country_code").alias("page_id"), F.col("name").alias("title")).distinct()
     titles = mentions.withColumn("position", F.length("title"))
     return export.training(titles, place.withColumn("enwiki_title", F.col("name"))).select("page_id", "title", "place_id", "correct")
 

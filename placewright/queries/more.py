@@ -77,15 +77,15 @@ def name_equals(place):
     return place.where(F.col("name") == "red plate").select("id")
 
 
-@query("p05_first_chars", "v_place", sql="SELECT id FROM v_place WHERE left(name, 1) IN (SELECT left(name, 1) FROM v_place WHERE id < 3)")
+@query("p05_first_chars", "v_place", sql="SELECT id FROM v_place WHERE left(name, 1) IN (SELECT left(name, 1) FROM v_place WHERE population > 49000)")
 def first_chars(place):
     first = F.left("name", F.lit(1))
-    return place.withColumn("_c", first).join(place.where("id < 3").select(first.alias("_c")).distinct(), "_c", "left_semi").select("id")
+    return place.withColumn("_c", first).join(place.where("population > 49000").select(first.alias("_c")).distinct(), "_c", "left_semi").select("id")
 
 
-@query("p06_not_in", "v_place", sql="SELECT id FROM v_place WHERE name NOT IN (SELECT name FROM v_place WHERE id < 5)")
+@query("p06_not_in", "v_place", sql="SELECT id FROM v_place WHERE name NOT IN (SELECT name FROM v_place WHERE population > 49000)")
 def not_in(place):
-    return place.join(place.where("id < 5").select("name").distinct(), "name", "left_anti").select("id")
+    return place.join(place.where("population > 49000").select("name").distinct(), "name", "left_anti").select("id")
 
 
 @query("p08_flags", "v_place", sql="SELECT id, population IS NOT NULL AS has_population, admin_level IS NOT NULL AS has_level FROM v_place")
@@ -108,9 +108,9 @@ def expiry(feature):
     return feature.where(M.expired(F.col("start_ts"))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p25_order_of_url", "pages", sql="SELECT url, CASE WHEN page_id % 2 = 0 THEN page_id END AS order_id FROM pages")
+@query("p25_order_of_url", "pages", sql="SELECT url, CASE WHEN contains(url, 'page=') THEN page_id END AS order_id FROM pages")
 def order_of_url(pages):
-    orders = pages.where("page_id % 2 = 0").select(F.col("page_id").alias("id"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
+    orders = pages.where(F.contains("url", F.lit("page="))).select(F.col("page_id").alias("id"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
     urls = pages.select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
     return M.order_of_url(orders, urls).select(F.regexp_replace("url", "#[0-9]+$", "").alias("url"), "order_id")
 
@@ -131,10 +131,10 @@ def verified_places(place, featureplace, feature):
     return place.join(linked.select(F.col("place_id").alias("id")), "id", "left_semi").select("id")
 
 
-@query("j12_same_name", "v_place", sql="SELECT a.id, b.id AS other, a.id = b.id AS correct FROM v_place a JOIN v_place b ON a.name_normalized = b.name_normalized WHERE a.id < 100")
+@query("j12_same_name", "v_place", sql="SELECT a.id, b.id AS other, a.id = b.id AS correct FROM (SELECT name_normalized, min(id) AS id FROM v_place GROUP BY 1) a JOIN v_place b ON a.name_normalized = b.name_normalized")
 def same_name(place):
     other = place.select(F.col("id").alias("other"), "name_normalized")
-    return place.where("id < 100").join(other, "name_normalized").select("id", "other", (F.col("id") == F.col("other")).alias("correct"))
+    return place.groupBy("name_normalized").agg(F.min("id").alias("id")).join(other, "name_normalized").select("id", "other", (F.col("id") == F.col("other")).alias("correct"))
 
 
 @query("j15_path_filter", "v_place", "v_featureplace", "v_feature", sql="SELECT DISTINCT p.id, p.name FROM v_place p JOIN v_featureplace fp ON fp.place_id = p.id JOIN v_feature f ON f.id = fp.feature_id WHERE order_id = 7")
@@ -187,9 +187,9 @@ def top_of_group(place):
     return G.best(rows, "country_code", score="population", tie="id")
 
 
-@query("w06_numbers", "v_featureplace", sql="SELECT feature_id AS page_id, place_id, dense_rank() OVER (PARTITION BY feature_id ORDER BY place_id) AS feature_no FROM (SELECT DISTINCT feature_id, place_id FROM v_featureplace WHERE feature_id < 300)")
+@query("w06_numbers", "v_featureplace", sql="SELECT feature_id AS page_id, place_id, dense_rank() OVER (PARTITION BY feature_id ORDER BY place_id) AS feature_no FROM (SELECT DISTINCT feature_id, place_id FROM v_featureplace)")
 def numbers(featureplace):
-    rows = featureplace.where("feature_id < 300").select(F.col("feature_id").alias("page_id"), "place_id").distinct().withColumn("position", F.col("place_id"))
+    rows = featureplace.select(F.col("feature_id").alias("page_id"), "place_id").distinct().withColumn("position", F.col("place_id"))
     return export.numbered(rows).select("page_id", "place_id", F.col("feature_no").cast("long").alias("feature_no"))
 
 
@@ -208,10 +208,9 @@ def by_score(place):
     return A.top(place, "importance", 25).select("id", "importance")
 
 
-@query("t09_parents_first", "v_place", sql="SELECT id, row_number() OVER (ORDER BY admin_level NULLS LAST, id) AS place FROM v_place WHERE id <= 50")
+@query("t09_parents_first", "v_place", sql="SELECT id, row_number() OVER (PARTITION BY country_code ORDER BY admin_level NULLS LAST, id) AS place FROM v_place")
 def parents_first(place):
-    few = place.where("id <= 50")
-    return few.select("id", F.row_number().over(Window.orderBy(F.asc_nulls_last("admin_level"), "id")).cast("long").alias("place"))
+    return place.select("id", F.row_number().over(Window.partitionBy("country_code").orderBy(F.asc_nulls_last("admin_level"), "id")).cast("long").alias("place"))
 
 
 @query("t12_most_common", "v_place", sql="SELECT name, count(*) AS n FROM v_place GROUP BY name ORDER BY n DESC, name LIMIT 5")

@@ -15,10 +15,11 @@ METRES = "2 * 6371008.8 * asin(" + RADIANS + ")"
 SCORE = "CAST({m} <= 1 AS INT) * 10000 + CAST({m} <= 10 AS INT) * 1000 + CAST({m} <= 100000 AS INT) * 100 + CAST({m} <= 500000 AS INT) * 10 + CAST({m} <= 1000000 AS INT)"
 
 
-@query("g02_distance", "v_place", sql=f"SELECT a.id AS a, b.id AS b, CAST(round({METRES.format(a='a', b='b')}) AS BIGINT) AS metres FROM v_place a JOIN v_place b ON a.name = b.name AND a.id < b.id WHERE a.id < 300 AND {METRES.format(a='a', b='b')} <= 1000000")
+@query("g02_distance", "v_place", sql=f"SELECT a.id AS a, b.id AS b, CAST(round({METRES.format(a='a', b='b')}) AS BIGINT) AS metres FROM (SELECT name, min(id) AS id, min_by(lat, id) AS lat, min_by(lon, id) AS lon FROM v_place GROUP BY name) a JOIN v_place b ON a.name = b.name AND a.id < b.id WHERE {METRES.format(a='a', b='b')} <= 1000000")
 def near(place):
     """Same-name places within a distance."""
-    a, b = place.where("id < 300").alias("a"), place.alias("b")
+    first = place.groupBy("name").agg(F.min_by(F.struct("id", "lat", "lon"), "id").alias("f")).select("name", "f.id", "f.lat", "f.lon")
+    a, b = first.alias("a"), place.alias("b")
     pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") < F.col("b.id")))
     metres = S.distance(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return pairs.withColumn("m", metres).where("m <= 1000000").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round("m").cast("long").alias("metres"))
@@ -53,9 +54,9 @@ def centroid(country):
     return rows.select("id", F.round("c.x", 9).alias("x"), F.round("c.y", 9).alias("y"), F.round("area", 9).alias("area"))
 
 
-@query("j10_country_of_place", "v_place", "v_country", sql="SELECT p.id, min_by(c.id, c.country_code) AS pid FROM v_place p JOIN v_country c ON lon > west AND lon < east AND lat > south AND lat < north WHERE p.country_code IS NULL OR p.id % 2 = 0 GROUP BY p.id")
+@query("j10_country_of_place", "v_place", "v_country", sql="SELECT p.id, min_by(c.id, c.country_code) AS pid FROM v_place p JOIN v_country c ON lon > west AND lon < east AND lat > south AND lat < north GROUP BY p.id")
 def country_of_place(place, country):
-    found = G.inside(place.where("country_code IS NULL OR id % 2 = 0").select("id", "lon", "lat"), country.select(F.col("id").alias("pid"), F.col("country_code").alias("cc"), "west", "east", "south", "north"))
+    found = G.inside(place.select("id", "lon", "lat"), country.select(F.col("id").alias("pid"), F.col("country_code").alias("cc"), "west", "east", "south", "north"))
     return found.groupBy("id").agg(F.min_by("pid", "cc").alias("pid"))
 
 
@@ -66,12 +67,12 @@ def fill_countries(place, country):
 
 
 def inputs(place):
-    """Rows to conflate: places of even id, moved a little, under new ids."""
-    rows = place.where("id < 400 AND id % 2 = 0")
+    """Rows to conflate: the first place of each name and kind, moved by half a degree."""
+    rows = place.groupBy("name", "feature_code").agg(F.min_by(F.struct("id", "lat", "lon", "country_code", "population", "importance"), "id").alias("f")).select("name", "f.*")
     return rows.select(F.col("id").alias("input_id"), "name", (F.col("lat") + 0.5).alias("lat"), "lon", "country_code", "population", "importance")
 
 
-_IN = "WITH i AS (SELECT id AS input_id, name, lat + 0.5::DOUBLE AS lat, lon, population FROM v_place WHERE id < 400 AND id % 2 = 0), m AS (SELECT input_id, p.id, i.population AS pop, p.population, p.admin_level, " + METRES.format(a="i", b="p") + " AS m FROM i JOIN v_place p ON i.name = p.name)"
+_IN = "WITH i AS (SELECT id AS input_id, name, lat + 0.5::DOUBLE AS lat, lon, population FROM v_place WHERE id IN (SELECT min(id) FROM v_place GROUP BY name, feature_code)), m AS (SELECT input_id, p.id, i.population AS pop, p.population, p.admin_level, " + METRES.format(a="i", b="p") + " AS m FROM i JOIN v_place p ON i.name = p.name)"
 
 
 @query("d01_best_place", "v_place", sql=f"""{_IN}, s AS (SELECT input_id, id, {SCORE.format(m='m')} + CAST(pop IS NOT NULL AS INT) * 10 + CASE WHEN pop IS NOT NULL AND population > 0 AND CAST(abs(pop - population) AS DOUBLE) / greatest(pop, population) < 0.05 THEN 1000 ELSE 0 END AS score FROM m WHERE m <= 1000000)
@@ -99,10 +100,10 @@ def osm_importance(place, wikipedia):
     return G.load_osm_importance(inputs(place), place, wiki).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d04_aliases", "v_alias", "v_place", sql="SELECT count(DISTINCT alias) + count(DISTINCT CASE WHEN place_id % 2 = 0 THEN alias || '!' END) AS aliases, (SELECT count(*) FROM v_alias WHERE place_id % 2 = 0) AS links FROM v_alias")
+@query("d04_aliases", "v_alias", "v_place", sql="SELECT 2 * count(DISTINCT alias) AS aliases, count(*) AS links FROM v_alias")
 def aliases(alias, place):
     """Alternate names: new aliases once, links once, an empty start for links."""
-    rows = alias.where("place_id % 2 = 0").select(F.col("place_id").alias("line"), F.col("place_id").alias("geonameid"), F.concat("alias", F.lit("!")).alias("alternate_name"), F.lit("en").alias("language"))
+    rows = alias.select(F.col("place_id").alias("line"), F.col("place_id").alias("geonameid"), F.concat("alias", F.lit("!")).alias("alternate_name"), F.lit("en").alias("language"))
     old = alias.groupBy("alias").agg(F.min("place_id").alias("id")).select("id", "alias", F.lit("en").alias("language"))
     none = alias.sparkSession.createDataFrame([], "alias_id long, place_id long")
     a, links = G.load_aliases(rows.unionByName(rows), old, none, place.withColumn("geonames_id", F.col("id")))
@@ -152,9 +153,9 @@ def changed_fields(place):
     return G.changed_fields(old, old.fillna({"population": 1}), "id")
 
 
-@query("j17_match_places", "v_place", sql="SELECT id AS input_id, id AS place_id, 1 AS match_rank FROM v_place WHERE id < 200")
+@query("j17_match_places", "v_place", sql="SELECT id AS input_id, id AS place_id, 1 AS match_rank FROM v_place")
 def match_places(place):
-    rows = place.where("id < 200").select(F.col("id").alias("input_id"), "name", "country_code", "lat", "lon", "admin_level")
+    rows = place.select(F.col("id").alias("input_id"), "name", "country_code", "lat", "lon", "admin_level")
     return G.match_places(rows, place)
 
 
