@@ -62,6 +62,19 @@ def fence(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*without(df, *names), F.inline_outer(F.array(F.struct(*[F.col(n) for n in names]))))
 
 
+#: Keys of rows to drop are broadcast up to so many, about 40 bytes each; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and text hash are in gone (_id, _text_key). Texts are shuffled only if those are many."""
+    gone = settled(gone.select("_id", "_text_key").distinct(), "gone")
+    few = gone.count() <= BROADCAST_KEYS
+    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_text_key").alias("_gone_key"))
+    on = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_key"])
+    return docs.join(F.broadcast(gone) if few else gone, on, "left_anti")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; on a local master without that setting, a temporary one."""
     context = spark.sparkContext

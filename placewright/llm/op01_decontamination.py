@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, settled, table, without
+from .common import alnum_words, settled, table, without, without_rows
 
 WIDTH = 13
 #: Windows broadcast at once: 13 words each, well under 100 MB together.
@@ -124,9 +124,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows."""
-    bad = report(_keyed(docs), benchmark, "_id", "_text_key").where("contaminated").select("_id", "_text_key").distinct()
-    on = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_text_key"])
-    return docs.join(bad, on, "left_anti")
+    return without_rows(docs, report(_keyed(docs), benchmark, "_id", "_text_key").where("contaminated"))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

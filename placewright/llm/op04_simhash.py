@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, settled, table, without, written
+from .common import discard, settled, table, without, without_rows, written
 
 RADIUS = 3
 SEED = 42
@@ -172,14 +172,17 @@ def classes(docs: DataFrame, *keys: str, least: Column) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component."""
-    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_key"), "text")
     #: Nulls come last: a document with an id goes before.
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
-    found = classes(keyed, "_id", "_key", least=order)
-    first = found.where((F.col("_key") == F.col("class.key")) & F.col("_id").eqNullSafe(F.col("class.id"))).select("_id", "_key").distinct()
-    rows = docs.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_k"), F.struct(*without(docs)).alias("_doc"))
-    kept = rows.join(first, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
-    return kept.groupBy("_i", "_k").agg(F.first("_doc").alias("_doc")).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text_key").alias("key"))
+    found = settled(classes(keyed, "_id", "_text_key", least=order), "classes")
+    first = (F.col("_text_key") == F.col("class.key")) & F.col("_id").eqNullSafe(F.col("class.id"))
+    kept = without_rows(docs, found.where(~first))
+    repeated = found.where(first).groupBy("_id", "_text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    rows = kept.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_k"), F.struct(*without(kept)).alias("_doc"))
+    return rows.groupBy("_i", "_k").agg(F.first("_doc").alias("_doc")).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
