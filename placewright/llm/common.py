@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,18 @@ def fence(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*without(df, *names), F.inline_outer(F.array(F.struct(*[F.col(n) for n in names]))))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Within it, rows go to Python in small batches: those of whole texts would hold a large part of a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Keys of rows to drop are broadcast up to so many, about 40 bytes each; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 

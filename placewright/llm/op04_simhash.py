@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, settled, table, without, without_rows, written
+from .common import discard, settled, small_batches, table, without, without_rows, written
 
 RADIUS = 3
 SEED = 42
@@ -161,7 +161,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, *keys: str, least: Column) -> DataFrame:
     """keys, fp and class: for each row of docs (keys and text) the smallest `least` of its component. least is a column of keys, or a struct of them."""
-    rows = settled(fingerprints(docs, *keys), "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = settled(fingerprints(docs, *keys), "fingerprints")
     nodes = settled(rows.groupBy("fp").agg(F.min(least).alias("low")), "nodes")
     stars = components(links(nodes))
     members = nodes.join(stars, F.col("fp") == F.col("a"), "left").select("fp", "low", F.coalesce("b", "fp").alias("root"))
