@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import basics, flows, more, spatial  # noqa: F401
+from . import basics, flows, more, rest, spatial  # noqa: F401
 from .flows import flagship  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

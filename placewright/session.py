@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,15 @@ def local_session(name: str = "placewright", cpus: int | None = None, memory: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, for tables written on the way; on a local master without that setting, in a temporary folder."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="placewright-"))
+        folder = context.getCheckpointDir()
+    return f"{folder}/placewright/{name}-{uuid.uuid4().hex}"
