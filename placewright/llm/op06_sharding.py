@@ -64,6 +64,6 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     slim = settled(assign(slim), "shards")
-    numbered = number(slim, "shard", uniform(F.col("doc_id"), salt="slot"), [F.col("doc_id"), F.col("text_crc32")], "slot", slim.count())
+    numbered = number(slim, "shard", uniform(F.col("doc_id"), F.col("text_crc32"), salt="slot"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", slim.count())
     grown = winner(F.col("doc_id"), (1.0,) * 17)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
