@@ -83,23 +83,25 @@ def label(found: DataFrame, *keys: str) -> DataFrame:
     idf = settled(vocabulary.join(held, "word", "left").select("word", F.round(F.ln(F.lit(float(total + 1)) / (F.coalesce("df", F.lit(0)) + 0.5)), 6).alias("idf")), "idf")
 
     postings = spark.createDataFrame([(w, t, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON], "word string, template int, place int")
-    names = spark.createDataFrame([(t, name, len(keys_)) for t, (name, _, keys_) in enumerate(TEMPLATES)], "template int, label string, n_keys int")
+    names = spark.createDataFrame([(t, name) for t, (name, *_) in enumerate(TEMPLATES)], "template int, label string")
     weights = postings.join(idf, "word").groupBy("template").agg(F.round(F.sum("idf"), 6).alias("weight"))
     #: The index is as large as TEMPLATES, whatever the files are.
     index = F.broadcast(postings.join(idf, "word").join(weights, "template").join(names, "template"))
 
-    each = some.select(*keys, "phrases", F.inline("hits")).join(F.broadcast(idf.withColumnRenamed("word", "_w")), F.col("word") == F.col("_w")).drop("_w")
+    each = some.select(*keys, F.inline("hits")).join(F.broadcast(idf.withColumnRenamed("word", "_w")), F.col("word") == F.col("_w")).drop("_w")
     rarest = Window.partitionBy(*keys).orderBy(F.desc("idf"), "word")
     looked = each.withColumn("_rank", F.dense_rank().over(rarest)).where(F.col("_rank") <= LOOKED_UP).drop("idf")
     votes = looked.join(index, "word").withColumn("start", F.col("at") - F.col("place"))
-    voted = votes.groupBy(*keys, "template", "label", "n_keys", "weight", "start").agg(F.collect_set(F.struct("place", "idf")).alias("_met"), F.first("phrases").alias("phrases"))
+    voted = votes.groupBy(*keys, "template", "label", "weight", "start").agg(F.collect_set(F.struct("place", "idf")).alias("_met"))
     share = F.least(F.lit(1.0), F.round(F.aggregate(F.sort_array("_met"), F.lit(0.0), lambda a, m: a + m["idf"]), 6) / F.col("weight"))
-    candidates = voted.withColumn("share", F.round(share, 6)).where(F.col("share") >= ENOUGH)
-    #: Mandatory phrases of each template with their place in it.
-    rules = [F.struct(F.lit(t).alias("t"), F.lit(_PHRASES.index(p)).alias("p"), F.lit(_place(text, p)).alias("o")) for t, (_, text, ks) in enumerate(TEMPLATES) for p in ks]
-    mine = F.filter(F.array(*rules), lambda r: r["t"] == F.col("template"))
-    stands = F.forall(mine, lambda r: F.exists(F.col("phrases"), lambda x: (x["phrase"] == r["p"]) & (x["at"] == F.col("start") + r["o"])))
-    return candidates.select(*keys, "label", "share", stands.alias("verified"))
+    candidates = voted.withColumn("share", F.round(share, 6)).where(F.col("share") >= ENOUGH).drop("_met")
+    #: Each mandatory phrase of a candidate is looked up at its place, so the work grows with the places and not with their pairs.
+    rules = spark.createDataFrame([(t, _PHRASES.index(p), _place(text, p), len(ks)) for t, (_, text, ks) in enumerate(TEMPLATES) for p in ks], "template int, _phrase int, _offset int, n_keys int")
+    wanted = candidates.join(F.broadcast(rules), "template").withColumn("_wanted", F.col("start") + F.col("_offset"))
+    there = some.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.inline("phrases"))
+    same = _all([(F.col("_phrase") == F.col("phrase")) & (F.col("_wanted") == F.col("at")), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]])
+    met = wanted.join(there, same, "left").groupBy(*keys, "template", "label", "share", "start", "n_keys").agg(F.count("phrase").alias("_n"))
+    return met.select(*keys, "label", "share", (F.col("_n") == F.col("n_keys")).alias("verified"))
 
 
 def _place(text: str, phrase: str) -> int:
