@@ -97,6 +97,12 @@ def cells(west: Column, east: Column, south: Column, north: Column, size: float
     return F.flatten(F.transform(across, lambda cx: F.transform(up, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+def from_web_mercator(x: Column, y: Column) -> Column:
+    """lon and lat of a point in web mercator metres, whose sphere has the radius of the equator."""
+    turn = F.lit(6378137.0)
+    return F.struct(F.degrees(x / turn).alias("lon"), F.degrees(F.atan(F.sinh(y / turn))).alias("lat"))
+
+
 def geojson(mpoly: Column, lon: Column, lat: Column) -> Column:
     """GeometryCollection of the point and, if there is one, the polygon; a single polygon isn't a MultiPolygon."""
     pair = lambda x, y: F.array(F.round(x, 6), F.round(y, 6))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -10,13 +13,14 @@ from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import gazetteer as G
 from ..operators import resolve as R
+from ..operators import topics
 from ..plans import export
 from ..plans import maintenance as M
 from ..plans import request as Q
 from ..session import scratch
 from ..sources import files, sinks
 from .registry import query
-from .spatial import METRES
+from .spatial import METRES, SCORE, WIDE
 
 
 def _lines(df, *fields):
@@ -74,6 +78,14 @@ def text_source(documents):
     return Q.cleaned_sources(rows).select("order_id", "kind", "source_text")
 
 
+@query("sc12_files", "part", sql="SELECT 'csv' AS kind, CAST(p_partkey AS VARCHAR) AS key, p_name AS name FROM part")
+def table_files(part):
+    """Files of a folder, told apart by their names, as rows of cells."""
+    spark, path = part.sparkSession, scratch(part.sparkSession, "files")
+    part.select("p_partkey", "p_name").write.csv(path)
+    return files.parsed_files(spark, path).select("kind", F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("name"))
+
+
 @query("sc15_dataset_list", "region", sql="SELECT r_name || '.zip' AS path FROM region")
 def dataset_list(region):
     spark, path = region.sparkSession, scratch(region.sparkSession, "list")
@@ -199,6 +211,16 @@ def unordered(place):
     return place.where((F.col("country_code") == "Brand#11") | (F.col("admin_level") == 0)).select("id")
 
 
+@query("t08_score_order", "v_place", sql=f"""WITH x AS (SELECT a.id AS a, b.id AS b, {SCORE.format(m='(' + METRES.format(a='a', b='b') + ')')} + CAST(b.population IS NOT NULL AS INT) * 10 + CAST(b.admin_level IS NOT NULL AS INT) * 10 AS score
+ FROM v_place a JOIN v_place b ON a.name = b.name WHERE {METRES.format(a='a', b='b')} <= 1000000) SELECT a, b, CAST(score AS INT) AS score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM x""")
+def score_order(place):
+    """Candidates of each place by their score."""
+    inputs = place.select(F.col("id").alias("input_id"), "name", "lat", "lon", "population")
+    scored = G.candidates_nearby(inputs, place, 1_000_000, WIDE, "osm")
+    order = Window.partitionBy("input_id").orderBy(F.desc("score"), "place_id")
+    return scored.select(F.col("input_id").alias("a"), F.col("place_id").alias("b"), F.col("score").cast("int").alias("score"), F.row_number().over(order).cast("long").alias("place"))
+
+
 @query("t10_columns", "v_place", sql="SELECT 'id' AS first_by_uniqueness, 'importance' AS first_by_median")
 def columns(place):
     """Columns of a layer by uniqueness, and numeric ones by median."""
@@ -270,6 +292,15 @@ def within_5m(place):
     return place.where(S.distance(F.col("lat"), F.col("lon"), north, F.col("lon")) < 5).select("id", (F.col("id") % 10).alias("step"))
 
 
+@query("g07_reprojected", "v_place", sql="SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM v_place WHERE abs(lat) < 85")
+def reprojected(place):
+    """From web mercator metres back to degrees."""
+    y = F.ln(F.tan(F.radians(F.col("lat")) / 2 + F.lit(math.pi / 4))) * 6378137.0
+    metres = place.where(F.abs("lat") < 85).select("id", (F.radians("lon") * 6378137.0).alias("x"), y.alias("y"))
+    point = metres.select("id", S.from_web_mercator(F.col("x"), F.col("y")).alias("p"))
+    return point.select("id", (F.round("p.lon", 6) + 0.0).alias("lon"), (F.round("p.lat", 6) + 0.0).alias("lat"))
+
+
 @query("g08_multipolygon", "v_country", sql="SELECT id, 1 AS polygons, 5 AS vertices, west AS x, south AS y FROM v_country")
 def multipolygon(country):
     """A polygon as a multipolygon, and the first of many points."""
@@ -294,6 +325,20 @@ def simplified(country):
     return M.simplified(shaped).select("id", F.size(out).alias("vertices"), F.round(S.area(out), 9).alias("area"))
 
 
+@query("x09_additions", "v_place", "v_alias", "v_wikipedia", "v_feature", "v_featureplace")
+def additions(place, alias, wikipedia, feature, featureplace):
+    """A misspelt name that is added to an order: places within two edits in the order's first country, most probable first."""
+    linked = featureplace.where("correct").join(feature.select(F.col("id").alias("feature_id"), "order_id"), "feature_id").join(place.select(F.col("id").alias("place_id"), "country_code"), "place_id")
+    return R.possible_additions("hot rin", 7, A.country_ranks(linked), place, alias, wikipedia)
+
+
+@query("x11_topic", "part")
+def topic(part):
+    """Names by the topic of a model of names and types; texts without known terms have none."""
+    texts = part.select(F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return topics.build(texts, 5).topic(part.select("p_partkey", F.col("p_name").alias("text"))).select("p_partkey", "topic_id")
+
+
 @query("x16_styles", "v_feature", sql="SELECT id AS feature_id, order_id AS mapstyle_id, row_number() OVER (PARTITION BY order_id ORDER BY id) <= 10 AS label FROM v_feature")
 def styles(feature):
     return Q.style(feature)
