@@ -49,6 +49,16 @@ def test_templates_and_near_misses(spark):
     assert rows[40 + len(op3.TEMPLATES)].labels == "" and rows[41 + len(op3.TEMPLATES)].labels == ""
 
 
+def test_text_full_of_phrases(spark):
+    text = "under the mit license cc by nc all rights reserved no part may be reproduced " * 5000
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "all rights reserved")], "doc_id long, text string")
+    rows = op3.report(df, "doc_id").collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(text if r.doc_id != 2 else "all rights reserved")
+        assert ("proprietary" in r.labels) == (r.doc_id != 2)
+
+
 def test_odd(spark):
     df = odd(spark).withColumn("hits", F.lit(1)).withColumn("word", F.lit("x"))
     assert op3.report(df.select("doc_id", F.xxhash64("text").alias("k"), "text"), "doc_id", "k").count() == len(ODD)

@@ -71,6 +71,14 @@ def test_shard_slices_and_weights(spark, monkeypatch):
         assert [u("slot", r.doc_id) for r in mine] == sorted(u("slot", r.doc_id) for r in mine)
 
 
+def test_slots_of_one_id(spark, tmp_path):
+    """Rows without an id have slots of their own."""
+    spark.createDataFrame([(None, f"text {i % 40}", "en", "s", 1) for i in range(100)], TYPES).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op6.op6_sharding(spark, str(tmp_path)).collect()
+    assert len({r.shard for r in rows}) == 1
+    assert sorted(r.slot for r in rows) == list(range(100))
+
+
 def test_shard_odd(spark, tmp_path):
     assert op6.assign(odd(spark)).count() == len(ODD)
     assert op6.assign(odd(spark).limit(0)).count() == 0
