@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index.
 
-Licence templates are short marking texts. The index lists, for each of their words, templates and positions. Of each file the
-licence words with the highest IDF (over all files) are looked up; a posting and a file position together name the place where
-the template would start, and words that agree on it are summed up by IDF. A template with enough of its weight at one place
+Licence templates are short marking texts. The index lists, for each of their words, templates and positions. All licence words
+of a file but the common ones are looked up, weighted by IDF (over all files); a posting and a file position together name the
+place where the template would start, and words that agree on it are summed up by IDF. A template with enough of its weight at one place
 is a candidate; it's reported if all its mandatory phrases stand at their places.
 
 Base phrases are found apart from that, at every place where their words stand consecutively.
@@ -14,7 +14,7 @@ is counted at every place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import alnum_words, fence, settled, table
@@ -40,8 +40,8 @@ TEMPLATES = [
 ]
 #: Words too common to look up.
 COMMON = {"the", "of", "to", "is", "a", "any", "and", "in", "with", "or", "are", "this", "by", "no", "be", "may", "use", "all", "under", "without", "v", "0", "1", "2", "3", "4"}
-#: Licence words looked up of each file; share of a template's weight that makes a candidate.
-LOOKED_UP, ENOUGH = 12, 0.75
+#: Share of a template's weight that makes a candidate.
+ENOUGH = 0.75
 
 _PHRASES = sorted({*BASE, *(p for *_, keys in TEMPLATES for p in keys)})
 _VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - COMMON | {next(w for w in p.split() if w not in COMMON) for p in _PHRASES})
@@ -88,10 +88,7 @@ def label(found: DataFrame, *keys: str) -> DataFrame:
     #: The index is as large as TEMPLATES, whatever the files are.
     index = F.broadcast(postings.join(idf, "word").join(weights, "template").join(names, "template"))
 
-    each = some.select(*keys, F.inline("hits")).join(F.broadcast(idf.withColumnRenamed("word", "_w")), F.col("word") == F.col("_w")).drop("_w")
-    rarest = Window.partitionBy(*keys).orderBy(F.desc("idf"), "word")
-    looked = each.withColumn("_rank", F.dense_rank().over(rarest)).where(F.col("_rank") <= LOOKED_UP).drop("idf")
-    votes = looked.join(index, "word").withColumn("start", F.col("at") - F.col("place"))
+    votes = some.select(*keys, F.inline("hits")).join(index, "word").withColumn("start", F.col("at") - F.col("place"))
     voted = votes.groupBy(*keys, "template", "label", "weight", "start").agg(F.collect_set(F.struct("place", "idf")).alias("_met"))
     share = F.least(F.lit(1.0), F.round(F.aggregate(F.sort_array("_met"), F.lit(0.0), lambda a, m: a + m["idf"]), 6) / F.col("weight"))
     candidates = voted.withColumn("share", F.round(share, 6)).where(F.col("share") >= ENOUGH).drop("_met")

@@ -59,6 +59,17 @@ def test_text_full_of_phrases(spark):
         assert ("proprietary" in r.labels) == (r.doc_id != 2)
 
 
+def test_several_templates_in_one_file(spark):
+    """Each template keeps its label however many others stand beside it."""
+    plain = [f"lorem ipsum {i}" for i in range(30)]
+    texts = [" filler words ".join(text for _, text, _ in op3.TEMPLATES[:n]) for n in range(2, len(op3.TEMPLATES) + 1)]
+    texts += [" filler words ".join(text for _, text, _ in op3.TEMPLATES[-n:]) for n in range(2, len(op3.TEMPLATES) + 1)]
+    rows = {r.doc_id: r for r in op3.report(spark.createDataFrame(list(enumerate(plain + texts)), "doc_id long, text string"), "doc_id").collect()}
+    for i, text in enumerate(texts):
+        assert {name for name, template, _ in op3.TEMPLATES if template in text} <= set(rows[len(plain) + i].labels.split(","))
+    assert all(rows[i].labels == "" for i in range(len(plain)))
+
+
 def test_odd(spark):
     df = odd(spark).withColumn("hits", F.lit(1)).withColumn("word", F.lit("x"))
     assert op3.report(df.select("doc_id", F.xxhash64("text").alias("k"), "text"), "doc_id", "k").count() == len(ODD)
