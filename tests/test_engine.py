@@ -2,9 +2,11 @@
 
 import json
 import math
+import random
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +261,32 @@ def test_topics(spark):
     assert topics.tag_places(model, df, fp).count() == 1
 
 
+def test_topics_of_rare_terms(spark):
+    """Every repeated term has weights, however many terms are more frequent."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    word = lambda i: f"w{i:06d}".translate(letters)
+    often = [(i, " ".join(word(j) for j in range(i * 100, i * 100 + 100)) + " common") for i in range(210)] * 3
+    df = spark.createDataFrame([*often, *[(2000, "other thing")] * 400, (1000, "rare zebra"), (1001, "rare zebra"), (1002, "single")], "id long, text string")
+    model = topics.build(df, k=2)
+    assert model.weights.count() == 21_005
+    got = {r.id: r.topic_id for r in model.topic(df).collect()}
+    assert got[1000] is not None and got[1002] is None
+    assert topics.build(df.where("id = 1002"), k=2).topic(df.where("id = 1000")).first().topic_id is None
+
+
+def test_topics_against_numpy(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice([f"term{chr(97 + i)}{chr(97 + t)}" for i in range(20)]) for _ in range(60 - 8 * t)) for t in range(6) for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    counts = {}
+    for w in " ".join(texts).split():
+        counts[w] = counts.get(w, 0) + 1
+    terms = sorted(w for w in counts if counts[w] > 1)
+    v = np.linalg.svd(np.array([[t.split().count(w) for w in terms] for t in texts], dtype=float))[2][:4]
+    w = {r.term: r.w for r in topics.build(df, k=4).weights.collect()}
+    assert sorted(w) == terms and np.allclose(np.abs(v), np.abs(np.array([w[t] for t in terms]).T), atol=1e-6)
+
+
 def test_training_numbers(spark):
     rows = spark.createDataFrame([("p", 0, "A", 1, True), ("p", 0, "A", 2, False), ("p", 3, "B", 5, True)], "page_id string, position int, title string, place_id long, correct boolean")
     got = [(r.feature_no, r.featureplace_no) for r in export.numbered(rows).orderBy("position", "place_id").collect()]
