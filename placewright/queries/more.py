@@ -14,6 +14,7 @@ from ..operators import resolve as R
 from ..plans import export
 from ..plans import maintenance as M
 from ..plans import request as Q
+from ..session import scratch
 from ..sources import files, sinks
 from .registry import query
 
@@ -281,8 +282,12 @@ def metadata_entries(events):
 
 @query("sk03_shape_parts", "v_country", sql="SELECT id AS feature_id, CAST(0 AS INT) AS part FROM v_country")
 def shape_parts(country):
-    shaped = country.select(F.col("id").alias("feature_id"), F.col("country_code").alias("name"), S.box_polygon(F.col("west"), F.col("east"), F.col("south"), F.col("north")).alias("mpoly"))
-    return sinks.shape_parts(shaped).select("feature_id", "part")
+    """Polygons of a shape map, read back; the features' ids go through its attributes."""
+    shaped = country.select(F.col("id").alias("feature_id"), F.col("id").alias("geonames_id"), "country_code", F.col("country_code").alias("name"), F.lit(1.0).alias("confidence"), F.col("west").alias("lon"), F.col("south").alias("lat"), S.box_polygon(F.col("west"), F.col("east"), F.col("south"), F.col("north")).alias("mpoly"))
+    path = scratch(country.sparkSession, "shapes")
+    sinks.write_shapes(shaped, path)
+    polygons = files.zipped_shapes(country.sparkSession, path).where(F.col("mpoly").isNotNull()).select(F.col("attributes")["geonames_i"].cast("long").alias("feature_id"), "record")
+    return polygons.select("feature_id", (F.row_number().over(Window.partitionBy("feature_id").orderBy("record")) - 1).alias("part"))
 
 
 @query("sk08_decision_fields", "v_feature", "v_featureplace", "v_place", sql="SELECT fp.id AS featureplace_id, p.population AS popularity_at_decision_time, verified FROM v_featureplace fp JOIN v_feature f ON fp.feature_id = f.id JOIN v_place p ON p.id = fp.place_id")

@@ -184,6 +184,24 @@ def shapes(spark: SparkSession, path: str) -> DataFrame:
     """(path, record, attributes, lon, lat, mpoly) of the shapefiles below a folder; a point of several is the first, coordinates are longitude and latitude."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{shp,dbf}").load(path)
     pairs = files.groupBy(F.regexp_replace("path", r"\.\w+$", "").alias("path")).agg(F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf"))
+    return _shape_records(pairs)
+
+
+def zipped_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """As shapes(), of a table of (name, zip) that sinks.write_shapes wrote; paths are those within the zips."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch.zip:
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    stems = [n[:-4] for n in z.namelist() if n.endswith(".shp")]
+                    yield pd.DataFrame([(n, z.read(f"{n}.shp"), z.read(f"{n}.dbf")) for n in stems], columns=["path", "shp", "dbf"])
+
+    return _shape_records(spark.read.parquet(path).select("zip").mapInPandas(run, "path string, shp binary, dbf binary"))
+
+
+def _shape_records(pairs: DataFrame) -> DataFrame:
+    """Records of (path, shp, dbf)."""
     out = T.StructType([T.StructField("path", T.StringType()), T.StructField("record", T.IntegerType()), T.StructField("attributes", T.MapType(T.StringType(), T.StringType())), T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType()), T.StructField("mpoly", schema.MULTIPOLYGON)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

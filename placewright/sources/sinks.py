@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
@@ -80,23 +82,106 @@ def shape_parts(links: DataFrame) -> DataFrame:
     return links.where(F.col("mpoly").isNotNull()).select("feature_id", "name", F.posexplode("mpoly").alias("part", "polygon"))
 
 
+def _shape_file(kind: int, bodies: list[bytes], box: tuple[float, float, float, float]) -> tuple[bytes, bytes]:
+    """(.shp, .shx) of record bodies, numbered in their order."""
+    places, records, at = [], [], 50
+    for i, body in enumerate(bodies):
+        places.append(struct.pack(">2i", at, len(body) // 2))
+        records.append(struct.pack(">2i", i + 1, len(body) // 2) + body)
+        at += 4 + len(body) // 2
+    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i", 1000, kind) + struct.pack("<8d", *box, 0, 0, 0, 0)
+    return head(at) + b"".join(records), head(50 + 4 * len(bodies)) + b"".join(places)
+
+
+#: Fixed: the body of a record without a shape.
+_NO_SHAPE = struct.pack("<i", 0)
+
+
+def _box(points: list[tuple[float, float]]) -> tuple[float, float, float, float]:
+    xs, ys = [p[0] for p in points] or [0.0], [p[1] for p in points] or [0.0]
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def _points(points: list[tuple[float, float]]) -> tuple[bytes, bytes]:
+    """(.shp, .shx) of points; those without coordinates are records without a shape."""
+    known = [p if p[0] == p[0] and p[1] == p[1] else None for p in points]
+    return _shape_file(1, [struct.pack("<i2d", 1, *p) if p else _NO_SHAPE for p in known], _box([p for p in known if p]))
+
+
 def shp_bytes(points: list[tuple[float, float]]) -> bytes:
     """A .shp file of points."""
-    n = len(points)
-    xs, ys = [p[0] for p in points] or [0.0], [p[1] for p in points] or [0.0]
-    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + 14 * n) + struct.pack("<2i", 1000, 1) + struct.pack("<8d", min(xs), min(ys), max(xs), max(ys), 0, 0, 0, 0)
-    return head + b"".join(struct.pack(">2i", i + 1, 10) + struct.pack("<i2d", 1, x, y) for i, (x, y) in enumerate(points))
+    return _points(points)[0]
+
+
+def _polygons(polygons: list[list[list[tuple[float, float]]]]) -> tuple[bytes, bytes]:
+    """(.shp, .shx) of polygons: rings are closed, the first is turned clockwise, holes the other way."""
+    bodies, corners = [], []
+    for polygon in polygons:
+        rings = []
+        for ring in polygon:
+            ring = [*ring, ring[0]] if ring[0] != ring[-1] else ring
+            turned = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+            rings.append(ring[::-1] if (turned > 0) != bool(rings) else ring)
+        flat = [p for ring in rings for p in ring]
+        starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
+        body = struct.pack("<i4d2i", 5, *_box(flat), len(rings), len(flat)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in flat)
+        bodies.append(body if rings else _NO_SHAPE)
+        corners += flat
+    return _shape_file(5, bodies, _box(corners))
+
+
+#: Fixed: fields of a record; the format holds 10 letters of a name.
+FIELDS = ("name", "confidence", "countrycod", "geonames_i", "pcode", "start_time", "end_time")
+#: Bytes of a field, at least and at most; the format holds no more, so a longer name is cut at a whole letter.
+NARROW, WIDE = 50, 254
+
+
+def dbf_bytes(records: list[list[str | None]]) -> bytes:
+    """A .dbf file of records of FIELDS in UTF-8; null is empty."""
+    cells = [[(v or "").encode()[:WIDE].decode("utf-8", "ignore").encode() for v in r] for r in records]
+    widths = [max([NARROW, *(len(r[i]) for r in cells)]) for i in range(len(FIELDS))]
+    fields = b"".join(name.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w]) + b"\0" * 15 for name, w in zip(FIELDS, widths, strict=True))
+    head = struct.pack("<4BIHH", 3, 0, 1, 1, len(cells), 33 + len(fields), 1 + sum(widths)) + b"\0" * 20
+    return head + fields + b"\r" + b"".join(b" " + b"".join(v.ljust(w) for v, w in zip(r, widths, strict=True)) for r in cells) + b"\x1a"
+
+
+def shape_zip(name: str, records: list[list[str | None]], points: list[tuple[float, float]], shapes: list[list]) -> bytes:
+    """A zip of `name`_points and, where there are any, `name`_polygons: a record for each polygon of each shape, with its feature's attributes."""
+    parts = [(r, polygon) for r, shape in zip(records, shapes, strict=True) for polygon in shape]
+    layers = {"points": (_points(points), records)}
+    if parts:
+        layers["polygons"] = (_polygons([p for _, p in parts]), [r for r, _ in parts])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for layer, ((shp, shx), rows) in layers.items():
+            for ext, data in {"shp": shp, "shx": shx, "dbf": dbf_bytes(rows), "prj": PRJ, "cpg": "UTF-8"}.items():
+                z.writestr(f"{name}_{layer}.{ext}", data)
+    return out.getvalue()
 
 
 def write_shapes(links: DataFrame, path: str) -> None:
-    """A table of shapefile bodies, one for each partition of points, with the projection text beside each."""
+    """A table of (name, zip), one zipped pair of point and polygon shapefiles for each batch of features; `files.zipped_shapes` reads it."""
+    import uuid
+
     import pandas as pd
 
+    has = lambda c: c in links.columns
+    text = lambda c: F.col(c).cast("string") if has(c) else F.lit(None).cast("string")
+    time = lambda c: short_date(F.col(c)) if has(c) else F.lit(None).cast("string")
+    values = [text("name"), text("confidence"), text("country_code"), text("geonames_id" if has("geonames_id") else "place_id"), text("pcode"), time("start"), time("end")]
+    #: Rings as x, y, x, y ...
+    ring = lambda r: F.flatten(F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    flat = F.transform("mpoly", lambda polygon: F.transform(polygon, ring)) if has("mpoly") else F.lit(None).cast("array<array<array<double>>>")
+
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"shp": [shp_bytes(list(zip(batch.lon, batch.lat, strict=True)))], "prj": [PRJ]})
+            points = list(zip(batch.lon, batch.lat, strict=True))
+            shapes = [[[list(zip(r[::2], r[1::2], strict=True)) for r in (polygon if polygon is not None else []) if r is not None and len(r)] for polygon in (m if m is not None else [])] for m in batch.mpoly]
+            name = uuid.uuid4().hex
+            yield pd.DataFrame({"name": [name], "zip": [shape_zip(name, [list(r) for r in batch["values"]], points, shapes)]})
 
-    links.select("lon", "lat").mapInPandas(run, "shp binary, prj string").write.mode("overwrite").parquet(path)
+    rows = links.select(F.array(*values).alias("values"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), flat.alias("mpoly"))
+    rows.mapInPandas(run, "name string, zip binary").write.mode("overwrite").parquet(path)
 
 
 def write_map(links: DataFrame, path: str, map_format: str = "all") -> list[str]:

@@ -1,5 +1,6 @@
 """Readers, writers, geometry, layers, topics, streaming and the small rules of the engine."""
 
+import io
 import json
 import math
 import random
@@ -182,6 +183,33 @@ def test_maps(links, spark, tmp_path):
     sinks.write_tsv(links.select("name"), str(tmp_path / "t"))
 
 
+def test_shape_maps(links, spark, tmp_path):
+    """Points and polygons come back with their attributes; holes stay with their polygon."""
+    ring = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    holed = [(4, 14, "é" * 200, 0.125, None, 1.0, "IT", "p4", None, [[ring(0.0, 9.0), ring(1.0, 2.0)], [ring(20.0, 21.0)]])]
+    links = links.withColumn("start", F.lit("2020-03-04").cast("date"))
+    links = links.unionByName(spark.createDataFrame(holed, links.drop("importance", "start").schema), allowMissingColumns=True)
+    sinks.write_map(links, str(tmp_path / "m"), "shp")
+    rows = files.zipped_shapes(spark, str(tmp_path / "m" / "shp")).collect()
+    points = {r.attributes["geonames_i"]: r for r in rows if r.path.endswith("_points")}
+    assert {k: (r.lon, r.lat) for k, r in points.items() if k != "14"} == {"11": (1.0, 2.0), "12": (3.0, 4.0), "13": (5.0, 6.0)}
+    assert points["12"].attributes == {"name": 'B"q', "confidence": "0.25", "countrycod": "", "geonames_i": "12", "pcode": "p1", "start_time": "20-03-04", "end_time": ""}
+    assert points["14"].attributes["name"] == "é" * 127
+    found = {}
+    for r in rows:
+        if r.path.endswith("_polygons"):
+            found.setdefault(r.attributes["geonames_i"], []).append([[len(x) for x in polygon] for polygon in r.mpoly])
+    assert {k: sorted(v) for k, v in found.items()} == {"11": [[[4]]], "13": [[[4]], [[4]]], "14": [[[5]], [[5, 5]]]}
+    assert sum(map(len, found.values())) == sinks.shape_parts(links).count()
+    for data in spark.read.parquet(str(tmp_path / "m" / "shp")).collect():
+        with zipfile.ZipFile(io.BytesIO(data.zip)) as z:
+            for n in [n for n in z.namelist() if n.endswith(".shp")]:
+                shp, shx = z.read(n), z.read(n[:-1] + "x")
+                assert struct.unpack(">i", shp[24:28])[0] * 2 == len(shp) and struct.unpack(">i", shx[24:28])[0] * 2 == len(shx)
+                assert all(struct.unpack(">i", shp[2 * o : 2 * o + 4])[0] == i + 1 for i, (o, _) in enumerate(struct.iter_unpack(">2i", shx[100:])))
+                assert z.read(n[:-3] + "prj").decode() == sinks.PRJ
+
+
 PLACES = "id long, name string, lat double, lon double, country_code string, population long, admin_level int"
 
 
