@@ -1,7 +1,7 @@
 """WARC archives compressed with a Zstandard dictionary.
 
 Each task writes archives of its own rows: the first records are set aside to train a dictionary, which goes first as a
-skippable frame (magic 0x184D2A5D); then every record is a frame compressed with it. Of records with equal payloads of
+skippable frame (magic 0x184D2A5D; where there's too little to learn from it is the beginning of the records); then every record is a frame compressed with it. Of records with equal payloads of
 MIN_REVISIT bytes or more, the one with the largest page_id is a response; the others are revisits that refer to it and hold no
 payload.
 
@@ -34,6 +34,8 @@ MIN_REVISIT = 1000
 MAGIC = 0x184D2A5D
 #: Bytes of records that train an archive's dictionary, and bytes of records an archive holds before the next begins.
 TRAIN_BYTES, ARCHIVE_BYTES, DICTIONARY_BYTES = 4 << 20, 256 << 20, 64 << 10
+#: Lengths of the pieces that a dictionary is trained on, tried in turn.
+PIECES = (128 << 10, 4 << 10, 256)
 #: Payloads that occur more than once are broadcast up to so many, about 100 bytes each; more are joined by shuffle.
 BROADCAST_GROUPS = 200_000
 #: Compression level.
@@ -68,6 +70,24 @@ def record(page: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def dictionary(waiting: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on pieces of all records, of at most TRAIN_BYTES, evenly spaced; where they are too few or too alike to
+    learn from, smaller pieces, and at last the beginning of the records as it is."""
+    size = max(256, min(DICTIONARY_BYTES, sum(map(len, waiting)) // 8))
+    for length in PIECES:
+        pieces = [w[i : i + length] for w in waiting for i in range(0, len(w), length)]
+        most = max(1, TRAIN_BYTES // length)
+        total = sum(map(len, pieces))
+        if total > TRAIN_BYTES and len(pieces) > most:
+            most = max(most, len(pieces) * TRAIN_BYTES // total)
+            pieces = [pieces[i * len(pieces) // most] for i in range(most)]
+        try:
+            return zstandard.train_dictionary(size, pieces)
+        except zstandard.ZstdError:
+            continue
+    return zstandard.ZstdCompressionDict(b"".join(w[:size] for w in waiting[:size])[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 class Archive:
     """Writes records to a stream, the dictionary first."""
 
@@ -84,17 +104,10 @@ class Archive:
             self.train()
 
     def train(self) -> None:
-        trained = None
-        try:
-            trained = zstandard.train_dictionary(max(256, min(DICTIONARY_BYTES, self.size // 8)), [w[: 128 << 10] for w in self.waiting])
-        except zstandard.ZstdError:  # too little to learn from
-            pass
-        if trained is None:
-            self.packer = zstandard.ZstdCompressor(level=LEVEL)
-        else:
-            raw = trained.as_bytes()
-            self.out.write(struct.pack("<II", MAGIC, len(raw)) + raw)
-            self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
+        learned = dictionary(self.waiting)
+        raw = learned.as_bytes()
+        self.out.write(struct.pack("<II", MAGIC, len(raw)) + raw)
+        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=learned)
         for data in self.waiting:
             self.out.write(self.packer.compress(data))
         self.waiting = []

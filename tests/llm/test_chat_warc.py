@@ -75,6 +75,21 @@ def test_warc_dictionary_leads():
     assert sum(1 for _ in op9.records(io.BytesIO(out.getvalue()))) == 400
 
 
+def test_warc_dictionary_of_few_records():
+    """An archive of one record or of very long ones has a dictionary too."""
+    rng = random.Random(3)
+    for n, length in ((1, 0), (1, 40), (2, 300), (6, 60_000), (5, 900_000)):
+        out = io.BytesIO()
+        out.close = lambda: None
+        archive = op9.Archive(out)
+        texts = ["".join(rng.choices("abc <>/p", k=length)) for _ in range(n)]
+        for i, t in enumerate(texts):
+            archive.add(op9.record({"page_id": i, "url": None, "html": t, "record_type": "response", "refers_to": None, "payload_digest": "0"}))
+        archive.close()
+        assert out.getvalue()[:4] == (0x184D2A5D).to_bytes(4, "little")
+        assert [block.partition(b"\r\n\r\n")[2].decode() for _, block in op9.records(io.BytesIO(out.getvalue()))] == texts
+
+
 def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     from placewright.llm.common import shared_folder
