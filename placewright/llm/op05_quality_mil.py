@@ -5,7 +5,7 @@ layer maps that to a hidden vector, a gated attention (tanh times sigmoid) weigh
 scored. Only labels of whole documents are learned from; which passages matter is learned with them.
 
 The model is fitted on the driver from at most SAMPLE labelled documents (those with the smallest hash of the id), each with
-at most TRAIN_PASSAGES passages evenly spaced over the whole text. Scoring takes every passage of every text; passages are
+all its passages: the driver holds N_FEATURES numbers for each of them. Scoring takes every passage of every text; passages are
 pooled in blocks with a running softmax, so memory doesn't grow with the text.
 
 Defined results: null and empty texts are one empty passage; labels that are null are ignored and of repeated ones the best
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 PASSAGE = 100
-#: Labelled documents that the model is fitted on, and passages of each.
-SAMPLE, TRAIN_PASSAGES = 6000, 32
+#: Labelled documents that the model is fitted on.
+SAMPLE = 6000
 HIDDEN, ATTENTION, STEPS, RATE, DECAY = 24, 12, 300, 0.03, 1e-4
 _SYMBOLS = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 _BLOCK = 512
@@ -63,11 +63,6 @@ def passages(text: str | None) -> list[list[str]]:
     return [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)] or [[]]
 
 
-def spaced(found: list, most: int) -> list:
-    """At most so many, evenly spaced over all."""
-    return found if len(found) <= most else [found[i * len(found) // most] for i in range(most)]
-
-
 @dataclass
 class Model:
     """Weights of encoder, gated attention and score; fixed is the score where nothing could be learned."""
@@ -144,11 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [np.stack([_features(p) for p in spaced(passages(t.as_py()), TRAIN_PASSAGES)]).astype(np.float32).tobytes() for t in batch.column("text")]
+            bags = [np.stack([_features(p) for p in passages(t.as_py())]).astype(np.float32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags, pa.binary())], names=["doc_id", "bag"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("_i")).drop("_i").mapInArrow(encode, "doc_id long, bag binary")
-    #: One row an id (SAMPLE at most), TRAIN_PASSAGES x N_FEATURES numbers each.
+    #: One row an id (SAMPLE at most), N_FEATURES numbers a passage.
     found = sorted(rows.groupBy("doc_id").agg(F.min("bag").alias("bag")).collect(), key=lambda r: r.doc_id)
     bags = [np.frombuffer(r.bag, np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in found]
     return fit_bags(bags, np.array([chosen[r.doc_id] for r in found], float))

@@ -46,6 +46,25 @@ def test_attention_finds_the_passage():
     assert model.fixed is None
 
 
+def test_every_passage_is_learned_from(spark, monkeypatch):
+    """The passage that tells the labels apart is one of 64."""
+    rng = np.random.default_rng(4)
+
+    def text(good):
+        found = [" ".join(f"w{rng.integers(50)}" for _ in range(op5.PASSAGE)) for _ in range(64)]
+        if good:
+            found[2 * rng.integers(32) + 1] = " ".join(["!!!!"] * op5.PASSAGE)
+        return " ".join(found)
+
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    seen, fit_bags = [], op5.fit_bags
+    monkeypatch.setattr(op5, "fit_bags", lambda bags, y: (seen.extend(map(len, bags)), fit_bags(bags, y))[1])
+    model = op5.fit(docs, labels)
+    assert seen and set(seen) == {64}
+    assert all((model.score(text(i % 2)) >= 0.5) == bool(i % 2) for i in range(20))
+
+
 def test_odd(spark):
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     model = op5.fit(odd(spark).withColumn("quality", F.lit(5)), labels)
