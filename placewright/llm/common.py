@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,12 +52,30 @@ def without(df: DataFrame, *names: str) -> list[Column]:
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have yet."""
-    while name in df.columns:
+    """A column name that df doesn't have yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name = f"_{name}"
     return name
 
 
+def in_order(df: DataFrame, *order: Column, **sums: Column) -> DataFrame:
+    """df with _nth, the number of rows before each in a global order, and for each of sums its total over the rows before.
+
+    Rows are sorted by ranges, and each range starts with the totals of those before it: no task holds all rows.
+    """
+    ranges = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ordered")
+    totals = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_n{i}") for i, c in enumerate(sums.values())])
+    #: A row for each range, of which there are spark.sql.shuffle.partitions at most.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_n{i}").over(before), F.lit(0)).alias(f"_s{i}") for i in ("", *range(len(sums)))])
+    within = Window.partitionBy("_range").orderBy(*order)
+    behind = within.rowsBetween(Window.unboundedPreceding, -1)
+    named = [(F.col(f"_s{i}") + F.coalesce(F.sum(c).over(behind), F.lit(0))).alias(name) for i, (name, c) in enumerate(sums.items())]
+    joined = ranges.join(F.broadcast(starts), F.col("_range") == F.col("_r"))
+    return joined.select(*without(df), (F.col("_s") + F.row_number().over(within) - 1).alias("_nth"), *named)
+
+
 def fence(df: DataFrame, *names: str) -> DataFrame:
     """df with the named columns computed here: filters from above aren't moved below this point, which would compute the columns again, within loops over arrays even for each element."""
     return df.select(*without(df, *names), F.inline_outer(F.array(F.struct(*[F.col(n) for n in names]))))
@@ -79,13 +97,27 @@ def small_batches(spark: SparkSession, rows: int = 256):
 BROADCAST_KEYS = 500_000
 
 
+def with_rows(docs: DataFrame, keys: DataFrame, how: str, *more: str) -> DataFrame:
+    """docs joined (left_anti, left_semi, left) with keys (_id, _text_key, more) by doc_id and text hash, as a struct _doc of all columns and more.
+
+    Texts are shuffled only if the keys are many.
+    """
+    keys = settled(keys.select("_id", "_text_key", *more), "keys")
+    few = keys.count() <= BROADCAST_KEYS
+    keys = keys.select(F.col("_id").alias("_k"), F.col("_text_key").alias("_h"), *more)
+    rows = docs.select(F.struct(*without(docs)).alias("_doc"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_t"))
+    joined = rows.join(F.broadcast(keys) if few else keys, F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")), how)
+    return joined.select("_doc", *more)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the struct _doc."""
+    return rows.select(*[F.col("_doc").getField(c).alias(c) for c in columns])
+
+
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id and text hash are in gone (_id, _text_key). Texts are shuffled only if those are many."""
-    gone = settled(gone.select("_id", "_text_key").distinct(), "gone")
-    few = gone.count() <= BROADCAST_KEYS
-    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_text_key").alias("_gone_key"))
-    on = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_key"])
-    return docs.join(F.broadcast(gone) if few else gone, on, "left_anti")
+    """docs without the rows whose doc_id and text hash are in gone (_id, _text_key)."""
+    return unpacked(with_rows(docs, gone.distinct(), "left_anti"), docs.columns)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ Windows up to BLOCK are broadcast at once; of a larger benchmark one block after
 
 Defined results: null text has no words, is never contaminated and stays; items without words have no windows; a null
 item_id is written as an empty string; rows are told apart by doc_id and text, repeated rows get the same report each;
-empty tables give empty reports, an empty benchmark contaminates nothing; other columns are kept as they are.
+empty tables give empty reports, an empty benchmark contaminates nothing; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, settled, table, without, without_rows
+from .common import alnum_words, settled, table, with_rows, without_rows
 
 WIDTH = 13
 #: Windows broadcast at once: 13 words each, well under 100 MB together.
@@ -129,14 +129,15 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the marked words cut out of their texts."""
-    found = report(_keyed(docs), benchmark, "_id", "_text_key").where("n_hit > 0").dropDuplicates(["_id", "_text_key"]).select("_id", "_text_key", "spans")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_text_key"]), "left")
-    marked = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1)))
-    gaps, words = F.split("text", _RAW), F.regexp_extract_all("text", F.lit(f"({_RAW})"))
+    found = report(_keyed(docs), benchmark, "_id", "_text_key").where("n_hit > 0").dropDuplicates(["_id", "_text_key"])
+    joined = with_rows(docs, found.withColumnRenamed("spans", "_spans"), "left", "_spans")
+    text = F.col("_doc").getField("text")
+    marked = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1)))
+    gaps, words = F.split(text, _RAW, -1), F.regexp_extract_all(text, F.lit(f"({_RAW})"))
     joined = joined.withColumn("_marked", F.map_from_entries(F.transform(F.array_distinct(marked), lambda i: F.struct(i, F.lit(True))))).withColumn("_gaps", gaps).withColumn("_words", words)
     kept = F.transform("_gaps", lambda g, i: F.concat(g, F.when(F.col("_marked")[i].isNotNull(), "").otherwise(F.coalesce(F.get("_words", i), F.lit("")))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.withColumn("text", text).select(*without(docs))
+    cut = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(kept, ""))
+    return joined.select(*[(cut if c == "text" else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

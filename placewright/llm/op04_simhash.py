@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, settled, small_batches, table, without, without_rows, written
+from .common import discard, settled, small_batches, table, unpacked, with_rows, without_rows, written
 
 RADIUS = 3
 SEED = 42
@@ -182,8 +182,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated = found.where(first).groupBy("_id", "_text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
-    rows = kept.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_k"), F.struct(*without(kept)).alias("_doc"))
-    return rows.groupBy("_i", "_k").agg(F.first("_doc").alias("_doc")).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    #: Only the repeated rows are grouped, so no other text is shuffled.
+    again = with_rows(docs, repeated, "left_semi").withColumn("_i", F.col("_doc").getField("doc_id")).withColumn("_k", F.xxhash64(F.col("_doc").getField("text")))
+    once = again.groupBy("_i", "_k").agg(F.first("_doc").alias("_doc"))
+    return without_rows(kept, repeated).unionByName(unpacked(once, docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

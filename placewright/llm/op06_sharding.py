@@ -4,8 +4,8 @@ Each record key draws a number for every shard; the shard with the best weighted
 can only win records for itself, so all others stay where they are.
 
 Defined results: a null key is a key of its own; null text has no bytes and counts as empty in the checksum; repeated
-rows go to the same shard and get slots of their own in any order; empty tables give empty tables; columns of the
-input whose names clash with new ones are refused by `assign`, as one of the two would be lost.
+rows go to the same shard and get slots of their own in any order; empty tables give empty tables; a column of the
+input that is called like the new one stays beside it, with underscores before its name.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, table, uniform
+from .common import fresh, settled, table, uniform, without
 
 SALT = "shard"
 ROWS_A_TASK = 50_000
@@ -32,16 +32,15 @@ def winner(key: Column, weights: Sequence[float]) -> Column:
 
 def assign(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * 16, column: str = "shard") -> DataFrame:
     """docs with the shard of each row. No shuffle."""
-    if column in docs.columns:
-        raise ValueError(f"docs already has a column {column}")
-    return docs.withColumn(column, winner(F.col(key), weights))
+    kept = [c.alias(fresh(docs, name)) if name.lower() == column.lower() else c for name, c in zip(docs.columns, without(docs), strict=True)]
+    return docs.select(*kept, winner(F.col(f"`{key.replace('`', '``')}`"), weights).alias(column))
 
 
 def number(df: DataFrame, group: str, order: Column, ties: Sequence[Column], column: str, total: int) -> DataFrame:
     """df with gapless numbers from 0 within each group, in the order of a draw from (0, 1) and then ties.
 
     The draw cuts each group into slices of about ROWS_A_TASK rows; slices are counted, the counts summed up, and
-    rows numbered within their slice. So a group of any size is spread over many tasks.
+    rows numbered within their slice. So a group of any size is spread over many tasks, if the draws are.
     """
     slices = max(1, total // ROWS_A_TASK)
     cut = df.withColumn("_draw", order).withColumn("_slice", F.floor(F.col("_draw") * slices).cast("int"))
@@ -63,7 +62,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    slim = settled(assign(slim), "shards")
-    numbered = number(slim, "shard", uniform(F.col("doc_id"), F.col("text_crc32"), salt="slot"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", slim.count())
+    #: The place in the table tells repeated rows apart, so they don't share a draw; it is written, so it stays.
+    slim = settled(assign(slim).withColumn("_place", F.monotonically_increasing_id()), "shards")
+    numbered = number(slim, "shard", uniform(F.col("doc_id"), F.col("text_crc32"), F.col("_place"), salt="slot"), [F.col("doc_id"), F.col("_place")], "slot", slim.count())
     grown = winner(F.col("doc_id"), (1.0,) * 17)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))

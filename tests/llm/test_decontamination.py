@@ -55,6 +55,27 @@ def test_spans_are_cut(spark):
     assert out[7].split() == ["fifteen"]
 
 
+def test_spans_keep_other_columns(spark, monkeypatch):
+    from placewright.llm import common
+
+    docs = spark.createDataFrame([*enumerate(TEXTS), (2, TEXTS[2])], "doc_id long, text string")
+    for i, name in enumerate(["spans", "_words", "_spans", "_id", "_text_key", "_doc", "_k", "a`b", "n_hit"]):
+        docs = docs.withColumn(name, F.lit(f"keep{i}"))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = None
+    for most in (common.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", most)
+        out = op1.without_spans(docs, items)
+        assert out.columns == docs.columns
+        rows = sorted(map(tuple, out.collect()), key=repr)
+        assert len(rows) == len(TEXTS) + 1 and all(r[2:] == tuple(f"keep{i}" for i in range(9)) for r in rows)
+        assert want in (None, rows)
+        want = rows
+        kept = op1.clean(docs, items)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 9, 10]
+    assert op1.without_spans(docs.limit(0), items).count() == 0
+
+
 def test_odd(spark):
     items = spark.createDataFrame([(None, "a b c a b c")], "item_id long, text string")
     clash = odd(spark).withColumn("n_words", F.lit("x")).withColumn("_id", F.lit(0)).withColumn("spans", F.lit(0))

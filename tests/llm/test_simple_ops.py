@@ -82,8 +82,9 @@ def test_slots_of_one_id(spark, tmp_path):
 def test_shard_odd(spark, tmp_path):
     assert op6.assign(odd(spark)).count() == len(ODD)
     assert op6.assign(odd(spark).limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        op6.assign(odd(spark).withColumn("shard", F.lit(1)))
+    out = op6.assign(odd(spark).withColumn("Shard", F.lit(7)).withColumn("_shard", F.lit(8)))
+    assert out.columns == [*odd(spark).columns, "__Shard", "_shard", "shard"]
+    assert {(r["__Shard"], r["_shard"]) for r in out.collect()} == {(7, 8)} and all(0 <= r["shard"] < 16 for r in out.collect())
     op6.write_shards(odd(spark), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(ODD)
 
@@ -108,26 +109,112 @@ def test_mix_targets(spark):
     assert got == pytest.approx(want)
 
 
-def test_mix_near_target_and_odd(spark):
-    rng = random.Random(3)
-    rows = [(i, "w " * rng.randint(1, 60), "en", rng.choice(["a", "a", "a", "b", None]), 1) for i in range(800)]
-    df = op8.mix(spark.createDataFrame(rows, TYPES))
-    assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    slim, shares, _ = op8.shares_of(spark.createDataFrame(rows, TYPES))
-    aim = {r.source: r.target for r in shares.collect()}
-    got, most = Counter(), Counter()
-    for r in df.collect():
-        got[r.source] += len(r.text.split())
-        most[r.doc_id] += 1
-    assert max(most.values()) <= 3
-    for s, t in aim.items():
-        assert abs(got[s] - t) <= 60
-    again = Counter(r.doc_id for r in op8.mix(spark.createDataFrame(rows, TYPES).repartition(7)).collect())
-    assert again == most
+def brute_plan(docs, weights):
+    """For each document (id, words, source) its inclusion probability and stratum, whole copies by source and sample sizes by stratum, all anew."""
+    sizes = Counter()
+    for _, n, source in docs:
+        sizes[source] += n
+    full, total = {}, sum(sizes.values())
+    while True:
+        rest = [k for k in sizes if k not in full]
+        level = (total - sum(full.values())) / sum(weights[k] for k in rest)
+        over = [k for k in rest if level * weights[k] >= 3 * sizes[k]]
+        if not over:
+            break
+        full |= {k: 3 * sizes[k] for k in over}
+    aim = full | {k: level * weights[k] for k in rest}
+    lean = lambda n: (min(n, 1000) + 1) / (min(n, 1000) + 51)
+    chance, strata, size = {}, {}, {}
+    whole = {k: int(aim[k] / sizes[k] + 1e-9) if sizes[k] else 0 for k in sizes}
+    for source in sizes:
+        mine = [(i, n) for i, n, s in docs if s == source and n]
+        due = max(0.0, aim[source] - whole[source] * sizes[source])
+        low, high = 0.0, 100.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * min(1, mid * lean(n)) for _, n in mine) < due else (low, mid)
+        for i, n in mine:
+            chance[i] = min(1, low * lean(n))
+            strata[i] = (source, n.bit_length(), n >> max(0, n.bit_length() - 4))
+        left = 0.0
+        for st in sorted({strata[i] for i, _ in mine}, key=lambda x: x[1:], reverse=True):
+            here = [(i, n) for i, n in mine if strata[i] == st]
+            mean = sum(n for _, n in here) / len(here)
+            left += sum(n * chance[i] for i, n in here)
+            size[st] = min(len(here), max(0, math.floor(left / mean + 0.5)))
+            left -= size[st] * mean
+    return aim, whole, chance, strata, size
+
+
+def brute_mix(docs, planned, draw):
+    aim, whole, chance, strata, size = planned
+    by = {}
+    for i, n, _ in docs:
+        if n:
+            q = math.inf if chance[i] == 0 else draw(i) / (1 - draw(i)) * ((1 - chance[i]) / chance[i])
+            by.setdefault(strata[i], []).append((q, i))
+    taken = {i for st, rows in by.items() for _, i in sorted(rows)[: size[st]]}
+    return {i: whole[s] + (i in taken) for i, _, s in docs}
+
+
+def mixed_docs(rng, n):
+    length = lambda: rng.choice([rng.randint(1, 60), rng.randint(1, 8), rng.randint(200, 3000)])
+    return [(i, length(), rng.choice(["a", "a", "a", "b", "b", "c", None])) for i in range(n)]
+
+
+def test_mix_against_brute_force(spark, monkeypatch):
+    docs = [*mixed_docs(random.Random(3), 500), (500, 0, "a"), (501, 0, "empty")]
+    df = spark.createDataFrame([(i, "w " * n, "en", s, 1) for i, n, s in docs], TYPES)
+    planned = brute_plan(docs, {"a": 5, "b": 2, "c": 1, "empty": 5, None: 2})
+    for salt, few in (("mix", 100_000), ("other", 0)):
+        monkeypatch.setattr(op8, "SALT", salt)
+        monkeypatch.setattr(op8, "BROADCAST_SOURCES", few)
+        want = brute_mix(docs, planned, lambda i: u(salt, i, hashlib.md5(("w " * docs[i][1]).encode()).hexdigest()))  # noqa: B023
+        got = Counter(r.doc_id for r in op8.mix(df).collect())
+        assert got == Counter({i: c for i, c in want.items() if c})
+
+
+def test_mix_probabilities_over_many_draws():
+    """The share of draws that take a document is its inclusion probability, up to the rounding of sample sizes; words come near the target every time."""
+    docs = mixed_docs(random.Random(5), 3000)
+    planned = brute_plan(docs, {"a": 5, "b": 2, "c": 1, None: 5})
+    aim, whole, chance, strata, size = planned
+    rng, draws = random.Random(6), 150
+    seen = Counter()
+    for _ in range(draws):
+        drawn = {i: rng.random() for i, *_ in docs}
+        taken = brute_mix(docs, planned, drawn.__getitem__)
+        words = Counter()
+        for i, n, s in docs:
+            words[s] += taken[i] * n
+            seen[i] += taken[i] - whole[s]
+        for s, target in aim.items():
+            assert abs(words[s] - target) <= 0.01 * target + 20
+    for st in size:
+        mine = [i for i in strata if strata[i] == st]
+        aimed = sum(chance[i] for i in mine)
+        if len(mine) >= 20 and aimed > 2:
+            assert abs(sum(seen[i] for i in mine) / draws - aimed) <= 1  # the rounding
+            for i in mine:
+                p = min(1.0, chance[i] * size[st] / aimed)
+                assert abs(seen[i] / draws - p) <= 5 * math.sqrt(p * (1 - p) / draws) + 0.03
+    shorter = [chance[i] for i, n, s in docs if s == "b" and n < 5]
+    longer = [chance[i] for i, n, s in docs if s == "b" and n > 500]
+    assert max(shorter) < min(longer)
+
+
+def test_mix_odd(spark):
     assert op8.mix(odd(spark)).count() >= 1
     assert op8.mix(odd(spark).limit(0)).count() == 0
-    clash = odd(spark).withColumn("size", F.lit(1)).withColumn("copies", F.lit(2)).withColumn("target", F.lit(2))
-    assert op8.mix(clash).columns == clash.columns
+    clash = odd(spark)
+    for i, name in enumerate(["size", "copies", "target", "_x", "_size", "_d", "_doc", "_copy", "u", "whole", "a`b", "c.d", "stratum"]):
+        clash = clash.withColumn(name, F.lit(f"keep{i}"))
+    out = op8.mix(clash)
+    assert out.columns == clash.columns
+    for r in out.collect():
+        assert r["_size"] == "keep4" and r["_x"] == "keep3" and r["a`b"] == "keep10" and r["c.d"] == "keep11" and r["u"] == "keep8"
+    again = Counter(r.doc_id for r in op8.mix(odd(spark).repartition(5)).collect())
+    assert again == Counter(r.doc_id for r in op8.mix(odd(spark)).collect()) and max(again.values()) <= 6
 
 
 def brute_quality(text):
