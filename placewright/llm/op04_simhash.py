@@ -39,6 +39,10 @@ SEED = 42
 SHINGLE = 3
 #: Shingles whose bits are counted at once.
 _CHUNK = 65_536
+#: Fingerprints that share a half, beyond which its route is split, the lanes of a route at most, and fingerprints a task (about 1,100 rows each).
+LANE, MOST_LANES, FINGERPRINTS_A_TASK = 4_096, 4_096, 4_000
+#: Tables of split routes up to so many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROUTES = 100_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -91,25 +95,41 @@ def _met(nodes: DataFrame) -> DataFrame:
     A route is a half that may be flipped and the value of the other half. Even fingerprints go to the routes of themselves
     and of their variants in the other half, 33 for each half; odd ones to their own two. On a route an even one makes its
     variants with one bit of the half flipped (or, if a bit of the other half is, just that variant), an odd one those with
-    two bits of the half flipped, and itself.
+    two bits of the half flipped, and itself. A route of many fingerprints is split: its fingerprints go to several lanes,
+    and on each lane only the variants that are dealt there by their hash are made.
     """
     spark = nodes.sparkSession
-    even = F.bit_count("fp") % 2 == 0
-    routed = [(nodes.where(even).select("fp", F.lit(h).alias("half"), F.explode(_longs([0, *ONES[1 - h]])).alias("flip")), nodes.where(~even).select("fp", F.lit(h).alias("half"))) for h in (0, 1)]
     rest = F.when(F.col("half") == 0, F.lit(HALF[1]).cast("bigint")).otherwise(F.lit(HALF[0]).cast("bigint"))
-    evens = routed[0][0].unionByName(routed[1][0]).withColumn("base", F.col("fp").bitwiseXOR(F.col("flip")))
-    evens = evens.select("half", F.col("base").bitwiseAND(rest).alias("route"), "fp", "flip")
-    odds = routed[0][1].unionByName(routed[1][1]).select("half", F.col("fp").bitwiseAND(rest).alias("route"), "fp")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    halves = F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
+    own = nodes.select("fp", halves).withColumn("route", F.col("fp").bitwiseAND(rest))
+    hot = own.groupBy("half", "route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LANE)
+    hot = settled(hot.select(F.col("half").alias("_h"), F.col("route").alias("_r"), F.least(F.lit(MOST_LANES), F.ceil(F.col("n") / LANE)).cast("int").alias("lanes")), "hot")
+    n_hot = hot.count()
+
+    def laned(df: DataFrame) -> DataFrame:
+        if not n_hot:
+            return df.withColumn("lanes", F.lit(1)).withColumn("lane", F.lit(0))
+        named = df.join(F.broadcast(hot) if n_hot <= BROADCAST_ROUTES else hot, (F.col("half") == F.col("_h")) & (F.col("route") == F.col("_r")), "left")
+        return named.drop("_h", "_r").withColumn("lanes", F.coalesce("lanes", F.lit(1))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+
+    even = F.bit_count("fp") % 2 == 0
+    other = F.when(F.col("half") == 0, _longs([0, *ONES[1]])).otherwise(_longs([0, *ONES[0]]))
+    evens = nodes.where(even).select("fp", halves).select("fp", "half", F.explode(other).alias("flip"))
+    evens = laned(evens.withColumn("route", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(rest)))
+    odds = laned(own.where(~even))
+    #: An odd fingerprint makes 497 variants on a route, an even one 32 or one.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() // FINGERPRINTS_A_TASK)
     of_half = lambda masks: F.when(F.col("half") == 0, _longs(masks[0])).otherwise(_longs(masks[1]))
-    own = F.when(F.col("flip") == 0, of_half(ONES)).otherwise(_longs([0]))
-    evens = evens.repartition(tasks, "half", "route").select("half", "route", "fp", F.explode(own).alias("_mask"), "flip")
-    evens = evens.select("half", "route", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseXOR(F.col("_mask")).alias("variant"), "fp")
-    reps = evens.groupBy("half", "route", "variant").agg(F.min("fp").alias("rep")).withColumnRenamed("half", "_half").withColumnRenamed("route", "_route").withColumnRenamed("variant", "_variant")
-    odds = odds.repartition(tasks, "half", "route").select("half", "route", "fp", F.explode(of_half([[0, *TWOS[0]], [0, *TWOS[1]]])).alias("_mask"))
-    odds = odds.select("half", "route", F.col("fp").bitwiseXOR(F.col("_mask")).alias("variant"), "fp")
-    on = (F.col("half") == F.col("_half")) & (F.col("route") == F.col("_route")) & (F.col("variant") == F.col("_variant"))
-    return odds.join(reps.hint("shuffle_hash"), on).select("fp", "rep")
+    mine = (F.col("lanes") == 1) | (F.pmod(F.xxhash64("variant"), F.col("lanes")) == F.col("lane"))
+    flips = F.when(F.col("flip") == 0, of_half(ONES)).otherwise(_longs([0]))
+    evens = evens.repartition(tasks, "half", "route", "lane").select("half", "route", "lane", "lanes", "fp", F.explode(flips).alias("_mask"), "flip")
+    evens = evens.withColumn("variant", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseXOR(F.col("_mask"))).where(mine)
+    reps = evens.groupBy("half", "route", "lane", "variant").agg(F.min("fp").alias("rep")).select(*[F.col(c).alias(f"_{c}") for c in ("half", "route", "lane", "variant")], "rep")
+    odds = odds.repartition(tasks, "half", "route", "lane").select("half", "route", "lane", "lanes", "fp", F.explode(of_half([[0, *TWOS[0]], [0, *TWOS[1]]])).alias("_mask"))
+    odds = odds.withColumn("variant", F.col("fp").bitwiseXOR(F.col("_mask"))).where(mine)
+    #: Sorted, so it spills; the variant goes first, as it tells rows apart soonest.
+    on = (F.col("variant") == F.col("_variant")) & (F.col("route") == F.col("_route")) & (F.col("half") == F.col("_half")) & (F.col("lane") == F.col("_lane"))
+    return odds.join(reps.hint("merge"), on).select("fp", "rep")
 
 
 def _in_place(met: DataFrame) -> DataFrame:

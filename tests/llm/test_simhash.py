@@ -1,6 +1,7 @@
 """SimHash near-duplicates against brute force."""
 
 import random
+from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
@@ -70,6 +71,40 @@ def test_links_of_planted_fingerprints(spark):
             assert (stars.get(a, a) == stars.get(b, b)) == (comp[i] == comp[j])
 
 
+def test_split_routes(spark, monkeypatch):
+    """Thousands of fingerprints that share a half, in lanes, give the links of all."""
+    rng = random.Random(9)
+    high = rng.getrandbits(32) << 32
+    fps = {high | rng.getrandbits(14) << rng.randrange(18) for _ in range(700)} | {rng.getrandbits(64) for _ in range(100)}
+    fps |= {x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for x in list(fps)[:200]}
+    nodes = spark.createDataFrame([(op4._signed(x),) for x in fps], "fp long")
+    comp = brute_components({x: x for x in fps})
+    sizes = sorted(Counter(comp.values()).values())
+    assert sizes[-1] > 50
+    for lane, routes in ((op4.LANE, op4.BROADCAST_ROUTES), (20, op4.BROADCAST_ROUTES), (20, 0)):
+        monkeypatch.setattr(op4, "LANE", lane)
+        monkeypatch.setattr(op4, "BROADCAST_ROUTES", routes)
+        stars = {r.a: r.b for r in op4.components(op4.links(nodes)).collect()}
+        roots = {x: stars.get(op4._signed(x), op4._signed(x)) for x in fps}
+        assert len({(comp[x], roots[x]) for x in fps}) == len(set(comp.values())) == len(set(roots.values()))
+
+
+def test_keep_one_ways(spark, monkeypatch):
+    """Rows to drop are broadcast or joined, and repeated rows are put together, with the same result."""
+    from placewright.llm import common
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{text} {i // 3}" if i % 3 else text, "en", "s", i) for i in range(60)] + [(3, text, "en", "s", 3)] * 5 + [(100, "alone", "en", "s", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_doc", F.lit("x")).withColumn("a`b", F.lit("y"))
+    comp = brute_components({i: brute_fingerprint(t) for i, t, *_ in rows})
+    for most in (common.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", most)
+        out = op4.keep_one(docs)
+        assert out.columns == docs.columns
+        assert sorted(r.doc_id for r in out.collect()) == sorted(set(comp.values()))
+        assert {(r["_doc"], r["a`b"]) for r in out.collect()} == {("x", "y")}
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(500, 400)], "a long, b long")
     got = {r.a: r.b for r in op4.components(edges).collect()}
