@@ -151,13 +151,18 @@ def _clean() -> None:
             return
 
 
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is removed when the session's program ends."""
+    path = f"{shared_folder(spark)}/placewright/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, read again: the lineage ends there and lost executors cost nothing. Gives the path too."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/placewright/{name}-{uuid.uuid4().hex}"
+    path = passing_folder(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:

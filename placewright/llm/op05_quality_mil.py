@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import settled, small_batches, table
 
 PASSAGE = 100
 #: Labelled documents that the model is fitted on.
@@ -63,6 +64,11 @@ def passages(text: str | None) -> list[list[str]]:
     return [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)] or [[]]
 
 
+def _gated(h: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """The attention of hidden vectors before the softmax."""
+    return (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"]
+
+
 @dataclass
 class Model:
     """Weights of encoder, gated attention and score; fixed is the score where nothing could be learned."""
@@ -70,6 +76,12 @@ class Model:
     w: dict[str, np.ndarray]
     fixed: float | None = None
 
+    def attention(self, x: np.ndarray) -> np.ndarray:
+        """The weight of each passage of a bag of features."""
+        s = _gated(np.tanh((x - self.w["mean"]) / self.w["scale"] @ self.w["W"] + self.w["b"]), self.w)
+        e = np.exp(s - s.max())
+        return e / e.sum()
+
     def score(self, text: str | None) -> float:
         if self.fixed is not None:
             return self.fixed
@@ -78,13 +90,40 @@ class Model:
         for i in range(0, len(found), _BLOCK):
             x = np.stack([_features(p) for p in found[i : i + _BLOCK]])
             h = np.tanh((x - w["mean"]) / w["scale"] @ w["W"] + w["b"])
-            s = (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"]
+            s = _gated(h, w)
             new = max(top, s.max())
             keep, e = np.exp(top - new), np.exp(s - new)
             below, pooled, top = below * keep + e.sum(), pooled * keep + e @ h, new
         return float(1 / (1 + np.exp(-np.clip(pooled / below @ w["c"] + w["d"][0], -30, 30))))
 
 
+def initial(d: int, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights to begin with, for d features."""
+    rng = np.random.default_rng(seed)
+    drawn = lambda n, *shape: rng.normal(0, n**-0.5, shape)
+    return {"W": drawn(d, d, HIDDEN), "b": np.zeros(HIDDEN), "V": drawn(HIDDEN, HIDDEN, ATTENTION), "U": drawn(HIDDEN, HIDDEN, ATTENTION), "a": drawn(ATTENTION, ATTENTION), "c": drawn(HIDDEN, HIDDEN), "d": np.zeros(1)}
+
+
+def loss_and_gradient(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean log loss of bags and its gradient. x: all passages; starts: the first one of each bag; owner: the bag of each."""
+    h = np.tanh(x @ w["W"] + w["b"])
+    t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
+    s = (t * g) @ w["a"]
+    e = np.exp(s - np.maximum.reduceat(s, starts)[owner])
+    alpha = e / np.add.reduceat(e, starts)[owner]
+    z = np.add.reduceat(alpha[:, None] * h, starts)
+    p = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"][0], -30, 30)))
+    loss = -float(np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)))
+    err = (p - labels) / len(labels)
+    dz = err[:, None] * w["c"]
+    dalpha = (h * dz[owner]).sum(axis=1)
+    ds = alpha * (dalpha - np.add.reduceat(alpha * dalpha, starts)[owner])
+    dt, dg = ds[:, None] * w["a"] * g * (1 - t**2), ds[:, None] * w["a"] * t * g * (1 - g)
+    dh = alpha[:, None] * dz[owner] + dt @ w["V"].T + dg @ w["U"].T
+    du = dh * (1 - h**2)
+    return loss, {"W": x.T @ du, "b": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ ds, "c": z.T @ err, "d": np.array([err.sum()])}
+
+
 def fit_bags(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """The model of bags of passage features by gradient descent (Adam) on the log loss."""
     good = int(labels.sum())
@@ -95,26 +134,10 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model
     starts, owner = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(bags)), sizes)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = (x - mean) / scale
-    rng = np.random.default_rng(seed)
-    d = x.shape[1]
-    w = {"W": rng.normal(0, d**-0.5, (d, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "a": rng.normal(0, ATTENTION**-0.5, ATTENTION), "c": rng.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1)}
+    w = initial(x.shape[1], seed)
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, STEPS + 1):
-        h = np.tanh(x @ w["W"] + w["b"])
-        t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
-        s = (t * g) @ w["a"]
-        e = np.exp(s - np.maximum.reduceat(s, starts)[owner])
-        alpha = e / np.add.reduceat(e, starts)[owner]
-        z = np.add.reduceat(alpha[:, None] * h, starts)
-        p = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"][0], -30, 30)))
-        err = (p - labels) / len(labels)
-        dz = err[:, None] * w["c"]
-        dalpha = (h * dz[owner]).sum(axis=1)
-        ds = alpha * (dalpha - np.add.reduceat(alpha * dalpha, starts)[owner])
-        dt, dg = ds[:, None] * w["a"] * g * (1 - t**2), ds[:, None] * w["a"] * t * g * (1 - g)
-        dh = alpha[:, None] * dz[owner] + dt @ w["V"].T + dg @ w["U"].T
-        du = dh * (1 - h**2)
-        grad = {"W": x.T @ du, "b": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ ds, "c": z.T @ err, "d": np.array([err.sum()])}
+        _, grad = loss_and_gradient(w, x, starts, owner, labels)
         for k in w:
             grad[k] = grad[k] + DECAY * w[k]
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
@@ -135,16 +158,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     if not chosen:
         return fit_bags([], np.zeros(0))
-    ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "_i long"))
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], T.StructType([T.StructField("_i", labels.schema["doc_id"].dataType)])))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [np.stack([_features(p) for p in passages(t.as_py())]).astype(np.float32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags, pa.binary())], names=["doc_id", "bag"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("_i")).drop("_i").mapInArrow(encode, "doc_id long, bag binary")
+    labelled = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_i")).select(F.col("_i").alias("doc_id"), "text")
+    rows = labelled.mapInArrow(encode, labelled.select("doc_id").schema.add("bag", "binary"))
     #: One row an id (SAMPLE at most), N_FEATURES numbers a passage.
-    found = sorted(rows.groupBy("doc_id").agg(F.min("bag").alias("bag")).collect(), key=lambda r: r.doc_id)
+    with small_batches(spark):
+        found = sorted(rows.groupBy("doc_id").agg(F.min("bag").alias("bag")).collect(), key=lambda r: r.doc_id)
     bags = [np.frombuffer(r.bag, np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in found]
     return fit_bags(bags, np.array([chosen[r.doc_id] for r in found], float))
 
@@ -158,7 +183,9 @@ def score(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
             found = [model.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(found, pa.float64())], names=[*names, "score"])
 
-    return docs.select(*names, "text").mapInArrow(run, docs.select(*names).schema.add("score", "double"))
+    scored = docs.select(*names, "text").mapInArrow(run, docs.select(*names).schema.add("score", "double"))
+    with small_batches(docs.sparkSession):
+        return settled(scored, "scores")
 
 
 def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, shared_folder, table, without
+from .common import passing_folder, settled, small_batches, table, without
 
 MIN_REVISIT = 1000
 MAGIC = 0x184D2A5D
@@ -146,7 +145,8 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
             archive.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([archive.n], pa.int64())], names=["path", "n_records"])
 
-    return settled(rows.mapInArrow(run, "path string, n_records long"), "manifest")
+    with small_batches(rows.sparkSession):
+        return settled(rows.mapInArrow(run, "path string, n_records long"), "manifest")
 
 
 def records(stream) -> Iterator[tuple[dict, bytes]]:
@@ -230,7 +230,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/placewright/warc-{uuid.uuid4().hex}"
+    folder = passing_folder(spark, "warc")
     return read(write(dealt(table(spark, sf_dir, "pages")), folder), folder)
 
 

@@ -34,16 +34,50 @@ def test_running_softmax_is_exact(monkeypatch):
     assert abs(model.score(text) - whole) < 1e-9
 
 
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(3)
+    sizes = [1, 4, 2, 7]
+    x = rng.normal(size=(sum(sizes), 9))
+    starts, owner = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(4), sizes)
+    labels = np.array([0.0, 1.0, 1.0, 0.0])
+    w = {k: v + rng.normal(0, 0.3, v.shape) for k, v in op5.initial(9).items()}
+    _, grad = op5.loss_and_gradient(w, x, starts, owner, labels)
+    for k, v in w.items():
+        for at in rng.choice(v.size, min(v.size, 12), replace=False):
+            step = np.zeros(v.size)
+            step[at] = 1e-5
+            up, down = (op5.loss_and_gradient(w | {k: v + sign * step.reshape(v.shape)}, x, starts, owner, labels)[0] for sign in (1, -1))
+            assert abs((up - down) / 2e-5 - grad[k].reshape(-1)[at]) < 1e-7
+
+
 def test_attention_finds_the_passage():
+    """One passage of eight carries the label: most of the weight falls on it, in bags not learned from too."""
     rng = np.random.default_rng(2)
-    labels = (np.arange(200) % 2).astype(float)
-    bags = []
-    for y in labels:
-        bag = rng.normal(size=(8, op5.N_FEATURES)) * 0.3
-        bag[rng.integers(8), 3] = 3.0 if y else -3.0
-        bags.append(bag)
+
+    def made(n):
+        labels = (np.arange(n) % 2).astype(float)
+        bags, planted = [], rng.integers(8, size=n)
+        for y, at in zip(labels, planted, strict=True):
+            bag = rng.normal(size=(8, op5.N_FEATURES)) * 0.3
+            bag[at, 3], bag[at, 5] = (3.0 if y else -3.0), 3.0
+            bags.append(bag)
+        return bags, labels, planted
+
+    bags, labels, planted = made(300)
     model = op5.fit_bags(bags, labels)
-    assert model.fixed is None
+    for some, _, places in ((bags, labels, planted), made(100)):
+        weights = [model.attention(bag) for bag in some]
+        assert np.mean([w[at] for w, at in zip(weights, places, strict=True)]) > 0.7
+        assert np.mean([w.argmax() == at for w, at in zip(weights, places, strict=True)]) > 0.95
+
+
+def test_ids_that_are_not_numbers(spark):
+    rng = np.random.default_rng(1)
+    text = lambda good: " ".join(("!!!!" if good else "w") + str(rng.integers(50)) for _ in range(120))
+    docs = spark.createDataFrame([(f"d{i}", text(i % 2)) for i in range(80)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(80)], "doc_id string, quality int")
+    scored = {r.doc_id: r.score for r in op5.score(docs, op5.fit(docs, labels), "doc_id").collect()}
+    assert all((scored[f"d{i}"] >= 0.5) == bool(i % 2) for i in range(80))
 
 
 def test_every_passage_is_learned_from(spark, monkeypatch):
