@@ -259,11 +259,58 @@ def test_quality_query(spark):
     for d in docs:
         r = rows[d.doc_id]
         assert tuple(r)[1:7] == brute_quality(d.text)
-        assert not (r.base_failed and r.kept)
+    want = brute_kept([(d.doc_id, d.text, d.lang) for d in docs], list(labels.items()))
+    assert {i: r.kept for i, r in rows.items()} == want
     good = [rows[i] for i, q in labels.items() if q == 1 and not rows[i].base_failed]
     assert sum(not r.kept for r in good) <= 0.05 * len(good)
 
 
+def brute_kept(docs, labels):
+    """doc_id to verdict of (doc_id, text, lang): cutoffs by exact binomial tails in whole numbers."""
+    from fractions import Fraction
+
+    figures = {}
+    for i, text, _ in docs:
+        n, chars, symbols, dup, repeat, base = brute_quality(text)
+        lines = (text or "").count("\n") + 1
+        figures[i] = base, {"symbols_a_word": symbols / max(n, 1), "dup_lines": dup / lines, "repeats": repeat / max(n, 1), "capitals": len(re.findall("[A-Z]", text or "")) / max(chars, 1), "word_length": chars / max(n, 1)}
+    good = {i for i, q in labels if q == 1}
+    holdout = {}
+    for i, _, lang in docs:
+        if i in good and not figures[i][0]:
+            holdout.setdefault(lang, []).append(figures[i][1])
+    risk, level = Fraction(op10.RISK) / len(op10.LADDERS), Fraction(op10.LEVEL) / (len(holdout) * len(op10.LADDERS)) if holdout else 0
+    limits = {}
+    for lang, rows in holdout.items():
+        for rule, ladder in op10.LADDERS.items():
+            for cut in ladder:
+                k, n = sum(r[rule] > cut for r in rows), len(rows)
+                tail = sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) if k < n * risk else 1
+                if tail > level:
+                    break
+                limits[lang, rule] = cut
+    return {i: not figures[i][0] and not any(v > limits.get((lang, rule), math.inf) for rule, v in figures[i][1].items()) for i, _, lang in docs}
+
+
+def test_quality_verdicts_against_brute_force(spark, monkeypatch):
+    """Cutoffs and verdicts, with tables of cutoffs broadcast and joined."""
+    rng = random.Random(8)
+    docs = [(i, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(rng.randint(45, 120))) + rng.choice(["", " $$ # % " * rng.randint(1, 30), "\nAB CD EF" * rng.randint(1, 9)]), rng.choice(["en", "en", "en", "de", None])) for i in range(700)]
+    sf = "/root/testdata/sf0.01"
+    real = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    known = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    made = [(i, int("$" not in t)) for i, t, _ in docs]
+    for rows, labels, risk in ((real, known, 0.05), (docs, made, 0.5), (docs, made[:5], 0.5)):
+        monkeypatch.setattr(op10, "RISK", risk)
+        monkeypatch.setattr(op10.cutoffs, "__defaults__", (risk, op10.LEVEL))
+        want = brute_kept(rows, labels)
+        assert risk == 0.05 or len(labels) < 9 or 0 < sum(want.values()) < sum(not brute_quality(t)[-1] for _, t, _ in rows)
+        table, quality = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+        for few in (op10.BROADCAST_STRATA, 0):
+            monkeypatch.setattr(op10, "BROADCAST_STRATA", few)
+            assert {r.doc_id for r in op10.passing(table, quality).collect()} == {i for i, kept in want.items() if kept}
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     clash = odd(spark).withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(0)).withColumn("_text", F.lit(0))
