@@ -1,13 +1,18 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base entities (e-mail, IP, card, phone) are found by pattern and validated. They are the seeds. Every entity, and every other
-token that could be an identifier, stands between words; each neighbourhood is a lexical pattern ("two words before", "one
-before and one after"). Patterns and instances form a graph, which is scored in rounds: a pattern's confidence is the score
-of its distinct instances over their number, smoothed; an instance's score is that of at least one of its confident patterns
-being right. Unknown tokens in confident patterns become instances, and in the end spans of kind `id`.
+Base entities (e-mail, IP, card, phone) are found by pattern and validated. They are the seeds, and with them keys: tokens of 32
+or more hexadecimal digits. Every seed, and every other token that could be an identifier, stands between words; each
+neighbourhood is a lexical pattern: the two words before, one before and one after, or one before with a mark such as `=`.
+Patterns and instances form a graph, which is scored until nothing changes: a pattern's confidence is the score of its
+distinct instances over their number, of which what isn't known to be an identifier counts UNKNOWN; an instance's score is
+that of at least one of its confident patterns being right. Scores only rise, so this ends. Seeds and unknown tokens with
+enough score become spans of kind `id`.
+
+Tokens that could be identifiers have three digits and SHORTEST characters, or stand after a mark or with an `@` before
+them and have four. Neighbouring words are whole, however long; they may lie in the matches beside.
 
 Places come from the texts between the matches, whose lengths are summed up by document after the match itself: only matches
-and their neighbourhoods are shuffled, never texts.
+and their neighbouring words are shuffled, never texts.
 
 Defined results: null text is empty; base spans of each kind are leftmost, don't overlap, and failing ones are dropped without
 a retry; added spans never overlap base ones; rows are told apart by doc_id and text, repeated rows get the same result each; an
@@ -28,11 +33,15 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:\G|(?<![0-9])(?<![0-9][\x20-]))[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+",
+    "id": r"(?:(?<![^\x20\x09-\x0D=:])[^\x20\x09-\x0D=:0-9]*+[0-9]|(?<![^\x20\x09-\x0D])@|(?<=[=:#]\x20)[^\x20\x09-\x0D])[^\x20\x09-\x0D]*+",
 }
-#: Code points of a neighbourhood that are looked at, and letters that an unknown token needs at least.
-NEAR, SHORTEST = 80, 6
-ROUNDS, SMOOTH, SUPPORT, TRUST, ENOUGH = 3, 1.0, 3.0, 0.6, 0.8
+#: Keys, which are seeds too.
+KEY = r"^(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+$"
+#: Characters that an unknown token needs at least, away from marks and beside them.
+SHORTEST, SHORT = 6, 4
+#: A pattern is confident from SUPPORT known instances and a confidence of TRUST on; SMOOTH counts against it, and so does a part of each unknown instance. ENOUGH makes an identifier.
+UNKNOWN, SMOOTH, SUPPORT, TRUST, ENOUGH = 0.25, 1.0, 3.0, 0.6, 0.8
+_WORD, _REST = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]"
 
 
 def _tests(kind: str, match: Column) -> Column:
@@ -53,10 +62,18 @@ def _tests(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _tail(gap: Column) -> Column:
+    """The end of a text from its last two words on."""
+    return F.reverse(F.regexp_extract(F.reverse(gap), f"^{_REST}*+(?:{_WORD}(?:{_REST}++{_WORD})?+)?+{_REST}*+", 0))
+
+
 def matches(docs: DataFrame, *keys: str) -> DataFrame:
-    """keys and found, an array of (kind, nth, gap, match, before, after), of a table of keys and text. gap: code points between the last match and this one."""
+    """keys and found, an array of (kind, nth, gap, match, two, one, mark, next), of a table of keys and text.
+
+    gap: code points between the last match and this one; two and one: the words before, mark: what stands between, next: the word after.
+    """
     df = docs.select(*keys, F.coalesce("text", F.lit("")).alias("_t"))
-    some = {"email": F.contains("_t", F.lit("@")), "phone": F.contains("_t", F.lit("+"))}
+    some = {"email": F.contains("_t", F.lit("@")), "phone": F.contains("_t", F.lit("+")), "id": F.col("_t").rlike("[0-9@=:#]")}
     digit = F.col("_t").rlike("[0-9]")
     df = df.withColumn("_digit", digit)
     none = F.array().cast("array<string>")
@@ -67,18 +84,36 @@ def matches(docs: DataFrame, *keys: str) -> DataFrame:
     df = df.drop("_t", "_digit")
 
     def rows(kind: str) -> Column:
-        gaps = F.col(f"_g_{kind}")
-        return F.transform(
-            F.col(f"_m_{kind}"),
-            lambda m, k: F.struct(F.lit(KINDS.index(kind)).alias("kind"), k.cast("int").alias("nth"), F.length(F.get(gaps, k)).alias("gap"), m.alias("match"), F.right(F.get(gaps, k), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, k + 1), F.lit(NEAR)).alias("after")),
-        )
+        found, gaps = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
+        text = lambda c: F.coalesce(c, F.lit(""))
+
+        def row(m: Column, k: Column) -> Column:
+            #: Read from the match to the left; the two matches before are looked into where the gap has too few words.
+            at = lambda i: F.greatest(k - i, F.lit(0))
+            first = F.when(k > 1, F.get(found, at(2)))
+            last = F.when(k > 0, F.concat(text(first), _tail(F.get(gaps, at(1))), F.get(found, at(1))))
+            back = F.reverse(F.concat(text(last), _tail(F.get(gaps, k))))
+            ahead = F.concat(F.regexp_extract(F.get(gaps, k + 1), f"^{_REST}*+(?:{_WORD})?+{_REST}?+", 0), text(F.get(found, k + 1)))
+            said = lambda s, p: F.regexp_extract(s, p, 1)
+            return F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"),
+                k.cast("int").alias("nth"),
+                F.length(F.get(gaps, k)).alias("gap"),
+                m.alias("match"),
+                F.lower(F.reverse(said(back, f"^{_REST}*+{_WORD}{_REST}++({_WORD})"))).alias("two"),
+                F.lower(F.reverse(said(back, f"^{_REST}*+({_WORD})"))).alias("one"),
+                said(back, r"^[^\p{L}\p{N}=:#]*+([=:#])").alias("mark"),
+                F.lower(said(ahead, f"^{_REST}*+({_WORD})")).alias("next"),
+            )
+
+        return F.transform(found, row)
 
     df = df.withColumn("found", F.concat(*[rows(kind) for kind in KINDS]))
     return fence(df.select(*keys, "found"), "found")
 
 
 def placed(found: DataFrame, *keys: str) -> DataFrame:
-    """One row a valid base entity and a token that may be an identifier: keys, kind, start, end, match, before and after."""
+    """One row a valid base entity and a token that may be an identifier: keys, kind, start, end, match, two, one, mark and next."""
     each = found.select(*keys, F.inline("found"))
     run = Window.partitionBy(*keys, "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("_upto", F.sum(F.col("gap") + F.length("match")).over(run))
@@ -92,6 +127,8 @@ def placed(found: DataFrame, *keys: str) -> DataFrame:
     tail = F.length(F.regexp_extract("match", r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*$", 0))
     token = F.col("kind") == KINDS.index("id")
     head = F.when(token, F.length(bare)).otherwise(0)
+    marked = (F.col("mark") != "") | F.startswith("match", F.lit("@"))
+    each = each.withColumn("_marked", marked)
     each = each.withColumn("_head", head).withColumn("_tail", F.when(token, tail).otherwise(0))
     each = each.withColumn("match", F.when(token, F.substr("match", F.col("_head") + 1, F.greatest(F.lit(0), F.length("match") - F.col("_head") - F.col("_tail")))).otherwise(F.col("match")))
     each = each.withColumn("start", F.col("start") + F.col("_head")).withColumn("end", F.col("end") - F.col("_tail"))
@@ -101,37 +138,50 @@ def placed(found: DataFrame, *keys: str) -> DataFrame:
     after = F.min(base(F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
     each = each.withColumn("_before", before).withColumn("_after", after)
     free = (F.coalesce("_before", F.lit(-1)) <= F.col("start")) & (F.coalesce("_after", F.col("end")) >= F.col("end"))
-    long = (F.length("match") >= SHORTEST) & (F.length(F.regexp_replace("match", "[^0-9]", "")) >= 3)
-    return each.where(~token | (free & long)).select(*keys, "kind", "start", "end", "match", "before", "after")
+    long = (F.length("match") >= SHORTEST) & (F.length(F.regexp_replace("match", "[^0-9]", "")) >= 3) | F.col("_marked") & (F.length("match") >= SHORT)
+    return each.where(~token | (free & long)).select(*keys, "kind", "start", "end", "match", "two", "one", "mark", "next")
 
 
 def _patterns() -> Column:
     """The lexical patterns around a match, from the words beside it."""
-    left, right = F.lower(F.regexp_replace("before", r"[^\p{L}\p{N}]+", " ")), F.lower(F.regexp_replace("after", r"[^\p{L}\p{N}]+", " "))
-    left, right = F.split(F.trim(left), " "), F.split(F.trim(right), " ")
-    one, two, next_ = F.element_at(left, -1), F.try_element_at(left, F.lit(-2)), F.element_at(right, 1)
-    said = [F.when(F.length(two) * F.length(one) > 0, F.concat(F.lit("L:"), two, F.lit(" "), one)), F.when(F.length(one) * F.length(next_) > 0, F.concat(F.lit("M:"), one, F.lit(" _ "), next_))]
+    two, one, mark, next_ = F.col("two"), F.col("one"), F.col("mark"), F.col("next")
+    has = lambda *words: F.least(*[F.length(w) for w in words]) > 0
+    said = [
+        F.when(has(two, one), F.concat(F.lit("L:"), two, F.lit(" "), one)),
+        F.when(has(one, next_), F.concat(F.lit("M:"), one, F.lit(" _ "), next_)),
+        F.when(has(one, mark), F.concat(F.lit("K:"), one, F.lit(" "), mark)),
+    ]
     return F.array_compact(F.array(*said))
 
 
-def discovered(rows: DataFrame) -> DataFrame:
-    """(instance, score) of the unknown tokens that confident patterns name. rows: placed()."""
+def graph(rows: DataFrame) -> DataFrame:
+    """(pattern, instance, seed, n): the edges of patterns with SUPPORT distinct instances, n of them. rows: placed()."""
     instance = F.lower(F.col("match"))
-    edges = rows.select(F.explode(_patterns()).alias("pattern"), instance.alias("instance"), (F.col("kind") != KINDS.index("id")).alias("seed"))
-    edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    #: Patterns with a single instance never reach SUPPORT.
-    lively = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("double")).alias("seeds")).where(F.col("n") >= SUPPORT)
-    edges = settled(edges.join(lively.select(F.col("pattern").alias("_p"), "n"), F.col("pattern") == F.col("_p")).drop("_p"), "edges")
-    scores = edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0))
-    for _ in range(ROUNDS):
+    seed = (F.col("kind") != KINDS.index("id")) | F.col("match").rlike(KEY)
+    edges = rows.select(F.explode(_patterns()).alias("pattern"), instance.alias("instance"), seed.alias("seed"))
+    edges = settled(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pairs")
+    lively = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    return settled(edges.join(lively.select(F.col("pattern").alias("_p"), "n"), F.col("pattern") == F.col("_p")).drop("_p"), "edges")
+
+
+def discovered(rows: DataFrame) -> DataFrame:
+    """(instance, score) of the identifiers that confident patterns name, and of the seeds. rows: placed()."""
+    edges = graph(rows)
+    seed = (F.col("kind") != KINDS.index("id")) | F.col("match").rlike(KEY)
+    seeds = settled(rows.where(seed).select(F.lower("match").alias("instance")).distinct().withColumn("score", F.lit(1.0)), "seeds")
+    scores, state = seeds, None
+    while True:
         known = edges.join(scores.select(F.col("instance").alias("_i"), "score"), F.col("instance") == F.col("_i"), "left")
-        confident = known.groupBy("pattern", "n").agg(F.round(F.sum(F.coalesce("score", F.lit(0.0))), 6).alias("sum"))
-        confident = confident.where(F.col("sum") >= SUPPORT).select(F.col("pattern").alias("_p"), (F.col("sum") / (F.col("n") + SMOOTH)).alias("conf")).where(F.col("conf") >= TRUST)
-        named = edges.join(confident, F.col("pattern") == F.col("_p")).groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.ln(F.greatest(F.lit(1e-9), 1 - F.col("conf")))).alias("miss"))
-        seeds = edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0))
-        scores = settled(seeds.unionByName(named.where(~F.col("seed")).select("instance", F.round(1 - F.exp("miss"), 6).alias("score"))), "scores")
-    fresh = edges.groupBy("instance").agg(F.max("seed").alias("seed")).where(~F.col("seed")).select(F.col("instance").alias("_i"))
-    return scores.where(F.col("score") >= ENOUGH).join(fresh, F.col("instance") == F.col("_i"), "left_semi")
+        right = F.round(F.sum(F.coalesce("score", F.lit(0.0))), 4)
+        confident = known.groupBy("pattern", "n").agg(right.alias("sum")).where(F.col("sum") >= SUPPORT)
+        confidence = F.col("sum") / (F.col("sum") + UNKNOWN * (F.col("n") - F.col("sum")) + SMOOTH)
+        confident = confident.select(F.col("pattern").alias("_p"), confidence.alias("conf")).where(F.col("conf") >= TRUST)
+        named = edges.join(confident, F.col("pattern") == F.col("_p")).groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.ln(1 - F.col("conf"))).alias("miss"))
+        found = named.where(~F.col("seed")).select("instance", F.round(1 - F.exp("miss"), 4).alias("score"))
+        scores = settled(seeds.unionByName(found.join(seeds.select("instance"), "instance", "left_anti")), "scores")
+        before, state = state, tuple(scores.agg(F.count(F.lit(1)), F.sum(F.round(F.col("score") * 10_000).cast("long"))).first())
+        if state == before:
+            return scores.where(F.col("score") >= ENOUGH)
 
 
 def report(docs: DataFrame, *keys: str) -> DataFrame:
@@ -160,7 +210,8 @@ def written_out(spans: Column) -> Column:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("_text_key"), "text")
     out = report(docs, "doc_id", "_text_key")
-    return out.select("doc_id", *_counts(), F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
+    n_id = (F.size("spans") - F.size("base")).cast("long").alias("n_id")
+    return out.select("doc_id", *_counts(), F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"), n_id, F.size("spans").cast("long").alias("n_spans"))
 
 
 def _counts() -> list[Column]:
