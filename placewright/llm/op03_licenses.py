@@ -1,26 +1,40 @@
 """License scans by a positional rare-token index.
 
-Licence templates are short marking texts. The index lists, for each of their words, templates and positions. All licence words
-of a file but the common ones are looked up, weighted by IDF (over all files); a posting and a file position together name the
-place where the template would start, and words that agree on it are summed up by IDF. A template with enough of its weight at one place
-is a candidate; it's reported if all its mandatory phrases stand at their places.
+Licence templates are marking texts of any length, a table that the caller may supply. The index lists, for each of their rare
+words, templates and positions; words are weighted by IDF over all files, and those in more than a tenth of the files aren't
+looked up (but of each template the LEAST rarest are). A posting and a file position together name the place where the template
+would start. Inserted words shift that place, so votes are gathered over windows of starts, as wide as a third of the template;
+every start lies in two windows, so votes that lie a window's half apart meet in one. A template with enough of its weight in a
+window is a candidate; it's reported if all its mandatory phrases stand where that window says.
 
 Base phrases are found apart from that, at every place where their words stand consecutively.
 
 Defined results: null and empty texts have no words, no labels and score 0; rows are told apart by doc_id and text, repeated
 rows get the same result each; an empty table gives an empty result; other columns aren't read. A phrase that occurs many times
-is counted at every place.
+is counted at every place. A template without words, or with a phrase that isn't in its text, is refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import alnum_words, fence, settled, table
 
 #: Fixed by the task: phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: What follows an SPDX tag.
+SPDX = {"mit": ["mit"], "apache-2": ["apache 2 0"], "gpl-3": ["gpl 3 0"], "gpl-2": ["gpl 2 0"], "lgpl-3": ["lgpl 3 0"], "agpl-3": ["agpl 3 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "mpl-2": ["mpl 2 0"], "cc-by-nc": ["cc by nc 4 0"], "cc-by": ["cc by 4 0"], "cc-by-sa": ["cc by sa 4 0"], "cc0": ["cc0 1 0"]}
+
+
+def _notice(licence: str, version: int) -> tuple[str, list[str]]:
+    """The notice of a program under a GNU licence, and its mandatory phrases."""
+    phrases = [f"gnu {licence} as published by the free software foundation", f"version {version} of the license"]
+    return f"this program is free software you can redistribute it and or modify it under the terms of the {phrases[0]} either {phrases[1]} or at your option any later version", phrases
+
+
 #: (label, marking text, its mandatory phrases).
 TEMPLATES = [
     ("mit", "released under the terms of the mit license", ["mit license"]),
@@ -30,6 +44,10 @@ TEMPLATES = [
     ("gpl-2", "licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
     ("lgpl-3", "gnu lesser general public license version 3", ["lesser general public license", "version 3"]),
     ("agpl-3", "gnu affero general public license version 3", ["affero general public license", "version 3"]),
+    ("gpl-3", *_notice("general public license", 3)),
+    ("gpl-2", *_notice("general public license", 2)),
+    ("lgpl-3", *_notice("lesser general public license", 3)),
+    ("agpl-3", *_notice("affero general public license", 3)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
@@ -37,84 +55,121 @@ TEMPLATES = [
     ("cc-by-sa", "creative commons attribution sharealike", ["creative commons attribution sharealike"]),
     ("cc0", "creative commons cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
     ("proprietary", "all rights reserved no part may be reproduced", ["all rights reserved"]),
+    *((name, f"spdx license identifier {x}", [f"spdx license identifier {x}"]) for name, xs in SPDX.items() for x in xs),
 ]
 #: Words too common to look up.
 COMMON = {"the", "of", "to", "is", "a", "any", "and", "in", "with", "or", "are", "this", "by", "no", "be", "may", "use", "all", "under", "without", "v", "0", "1", "2", "3", "4"}
-#: Share of a template's weight that makes a candidate.
-ENOUGH = 0.75
-
-_PHRASES = sorted({*BASE, *(p for *_, keys in TEMPLATES for p in keys)})
-_VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - COMMON | {next(w for w in p.split() if w not in COMMON) for p in _PHRASES})
-
-
-def _places(words: Column, hits: Column, phrase: str) -> Column:
-    """Starts of a phrase, from the places of its first uncommon word."""
-    parts = phrase.split()
-    anchor = next(i for i, w in enumerate(parts) if w not in COMMON)
-    test = lambda h: _all([h["word"] == parts[anchor], h["at"] >= anchor, *(F.coalesce(F.get(words, F.greatest(h["at"] + (i - anchor), F.lit(0))) == w, F.lit(False)) for i, w in enumerate(parts) if i != anchor)])
-    return F.transform(F.filter(hits, test), lambda h: F.struct(F.lit(_PHRASES.index(phrase)).alias("phrase"), (h["at"] - anchor).cast("int").alias("at")))
-
-
-def _all(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
-
-
-def scan(docs: DataFrame, *keys: str) -> DataFrame:
+#: Share of a template's weight that makes a candidate; share of files beyond which a word isn't rare, and words of a template that are looked up at least.
+ENOUGH, RARE, LEAST = 0.75, 0.1, 8
+#: Words of all templates together, at most: the index is broadcast, about 100 bytes a word.
+MOST_WORDS = 500_000
+
+
+@dataclass
+class Index:
+    """Templates as a table, and what is looked up in texts: words, and phrases by a word of theirs."""
+
+    postings: DataFrame
+    keys: DataFrame
+    vocabulary: list[str]
+    phrases: list[str]
+
+
+def default_templates(spark: SparkSession) -> DataFrame:
+    rows = [F.struct(F.lit(name).alias("label"), F.lit(text).alias("text"), F.array(*map(F.lit, keys)).alias("phrases")) for name, text, keys in TEMPLATES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def index(templates: DataFrame) -> Index:
+    """The index of a table of label, text and phrases (mandatory ones)."""
+    rows = templates.select("label", alnum_words(F.col("text")).alias("words"), F.transform(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: F.array_join(alnum_words(p), " ")).alias("phrases"))
+    rows = settled(rows.distinct().withColumn("template", F.xxhash64("label", "words")).withColumn("slack", F.ceil(F.size("words") / 3).cast("int")), "templates")
+    every = rows.agg(F.sum(F.size("words")).alias("n"), F.min(F.size("words")).alias("least")).first()
+    if every.n and every.n > MOST_WORDS or every.least == 0:
+        raise ValueError(f"templates must have words, {MOST_WORDS} together at most")
+    said = F.posexplode("words").alias("place", "word")
+    postings = rows.select("template", "label", "slack", F.size(F.array_distinct("phrases")).alias("n_keys"), said).where(~F.col("word").isin(sorted(COMMON)))
+    text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    keys = rows.select("template", "slack", text.alias("_text"), F.explode(F.array_distinct("phrases")).alias("phrase"))
+    before = F.call_function("substring_index", F.col("_text"), F.concat(F.lit(" "), "phrase", F.lit(" ")), F.lit(1))
+    offset = F.when(F.contains("_text", F.concat(F.lit(" "), "phrase", F.lit(" "))), F.size(F.array_remove(F.split(before, " "), "")))
+    keys = settled(keys.select("template", "slack", "phrase", offset.alias("offset")), "phrases")
+    if not keys.where("offset IS NULL OR phrase = ''").isEmpty():
+        raise ValueError("a mandatory phrase isn't in its template")
+    phrases = sorted({*BASE, *(r.phrase for r in keys.select("phrase").distinct().collect())})  # bounded by MOST_WORDS
+    words = {r.word for r in postings.select("word").distinct().collect()}  # bounded by MOST_WORDS
+    return Index(postings, keys, sorted(words | {_anchor(p.split())[1] for p in phrases}), phrases)
+
+
+def _anchor(parts: list[str]) -> tuple[int, str]:
+    """The place and word by which a phrase is looked up."""
+    return next(((i, w) for i, w in enumerate(parts) if w not in COMMON), (0, parts[0]))
+
+
+def scan(docs: DataFrame, known: Index, *keys: str) -> DataFrame:
     """keys, n_words, hits (word, at) of licence words, and phrases (phrase, at), of a table of keys and text. One pass, no shuffle."""
     df = docs.select(*keys, alnum_words(F.col("text")).alias("_words")).withColumn("n_words", F.size("_words"))
     words = F.col("_words")
-    here = F.filter(F.transform(words, lambda w, i: F.when(w.isin(_VOCABULARY), i)), lambda i: i.isNotNull())
+    here = F.filter(F.transform(words, lambda w, i: F.when(w.isin(known.vocabulary), i)), lambda i: i.isNotNull())
     df = df.withColumn("_at", here)
     df = df.withColumn("hits", F.transform("_at", lambda i: F.struct(F.get(words, i).alias("word"), i.cast("int").alias("at")))).drop("_at")
-    df = df.withColumn("phrases", F.concat(*[_places(words, F.col("hits"), p) for p in _PHRASES]))
+    anchored: dict[str, list[Column]] = {}
+    for p in known.phrases:
+        parts = p.split()
+        at, word = _anchor(parts)
+        anchored.setdefault(word, []).append(F.struct(F.lit(p).alias("phrase"), F.lit(at).alias("off"), F.array(*map(F.lit, parts)).alias("parts")))
+    by_word = F.create_map(*[x for word, found in anchored.items() for x in (F.lit(word), F.array(*found))])
+
+    def found_at(h: Column) -> Column:
+        here = F.filter(F.element_at(by_word, h["word"]), lambda p: (h["at"] >= p["off"]) & (F.slice(words, F.greatest(h["at"] - p["off"], F.lit(0)) + 1, F.size(p["parts"])) == p["parts"]))
+        return F.transform(here, lambda p: F.struct(p["phrase"].alias("phrase"), (h["at"] - p["off"]).cast("int").alias("at")))
+
+    df = df.withColumn("phrases", F.flatten(F.transform(F.filter("hits", lambda h: h["word"].isin(sorted(anchored))), found_at)))
     return fence(df.select(*keys, "n_words", "hits", "phrases"), "n_words", "hits", "phrases")
 
 
-def label(found: DataFrame, *keys: str) -> DataFrame:
-    """keys, label, share and verified of the candidates in the rows of scan()."""
-    spark = found.sparkSession
-    some = found.where(F.size("hits") > 0).select(*keys, "hits", "phrases").distinct()
+def weighted(found: DataFrame, known: Index) -> DataFrame:
+    """(template, label, slack, n_keys, place, word, idf, weight): the postings of rare words."""
     total = found.count()
     held = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    vocabulary = spark.createDataFrame([(w,) for w in _VOCABULARY], "word string")
-    idf = settled(vocabulary.join(held, "word", "left").select("word", F.round(F.ln(F.lit(float(total + 1)) / (F.coalesce("df", F.lit(0)) + 0.5)), 6).alias("idf")), "idf")
-
-    postings = spark.createDataFrame([(w, t, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON], "word string, template int, place int")
-    names = spark.createDataFrame([(t, name) for t, (name, *_) in enumerate(TEMPLATES)], "template int, label string")
-    weights = postings.join(idf, "word").groupBy("template").agg(F.round(F.sum("idf"), 6).alias("weight"))
-    #: The index is as large as TEMPLATES, whatever the files are.
-    index = F.broadcast(postings.join(idf, "word").join(weights, "template").join(names, "template"))
-
-    votes = some.select(*keys, F.inline("hits")).join(index, "word").withColumn("start", F.col("at") - F.col("place"))
-    voted = votes.groupBy(*keys, "template", "label", "weight", "start").agg(F.collect_set(F.struct("place", "idf")).alias("_met"))
-    share = F.least(F.lit(1.0), F.round(F.aggregate(F.sort_array("_met"), F.lit(0.0), lambda a, m: a + m["idf"]), 6) / F.col("weight"))
-    candidates = voted.withColumn("share", F.round(share, 6)).where(F.col("share") >= ENOUGH).drop("_met")
-    #: Each mandatory phrase of a candidate is looked up at its place, so the work grows with the places and not with their pairs.
-    rules = spark.createDataFrame([(t, _PHRASES.index(p), _place(text, p), len(ks)) for t, (_, text, ks) in enumerate(TEMPLATES) for p in ks], "template int, _phrase int, _offset int, n_keys int")
-    wanted = candidates.join(F.broadcast(rules), "template").withColumn("_wanted", F.col("start") + F.col("_offset"))
-    there = some.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.inline("phrases"))
-    same = _all([(F.col("_phrase") == F.col("phrase")) & (F.col("_wanted") == F.col("at")), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]])
-    met = wanted.join(there, same, "left").groupBy(*keys, "template", "label", "share", "start", "n_keys").agg(F.count("phrase").alias("_n"))
-    return met.select(*keys, "label", "share", (F.col("_n") == F.col("n_keys")).alias("verified"))
-
-
-def _place(text: str, phrase: str) -> int:
-    words, parts = text.split(), phrase.split()
-    return next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)
-
-
-def report(docs: DataFrame, *keys: str) -> DataFrame:
-    """keys, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of a table of keys and text."""
-    found = settled(scan(docs, *keys), "licences")
-    best = label(found, *keys).where("verified").groupBy(*keys).agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))
+    idf = F.round(F.ln(F.lit(float(total + 1)) / (F.coalesce("df", F.lit(0)) + 0.5)), 6)
+    rows = known.postings.join(held, "word", "left").withColumn("idf", F.greatest(F.lit(0.0), idf))
+    rarest = F.dense_rank().over(Window.partitionBy("template").orderBy(F.desc("idf"), "word"))
+    rows = rows.withColumn("_nth", rarest).where((F.coalesce("df", F.lit(0)) <= RARE * total) | (F.col("_nth") <= LEAST)).drop("_nth", "df")
+    return settled(rows.withColumn("weight", F.round(F.sum("idf").over(Window.partitionBy("template")), 6)), "index")
+
+
+def label(found: DataFrame, known: Index, *keys: str) -> DataFrame:
+    """keys, label, share and verified of the candidates in the rows of scan()."""
+    some = found.where(F.size("hits") > 0).select(*keys, "hits", "phrases").distinct()
+    #: The index is as large as the templates, whatever the files are.
+    postings = F.broadcast(weighted(found, known))
+    windows = lambda start: F.explode(F.array(F.floor(start / F.col("slack")), F.floor(start / F.col("slack")) - 1)).alias("window")
+    votes = some.select(*keys, F.inline("hits")).join(postings, "word").select(*keys, "template", windows(F.col("at") - F.col("place")), "place", "idf", F.lit(None).cast("string").alias("phrase"))
+    #: Mandatory phrases vote like words, so a window has all that its candidate needs.
+    rules = F.broadcast(known.keys.withColumnRenamed("phrase", "_phrase"))
+    met = some.select(*keys, F.inline("phrases")).join(rules, F.col("phrase") == F.col("_phrase")).select(*keys, "template", windows(F.col("at") - F.col("offset")), F.lit(None).cast("int").alias("place"), F.lit(None).cast("double").alias("idf"), "phrase")
+    voted = votes.unionByName(met).groupBy(*keys, "template", "window").agg(F.collect_set(F.when(F.col("place").isNotNull(), F.struct("place", "idf"))).alias("_met"), F.collect_set("phrase").alias("_said"))
+    of = F.broadcast(postings.where("weight > 0").select("template", "label", "n_keys", "weight").distinct())
+    weight = F.aggregate(F.sort_array("_met"), F.lit(0.0), lambda a, m: a + m["idf"])
+    shares = voted.join(of, "template").withColumn("share", F.round(F.least(F.lit(1.0), F.round(weight, 6) / F.col("weight")), 6))
+    return shares.where(F.col("share") >= ENOUGH).select(*keys, "label", "share", (F.size("_said") == F.col("n_keys")).alias("verified"))
+
+
+def report(docs: DataFrame, *keys: str, templates: DataFrame | None = None) -> DataFrame:
+    """keys, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of a table of keys and text.
+
+    templates: label, text and phrases (an array of the mandatory ones) of each; TEMPLATES if there are none.
+    """
+    known = index(default_templates(docs.sparkSession) if templates is None else templates)
+    found = settled(scan(docs, known, *keys), "licences")
+    best = label(found, known, *keys).where("verified").groupBy(*keys).agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))
     best = best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_labels", "_share")
-    same = _all([F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    names = F.create_map(*[x for p, name in BASE.items() for x in (F.lit(_PHRASES.index(p)), F.lit(name))])
-    base = F.filter("phrases", lambda x: x["phrase"].isin([_PHRASES.index(p) for p in BASE]))
-    rows = found.join(best, same, "left").withColumn("_base", base)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    names = F.create_map(*[F.lit(x) for pair in BASE.items() for x in pair])
+    rows = found.join(best, same, "left").withColumn("_base", F.filter("phrases", lambda x: x["phrase"].isin(list(BASE))))
     labels = F.array_sort(F.array_distinct(F.transform("_base", lambda x: F.element_at(names, x["phrase"]))))
     at = F.transform("_base", lambda x: x["at"].cast("long"))
     return rows.select(

@@ -1,8 +1,11 @@
 """License scans against brute force."""
 
+import math
 import random
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from placewright.llm import op03_licenses as op3
@@ -62,14 +65,88 @@ def test_text_full_of_phrases(spark):
 def test_several_templates_in_one_file(spark):
     """Each template keeps its label however many others stand beside it."""
     plain = [f"lorem ipsum {i}" for i in range(30)]
-    texts = [" filler words ".join(text for _, text, _ in op3.TEMPLATES[:n]) for n in range(2, len(op3.TEMPLATES) + 1)]
-    texts += [" filler words ".join(text for _, text, _ in op3.TEMPLATES[-n:]) for n in range(2, len(op3.TEMPLATES) + 1)]
+    texts = [" filler words ".join(text for _, text, _ in op3.TEMPLATES[:n]) for n in range(2, len(op3.TEMPLATES) + 1, 3)]
+    texts += [" filler words ".join(text for _, text, _ in op3.TEMPLATES[-n:]) for n in range(2, len(op3.TEMPLATES) + 1, 3)]
     rows = {r.doc_id: r for r in op3.report(spark.createDataFrame(list(enumerate(plain + texts)), "doc_id long, text string"), "doc_id").collect()}
     for i, text in enumerate(texts):
         assert {name for name, template, _ in op3.TEMPLATES if template in text} <= set(rows[len(plain) + i].labels.split(","))
     assert all(rows[i].labels == "" for i in range(len(plain)))
 
 
+def brute_labels(texts, templates=None):
+    """Labels and score of each text by trying every window of starts of every template."""
+    templates = [(name, words(text), [words(p) for p in keys]) for name, text, keys in templates or op3.TEMPLATES]
+    split = {i: words(t) for i, t in texts.items()}
+    held = Counter(w for ws in split.values() for w in set(ws))
+    idf = lambda w: round(max(0.0, math.log((len(split) + 1) / (held[w] + 0.5))), 6)
+    out = {}
+    for i, ws in split.items():
+        found, best = set(), 0.0
+        for name, tw, keys in templates:
+            slack = math.ceil(len(tw) / 3)
+            order = sorted({w for w in tw if w not in op3.COMMON}, key=lambda w: (-idf(w), w))
+            rare = {w for n, w in enumerate(order) if n < op3.LEAST or held[w] <= op3.RARE * len(split)}
+            weight = round(sum(idf(w) for w in tw if w in rare), 6)
+            starts = {}
+            for p, w in enumerate(tw):
+                for at in [a for a, x in enumerate(ws) if x == w and w in rare]:
+                    for b in ((at - p) // slack, (at - p) // slack - 1):
+                        starts.setdefault(b, set()).add(p)
+            for b, places in starts.items():
+                share = round(min(1.0, round(sum(idf(tw[p]) for p in places), 6) / weight), 6) if weight else 0
+                inside = lambda s: s // slack in (b, b + 1)  # noqa: B023, E731
+                at = lambda key, ws: {a for a in range(len(ws)) if ws[a : a + len(key)] == key}
+                if share >= op3.ENOUGH and all(any(inside(a - min(at(k, tw))) for a in at(k, ws)) for k in keys):
+                    found.add(name)
+                    best = max(best, share)
+        base = brute_base(texts[i])
+        out[i] = ",".join(sorted(found | set(filter(None, base[4].split(","))))), 1.0 if base[1] else best
+    return out
+
+
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+CLAUSE = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+def test_labels_against_brute_force(spark):
+    rng = random.Random(12)
+    bits = [text for _, text, _ in op3.TEMPLATES] + [GRANT, CLAUSE, GPL, "SPDX-License-Identifier: GPL-3.0-or-later", "under the MIT license", "gnu general public license", "version 2", "version 3", "license"]
+    noise = lambda n: " ".join(rng.choice(["lorem", "ipsum", "software", "the", "license", "public", "of"]) for _ in range(n))
+    texts = {i: f"plain words {i}" for i in range(60)}
+    for i in range(100, 220):
+        said = rng.choices(bits, k=rng.randint(1, 5))
+        for k in range(len(said)):
+            if rng.random() < 0.5:
+                w = said[k].split()
+                for _ in range(rng.randint(1, 6)):
+                    at = rng.randrange(len(w) + 1)
+                    w[at : at + rng.choice([0, 0, 1])] = rng.choice([[], [f"x{i}"], ["the", "software"]])
+                said[k] = " ".join(w)
+        texts[i] = " ".join(noise(rng.randint(0, 30)) + " " + x for x in said)
+    texts |= {300: f"{GRANT}. {CLAUSE}.", 301: GPL, 302: GPL.replace("3", "2"), 303: "/* SPDX-License-Identifier: GPL-3.0-or-later */", 304: GPL.replace("General", "Lesser General"), 305: GPL.replace("modify it", "modify it, as you like it best, here"), 306: None, 307: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: (r.labels, r.score) for r in op3.report(df, "doc_id").collect()}
+    assert rows == brute_labels(texts)
+    assert [rows[i][0] for i in range(300, 308)] == ["bsd,mit", "gpl-3", "gpl-2", "gpl-3", "lgpl-3", "gpl-3", "", ""]
+
+
+def test_templates_of_the_caller(spark):
+    """A table of full texts, found in part and with words put in between; a phrase that isn't in its template is refused."""
+    rng = random.Random(13)
+    long = {name: [f"{name}{rng.randint(0, 300)}" if rng.random() < 0.7 else "software" for _ in range(900)] for name in ("alpha", "beta")}
+    table = [(name, " ".join(ws), [" ".join(ws[400:404])]) for name, ws in long.items()] + [("short", "you may copy gamma", None)]
+    texts = {i: f"software {i}" for i in range(30)}
+    texts |= {40: " ".join(long["alpha"]), 41: " ".join(long["beta"][:450]), 42: " ".join(x for j, w in enumerate(long["alpha"]) for x in ([w, "put", "in"] if j % 9 == 0 and not 398 < j < 406 else [w])), 43: "you may copy gamma " + " ".join(long["beta"]), 44: " ".join(sorted(long["beta"]))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    templates = spark.createDataFrame(table, "label string, text string, phrases array<string>")
+    rows = {r.doc_id: (r.labels, r.score) for r in op3.report(df, "doc_id", templates=templates).collect()}
+    assert rows == brute_labels(texts, [(a, b, c or []) for a, b, c in table])
+    assert [rows[i][0] for i in range(40, 45)] == ["alpha", "", "alpha", "beta,short", ""]
+    with pytest.raises(ValueError):
+        op3.index(spark.createDataFrame([("x", "one two", ["two one"])], templates.schema))
+
+
 def test_odd(spark):
     df = odd(spark).withColumn("hits", F.lit(1)).withColumn("word", F.lit("x"))
     assert op3.report(df.select("doc_id", F.xxhash64("text").alias("k"), "text"), "doc_id", "k").count() == len(ODD)
