@@ -106,9 +106,12 @@ def _met(nodes: DataFrame) -> DataFrame:
     hot = settled(hot.select(F.col("half").alias("_h"), F.col("route").alias("_r"), F.least(F.lit(MOST_LANES), F.ceil(F.col("n") / LANE)).cast("int").alias("lanes")), "hot")
     n_hot = hot.count()
 
+    #: Where each variant is made; lanes only if there are any, as a constant among the keys would part them from the partitioning.
+    by = ["half", "route", *(["lane"] if n_hot else [])]
+
     def laned(df: DataFrame) -> DataFrame:
         if not n_hot:
-            return df.withColumn("lanes", F.lit(1)).withColumn("lane", F.lit(0))
+            return df
         named = df.join(F.broadcast(hot) if n_hot <= BROADCAST_ROUTES else hot, (F.col("half") == F.col("_h")) & (F.col("route") == F.col("_r")), "left")
         return named.drop("_h", "_r").withColumn("lanes", F.coalesce("lanes", F.lit(1))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
 
@@ -120,15 +123,18 @@ def _met(nodes: DataFrame) -> DataFrame:
     #: An odd fingerprint makes 497 variants on a route, an even one 32 or one.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() // FINGERPRINTS_A_TASK)
     of_half = lambda masks: F.when(F.col("half") == 0, _longs(masks[0])).otherwise(_longs(masks[1]))
-    mine = (F.col("lanes") == 1) | (F.pmod(F.xxhash64("variant"), F.col("lanes")) == F.col("lane"))
+    mine = (F.col("lanes") == 1) | (F.pmod(F.xxhash64("variant"), F.col("lanes")) == F.col("lane")) if n_hot else F.lit(True)
+    carried = [*by, *(["lanes"] if n_hot else []), "fp"]
     flips = F.when(F.col("flip") == 0, of_half(ONES)).otherwise(_longs([0]))
-    evens = evens.repartition(tasks, "half", "route", "lane").select("half", "route", "lane", "lanes", "fp", F.explode(flips).alias("_mask"), "flip")
+    evens = evens.repartition(tasks, *by).select(*carried, F.explode(flips).alias("_mask"), "flip")
     evens = evens.withColumn("variant", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseXOR(F.col("_mask"))).where(mine)
-    reps = evens.groupBy("half", "route", "lane", "variant").agg(F.min("fp").alias("rep")).select(*[F.col(c).alias(f"_{c}") for c in ("half", "route", "lane", "variant")], "rep")
-    odds = odds.repartition(tasks, "half", "route", "lane").select("half", "route", "lane", "lanes", "fp", F.explode(of_half([[0, *TWOS[0]], [0, *TWOS[1]]])).alias("_mask"))
+    reps = evens.groupBy(*by, "variant").agg(F.min("fp").alias("rep")).select(*[F.col(c).alias(f"_{c}") for c in [*by, "variant"]], "rep")
+    odds = odds.repartition(tasks, *by).select(*carried, F.explode(of_half([[0, *TWOS[0]], [0, *TWOS[1]]])).alias("_mask"))
     odds = odds.withColumn("variant", F.col("fp").bitwiseXOR(F.col("_mask"))).where(mine)
     #: Sorted, so it spills; the variant goes first, as it tells rows apart soonest.
-    on = (F.col("variant") == F.col("_variant")) & (F.col("route") == F.col("_route")) & (F.col("half") == F.col("_half")) & (F.col("lane") == F.col("_lane"))
+    on = F.col("variant") == F.col("_variant")
+    for c in by:
+        on = on & (F.col(c) == F.col(f"_{c}"))
     return odds.join(reps.hint("merge"), on).select("fp", "rep")
 
 
