@@ -97,6 +97,24 @@ def cells(west: Column, east: Column, south: Column, north: Column, size: float
     return F.flatten(F.transform(across, lambda cx: F.transform(up, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+def _axes(lat: Column, lon: Column) -> list[Column]:
+    """Metres from the centre of the sphere along three axes."""
+    flat = F.cos(F.radians(lat)) * RADIUS
+    return [flat * F.cos(F.radians(lon)), flat * F.sin(F.radians(lon)), F.sin(F.radians(lat)) * RADIUS]
+
+
+def cube(lat: Column, lon: Column, radius: float) -> Column:
+    """The cube, two radiuses wide, that a point lies in. Cubes know no poles and no date line."""
+    return F.struct(*[F.floor(v / (2 * radius)).alias(f"c{i}") for i, v in enumerate(_axes(lat, lon))])
+
+
+def cubes_near(lat: Column, lon: Column, radius: float) -> Column:
+    """The cubes, eight at most, that hold all points within the radius: no coordinate differs by more than the way along the sphere."""
+    reach = radius * (1 + 1e-9) + 1e-3
+    x, y, z = ([F.floor((v - reach) / (2 * radius)), F.floor((v + reach) / (2 * radius))] for v in _axes(lat, lon))
+    return F.array_distinct(F.array(*[F.struct(a.alias("c0"), b.alias("c1"), c.alias("c2")) for a in x for b in y for c in z]))
+
+
 def from_web_mercator(x: Column, y: Column) -> Column:
     """lon and lat of a point in web mercator metres, whose sphere has the radius of the equator."""
     turn = F.lit(6378137.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -9,14 +10,43 @@ from pyspark.sql import functions as F
 
 #: Fixed pattern of capitalised names.
 NAME = r"((?:[A-Z][a-zí]{1,15} )*(?:de )?[A-Z][a-zí]{1,15})"
-#: Fixed: letters that names are folded from and to.
-ACCENTS = ("éèêçñóíüäöáúâîôûàùëïãõåý", "eeecnoiuaoauaiouaueiaoay")
+#: Fixed: letters that have no base letter, and how they are written in Latin ones.
+LETTERS = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h", "ı": "i", "ŋ": "ng", "ŧ": "t", "ĸ": "k",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "'", "ы": "y",
+    "ь": "'", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ґ": "g", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dzh",
+}
+#: Blocks of letters with marks: Latin, Greek, Cyrillic; and of marks that stand alone.
+BLOCKS, MARKS = [(0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)], [(0x300, 0x370)]
+
+
+def _bare_letters() -> tuple[str, str]:
+    """Lower-case letters with marks and their base letters, as Unicode takes them apart; then marks, for which nothing stands."""
+    found = {}
+    for first, last in BLOCKS:
+        for c in map(chr, range(first, last)):
+            parts = [p for p in unicodedata.normalize("NFD", c) if not unicodedata.combining(p)]
+            if c == c.lower() and len(parts) == 1 and parts[0] != c and parts[0].isalpha():
+                found[c] = parts[0]
+    marks = "".join(chr(c) for first, last in MARKS for c in range(first, last))
+    return "".join(found) + marks, "".join(found.values())
+
+
+ACCENTS = _bare_letters()
 LONG_TEXT, SHORT_TEXT = 100_000, 500
 
 
 def fold(name: Column) -> Column:
-    """Lower case without accents; the same function serves both sides of a match."""
-    return F.translate(F.lower(name), *ACCENTS)
+    """Lower case in Latin letters without accents; letters of other scripts than Greek and Cyrillic stay. The same function serves both sides of a match."""
+    out = F.translate(F.lower(name), *ACCENTS)
+    for letter, latin in LETTERS.items():
+        out = F.replace(out, F.lit(letter), F.lit(latin)) if len(latin) > 1 else out
+    single = {k: v for k, v in LETTERS.items() if len(v) == 1}
+    out = F.translate(out, "".join(single), "".join(single.values()))
+    return F.when(name.rlike(r"[^\x00-\x7F]"), out).otherwise(F.lower(name))
 
 
 def normalize(name: Column) -> Column:

@@ -58,6 +58,34 @@ def locations_in_table(rows: DataFrame, headers: list[str], places: DataFrame) -
     return found.where((F.col("name") != "") & (F.lower("name") != (headers[at] or "").lower()))
 
 
+def table_cells(text: Column, separator: str) -> Column:
+    """The lines of a text that aren't empty as arrays of cells; cells in quotes may hold separators, line ends and doubled quotes."""
+    lines = F.regexp_extract_all(text, F.lit(r'((?:"(?:[^"]|"")*+"|[^\r\n])++)'), F.lit(1))
+
+    def cells(line: Column) -> Column:
+        found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(f'{separator}("(?:[^"]|"")*+"|[^{separator}]*+)'), F.lit(1))
+        return F.transform(found, lambda c: F.when(c.rlike('(?s)^".*"$'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+    return F.transform(F.filter(lines, lambda line: F.trim(line) != ""), cells)
+
+
+def locations_in_tables(rows: DataFrame, key: str, places: DataFrame) -> DataFrame:
+    """(key, name, count) of tables (key, row from 0, cells), each with its own header in row 0.
+
+    A table's locations stand in the last column whose header says so, else in the one with the most place names (the last of equal ones).
+    """
+    headed = rows.where("row = 0").select(key, F.posexplode("cells").alias("at", "header")).where(F.lower(F.trim("header")).isin(HEADERS)).groupBy(key).agg(F.max("at").alias("at"))
+    cells = rows.join(headed.select(key), key, "left_anti").select(key, F.posexplode("cells").alias("at", "value"))
+    cells = cells.select(key, "at", F.trim("value").alias("name")).where(F.length("name") > 2)
+    hits = cells.join(places.select("name").distinct(), "name", "left_semi").groupBy(key, "at").agg(F.count(F.lit(1)).alias("n"))
+    guessed = hits.groupBy(key).agg(F.max(F.struct("n", "at")).alias("_m")).select(key, F.col("_m.at").alias("at"))
+    at = headed.unionByName(guessed)
+    header = rows.where("row = 0").select(key, F.col("cells").alias("_header"))
+    found = rows.where("row > 0").join(at, key).join(header, key).select(key, F.trim(F.get("cells", F.col("at"))).alias("name"), F.get("_header", F.col("at")).alias("_title"))
+    found = found.where((F.col("name") != "") & (F.lower("name") != F.lower(F.coalesce("_title", F.lit("")))))
+    return found.groupBy(key, "name").agg(F.count(F.lit(1)).cast("int").alias("count"))
+
+
 def page_text(html: Column) -> Column:
     """The text of a page: its article if that is longer than 500, else all of the body, without tags."""
 

@@ -24,10 +24,11 @@ def population_is_close(a: Column, b: Column) -> Column:
 def candidates_nearby(inputs: DataFrame, places: DataFrame, radius: float = 10_000, bands=spatial.BANDS, variant: str = "conflate") -> DataFrame:
     """Same-name places within the radius of each input (input_id, name, lat, lon, population), scored.
 
-    The join is by name; distance is computed for those pairs only.
+    The join is by name and cube of space, so a name that many places bear makes pairs only where they are near; distance is computed for those.
     """
-    p = places.select(F.col("id").alias("place_id"), F.col("name").alias("_name"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("population").alias("_population"), F.col("admin_level").alias("_level"))
-    pairs = inputs.join(p, F.col("name") == F.col("_name")).withColumn("metres", spatial.distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("metres") <= radius)
+    p = places.select(spatial.cube(F.col("lat"), F.col("lon"), radius).alias("_cube"), F.col("id").alias("place_id"), F.col("name").alias("_name"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("population").alias("_population"), F.col("admin_level").alias("_level"))
+    near = inputs.withColumn("_near", F.explode(spatial.cubes_near(F.col("lat"), F.col("lon"), radius)))
+    pairs = near.join(p, (F.col("name") == F.col("_name")) & (F.col("_near") == F.col("_cube"))).drop("_near", "_cube").withColumn("metres", spatial.distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("metres") <= radius)
     score = spatial.band_score(F.col("metres"), bands)
     if variant == "conflate":
         score = score + F.col("population").isNotNull().cast("int") * 10 + population_is_close(F.col("population"), F.col("_population")).cast("int") * 1000

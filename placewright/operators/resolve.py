@@ -45,20 +45,52 @@ def by_alias(names: DataFrame, places: DataFrame, aliases: DataFrame, wikipedia:
     return _geoentity(_noted(found, wikipedia), F.col("alias"), F.lit(0), F.col("alias"))
 
 
+def _piece(name: Column, start: Column, length: Column) -> Column:
+    return F.substr(name, start + 1, length)
+
+
+def pieces(target: Column, most: int) -> Column:
+    """The pieces of a target, most + 1 of about equal length: an array of (first, len, k, piece). Whatever is within `most` edits holds one of them."""
+    n = F.length(target)
+    starts = [F.floor(n * k / (most + 1)).cast("int") for k in range(most + 2)]
+    return F.array(*[F.struct(F.substring(target, 1, 1).alias("first"), n.alias("len"), F.lit(k).alias("k"), _piece(target, starts[k], starts[k + 1] - starts[k]).alias("piece")) for k in range(most + 1)])
+
+
+def possible_pieces(name: Column, most: int) -> Column:
+    """The same for a name to be found: its parts where the k-th piece of a target can stand.
+
+    A target's length differs by `most` at most. Of the edits, at most k can stand before the first piece that is whole and at most
+    most - k behind it, so it's shifted by k at most from the left, and from the right by most - k: 19 parts for two edits.
+    """
+    m = F.length(name)
+    out = []
+    for longer in range(-most, most + 1):
+        n = m - longer
+        starts = [F.floor(n * k / (most + 1)).cast("int") for k in range(most + 2)]
+        for k in range(most + 1):
+            size = starts[k + 1] - starts[k]
+            for shift in range(max(-k, longer - (most - k)), min(k, longer + (most - k)) + 1):
+                at = starts[k] + shift
+                part = F.struct(F.substring(name, 1, 1).alias("first"), n.alias("len"), F.lit(k).alias("k"), _piece(name, at, size).alias("piece"))
+                out.append(F.when((n > 0) & (at >= 0) & (at + size <= m), part))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
 def by_distance(names: DataFrame, places: DataFrame, wikipedia: DataFrame, countries: DataFrame | None = None, most: int = 2) -> DataFrame:
     """Places within `most` edits of a name, each with its nearest (then smallest) target; exact names are left out.
 
-    Pairs are made only where the first letter and the country (if given) agree and lengths differ by `most` at most: the
-    length is a key of the join.
+    Pairs are made only where the first letter and the country (if given) agree and where a name holds a piece of the target at
+    its place, which every pair within so many edits does; each distinct name is met once.
     """
-    n = names.select(F.col("name").alias("target")).distinct()
-    n = n.select("target", F.substring("target", 1, 1).alias("_first"), F.explode(F.sequence(F.length("target") - most, F.length("target") + most)).alias("_len"))
+    wanted = names.select(F.col("name").alias("target")).where(F.col("target") != "").distinct()
+    keys = wanted.select("target", F.inline(pieces(F.col("target"), most)))
     p = places.where(F.col("lon").isNotNull()).join(_small(names.select("name").distinct()), "name", "left_anti")
     if countries is not None:
         p = p.join(_small(countries.select("country_code").distinct()), "country_code", "left_semi")
-    pairs = p.join(n, (F.substring("name", 1, 1) == F.col("_first")) & (F.length("name") == F.col("_len"))).withColumn("_d", F.levenshtein("name", "target", most)).where("_d >= 0")
-    best = pairs.groupBy("id").agg(F.min(F.struct("_d", "target")).alias("_t"))
-    found = p.join(best, "id").withColumn("target", F.col("_t.target")).withColumn("_d", F.col("_t._d")).drop("_t")
+    held = p.select("name").distinct().select("name", F.inline(possible_pieces(F.col("name"), most)))
+    pairs = held.join(_small(keys), ["first", "len", "k", "piece"]).withColumn("_d", F.levenshtein("name", "target", most)).where("_d >= 0")
+    best = pairs.groupBy("name").agg(F.min(F.struct("_d", "target")).alias("_t"))
+    found = p.join(best, "name").withColumn("target", F.col("_t.target")).withColumn("_d", F.col("_t._d")).drop("_t")
     return _geoentity(_noted(found, wikipedia), F.col("target"), F.col("_d"), F.lit(None))
 
 
@@ -145,13 +177,13 @@ def mark_correct(scored: DataFrame, *by: str, score: str = "score") -> DataFrame
 def resolve_locations(locations: DataFrame, places: DataFrame, score: Callable[[DataFrame], Column] = default_score, sum_counts: bool = False) -> tuple[DataFrame, DataFrame]:
     """feature and featureplace tables of locations (order_id, name, position, and maybe count, context).
 
-    Names are cleaned and normalized; of locations with the same normalized name the last by position stays (or their counts are
+    Names are cleaned and normalized; of locations with the same normalized name the last by position and name stays (or their counts are
     summed), candidates share the normalized name, and the best-scored ones are correct.
     """
     cols = locations.columns
     loc = locations.withColumn("name", F.trim("name")).where(text.hygienic(F.col("name"))).withColumn("name_normalized", text.normalize(F.col("name")))
     loc = loc.withColumn("count", F.coalesce("count", F.lit(1)) if "count" in cols else F.lit(1)).withColumn("context", F.col("context") if "context" in cols else F.lit(None).cast("string"))
-    loc = loc.groupBy("order_id", "name_normalized").agg(F.max_by(F.struct("name", "count", "context"), "position").alias("_l"), F.sum("count").alias("_sum"))
+    loc = loc.groupBy("order_id", "name_normalized").agg(F.max_by(F.struct("name", "count", "context"), F.struct("position", "name")).alias("_l"), F.sum("count").alias("_sum"))
     loc = loc.select("order_id", "name_normalized", "_l.name", (F.col("_sum") if sum_counts else F.col("_l.count")).cast("int").alias("cnt"), F.col("_l.context").alias("text"))
     #: A feature's id is a hash of what it is, so it needs no order and reruns agree.
     loc = loc.withColumn("feature_id", F.xxhash64("order_id", "name_normalized"))

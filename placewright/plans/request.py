@@ -41,18 +41,34 @@ def split_metadata(rows: DataFrame, is_metadata: Column) -> tuple[DataFrame, Dat
     return rows.where(known), rows.where(~known)
 
 
-def locations(sources: DataFrame, places: DataFrame, stop: DataFrame | None = None) -> DataFrame:
-    """(order_id, name, count, context, position) of text and page sources; position is the number of the source."""
-    as_text = sources.where(F.col("kind").isin("text", "txt", "docx"))
-    pages = sources.where(F.col("kind") == "webpage").withColumn("data", extract.page_text(F.col("data")))
-    texts = as_text.unionByName(pages).select(F.struct("order_id", "source_no").alias("source"), F.col("data").alias("text"))
-    found = extract.locations_in_text(texts, "source", stop, pattern_only=True)
+def table_rows(sources: DataFrame) -> DataFrame:
+    """(order_id, source_no, row, cells) of the sources that are tables in a text."""
+    cells = F.when(F.col("kind") == "tsv", extract.table_cells(F.col("data"), "\t")).otherwise(extract.table_cells(F.col("data"), ","))
+    return sources.where(F.col("kind").isin("csv", "tsv")).select("order_id", "source_no", F.posexplode(cells).alias("row", "cells"))
+
+
+def locations(sources: DataFrame, places: DataFrame, stop: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """(order_id, name, count, context, position) of sources: texts, pages with their tables, and tables; position is the number of the source.
+
+    data holds what a source is made of. tables: (order_id, source_no, row, cells) of sources that had to be parsed, such as
+    workbooks (`files.parsed_files`).
+    """
+    source = F.struct("order_id", "source_no").alias("source")
+    as_text = sources.where(F.col("kind").isin("text", "txt", "docx")).select(source, F.col("data").alias("text"))
+    pages = sources.where(F.col("kind") == "webpage").select(source, F.col("data").alias("html"))
+    tabled = extract.locations_in_pages(pages, "source", places).where("origin = 'table'").select("source", "name", F.lit(1).alias("count"))
+    rows = table_rows(sources)
+    rows = rows if tables is None else rows.unionByName(tables.select("order_id", "source_no", F.col("row").cast("int").alias("row"), "cells"))
+    tabled = tabled.unionByName(extract.locations_in_tables(rows.select(source, "row", "cells"), "source", places))
+    texts = as_text.unionByName(pages.select("source", extract.page_text(F.col("html")).alias("text")))
+    said = extract.locations_in_text(texts, "source", stop, pattern_only=True).join(tabled.select("source", "name"), ["source", "name"], "left_anti")
+    found = tabled.withColumn("context", F.lit(None).cast("string")).unionByName(said)
     return found.select("source.order_id", F.col("source.source_no").alias("position"), "name", "count", "context")
 
 
-def request_map(sources: DataFrame, places: DataFrame, stop: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def request_map(sources: DataFrame, places: DataFrame, stop: DataFrame | None = None, tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """feature and featureplace of all orders in one lazy plan."""
-    return resolve.resolve_locations(locations(cleaned_sources(sources), places, stop), places)
+    return resolve.resolve_locations(locations(cleaned_sources(sources), places, stop, tables), places)
 
 
 def style(features: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from ..operators import analytics as A
 from ..operators import gazetteer as G
 from ..operators import resolve as R
 from ..plans import request as Q
+from .fixtures import ASKED, MISSPELT, asked, fold_sql, misspelt
 from .registry import query
 
-FOLD_SQL = f"translate(lower(text), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}')"
+FOLD_SQL, FOLD_NAME = fold_sql("text"), fold_sql("name")
 
 
 def names(df, *values):
@@ -26,7 +27,7 @@ def fold(documents):
     return documents.select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
-@query("f03_normalize", "v_text_place", sql=f"SELECT name, CASE WHEN length({FOLD_SQL.replace('text', 'name')}) > 3 THEN {FOLD_SQL.replace('text', 'name')} ELSE lower(name) END AS name_normalized FROM v_text_place")
+@query("f03_normalize", "v_text_place", sql=f"SELECT name, CASE WHEN length({FOLD_NAME}) > 3 THEN {FOLD_NAME} ELSE lower(name) END AS name_normalized FROM v_text_place")
 def normalize(place):
     return place.select("name", T.normalize(F.col("name")).alias("name_normalized"))
 
@@ -196,11 +197,11 @@ def metadata_split(events):
 # --- joins ------------------------------------------------------------------------------------------------------------
 
 
-@query("j01_name_or_alias", "v_place", "v_alias", "v_wikipedia", sql="""SELECT id AS place_id, name AS target, NULL AS alias, charcount AS notability FROM v_place p LEFT JOIN v_wikipedia w ON p.id = w.place_id WHERE name IN ('red plate', 'hot ring', 'PROMO')
- UNION ALL SELECT id, a.alias, a.alias, charcount FROM v_place p JOIN v_alias a ON p.id = a.place_id LEFT JOIN v_wikipedia w ON p.id = w.place_id WHERE a.alias IN ('red plate', 'hot ring', 'PROMO')""")
+@query("j01_name_or_alias", "v_place", "v_alias", "v_wikipedia", sql=f"""WITH wanted AS ({ASKED.replace("name FROM", "name AS n FROM")} UNION SELECT alias FROM v_alias WHERE starts_with(alias, 'PROMO')) SELECT id AS place_id, name AS target, NULL AS alias, charcount AS notability FROM v_place p LEFT JOIN v_wikipedia w ON p.id = w.place_id WHERE name IN (SELECT n FROM wanted)
+ UNION ALL SELECT id, a.alias, a.alias, charcount FROM v_place p JOIN v_alias a ON p.id = a.place_id LEFT JOIN v_wikipedia w ON p.id = w.place_id WHERE a.alias IN (SELECT n FROM wanted)""")
 def name_or_alias(place, alias, wikipedia):
     """Candidates by name and by alias, without deduplication."""
-    wanted = names(place, "red plate", "hot ring", "PROMO")
+    wanted = asked(place).union(alias.where(F.col("alias").startswith("PROMO")).select("alias")).distinct()
     out = R.by_name(wanted, place, wikipedia).unionByName(R.by_alias(wanted, place, alias, wikipedia))
     return out.select("place_id", "target", "alias", "notability")
 
@@ -215,15 +216,12 @@ def order_rank(place, feature, featureplace):
     return R.candidates("red plate", 7, A.country_ranks(linked), place, none, wiki).select("place_id", "ccrank")
 
 
-FUZZY_SQL = """WITH t AS (SELECT unnest(['red plat', 'hot rin']) AS target),
- d AS (SELECT p.id, levenshtein(p.name, t.target) AS d, t.target FROM v_place p JOIN t ON left(p.name, 1) = left(t.target, 1) WHERE levenshtein(p.name, t.target) <= 2 AND p.name NOT IN (SELECT target FROM t))
- SELECT id AS place_id, min(d) AS edit_distance, min_by(target, d || target) AS target FROM d GROUP BY id"""
-
-
-@query("j06_fuzzy", "v_place", "v_wikipedia", sql=FUZZY_SQL.replace("min(d) AS", "CAST(min(d) AS INT) AS"))
+@query("j06_fuzzy", "v_place", "v_wikipedia", sql=f"""WITH t AS ({MISSPELT}), n AS (SELECT DISTINCT name FROM v_place WHERE name NOT IN (SELECT target FROM t)),
+ d AS (SELECT name, levenshtein(name, target) AS d, target FROM n JOIN t ON left(name, 1) = left(target, 1) WHERE levenshtein(name, target) <= 2),
+ b AS (SELECT name, CAST(min(d) AS INT) AS edit_distance, min_by(target, d || target) AS target FROM d GROUP BY 1) SELECT id AS place_id, edit_distance, target FROM v_place JOIN b USING (name)""")
 def fuzzy(place, wikipedia):
-    """Nearest target within two edits, blocked by first letter and length."""
-    return R.by_distance(names(place, "red plat", "hot rin"), place, wikipedia).select("place_id", "edit_distance", "target")
+    """Nearest target within two edits, for a misspelling of every name."""
+    return R.by_distance(misspelt(place), place, wikipedia).select("place_id", "edit_distance", "target")
 
 
 @query("j08_anti", "v_place", "v_wikipedia", sql="SELECT id FROM v_place p WHERE NOT EXISTS (SELECT 1 FROM v_wikipedia w WHERE w.place_id = p.id)")
@@ -283,10 +281,10 @@ def popularity(featureplace, feature):
     return A.popularity(featureplace, feature)
 
 
-@query("a02_country_ranking", "v_place", sql="SELECT country_code, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, country_code) AS INT) AS ccrank FROM v_place WHERE name IN ('red plate', 'hot ring') GROUP BY country_code")
+@query("a02_country_ranking", "v_place", sql=f"SELECT country_code, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, country_code) AS INT) AS ccrank FROM v_place WHERE name IN ({ASKED}) GROUP BY country_code")
 def country_ranking(place):
     """A02, W01."""
-    return R.country_ranking(names(place, "red plate", "hot ring"), place)
+    return R.country_ranking(asked(place), place)
 
 
 @query("a03_country_ranks", "v_place", "v_feature", "v_featureplace", sql="""SELECT order_id, country_code, count(*) AS n, CAST(dense_rank() OVER (PARTITION BY order_id ORDER BY count(*) DESC) - 1 AS INT) AS rank FROM v_featureplace fp JOIN v_feature f ON fp.feature_id = f.id JOIN v_place p ON p.id = fp.place_id WHERE correct GROUP BY 1, 2""")
@@ -362,9 +360,14 @@ def any_time(feature):
     return feature.groupBy("order_id").agg(F.bool_or(F.col("start_ts").isNotNull()).alias("has_times"))
 
 
-@query("a18_one_country", "v_place", sql="SELECT 'Brand#11' AS country_code")
+@query("a18_one_country", "v_place", sql="SELECT country_code FROM v_place GROUP BY 1 HAVING min(admin_level) = 0 UNION ALL SELECT min(country_code) FROM v_place HAVING count(DISTINCT country_code) = 1")
 def one_country(place):
-    return A.one_country(place.where("country_code = 'Brand#11'"))
+    """Countries with a place of level 0, each told from a sample of its own places; a sample of all places tells none."""
+    codes = [r.country_code for r in place.where("admin_level = 0").select("country_code").distinct().collect()]
+    found = A.one_country(place)
+    for code in codes:
+        found = found.unionByName(A.one_country(place.where(F.col("country_code") == code)))
+    return found
 
 
 @query("a21_durations", "v_feature", sql="SELECT order_id AS id, true AS complete, CAST(epoch(max(start_ts)) - epoch(min(start_ts)) AS BIGINT) AS duration FROM v_feature GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NAME
+from ..functions.text import LETTERS, NAME
 
 VIEWS = {
     "v_place": """SELECT p_partkey AS id, p_name AS name, lower(p_name) AS name_normalized, p_brand AS country_code, p_type AS feature_code,
@@ -30,6 +30,27 @@ _TEXT = "SELECT row_number() OVER (ORDER BY name) AS id, name, lower(name) AS na
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+#: Names that are asked for: of all places of level 0; and with a letter missing, of all places.
+ASKED = "SELECT name FROM v_place WHERE admin_level = 0"
+MISSPELT = "SELECT DISTINCT substr(name, 1, 2) || substr(name, 4) AS target FROM v_place"
+
+
+def asked(place: DataFrame) -> DataFrame:
+    return place.where("admin_level = 0").select("name").distinct()
+
+
+def misspelt(place: DataFrame) -> DataFrame:
+    return place.select(F.expr("substr(name, 1, 2) || substr(name, 4)").alias("name")).distinct()
+
+
+def fold_sql(column: str) -> str:
+    """Folding in DuckDB: its own removal of accents, then the letters that have no base letter."""
+    out = f"strip_accents(lower({column}))"
+    for letter, latin in LETTERS.items():
+        out = f"replace({out}, '{letter}', '{latin.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named views or tables."""
     out = []

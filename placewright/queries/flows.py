@@ -13,12 +13,15 @@ from ..operators import resolve as R
 from ..plans import export
 from ..plans import request as Q
 from ..sources import files, sinks
-from .fixtures import views
+from .fixtures import ASKED, MISSPELT, asked, fold_sql, misspelt, views
 from .registry import query
 
 NAMES_SQL = f"SELECT DISTINCT doc_id, name FROM (SELECT doc_id, CASE WHEN starts_with(n, 'de ') THEN substr(n, 4) ELSE n END AS name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{T.NAME}', 1)) AS n FROM documents) WHERE length(n) > 3) WHERE length(name) > 0"
 
 
+FOLDED = f"CASE WHEN length({fold_sql('name')}) > 3 THEN {fold_sql('name')} ELSE lower(name) END"
+
+
 def resolved(documents: DataFrame, place: DataFrame) -> DataFrame:
     """(doc_id, name, place_id, confidence, correct) of the names in documents."""
     found = E.locations_in_text(documents, "doc_id", pattern_only=True).select(F.col("doc_id").alias("order_id"), "name", F.lit(0).alias("position"))
@@ -31,7 +34,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("x04_flagship", "documents", "v_text_place", sql=f"""WITH n AS ({NAMES_SQL}), l AS (SELECT doc_id, name, {{fold}} AS nn FROM n), d AS (SELECT doc_id, nn FROM l GROUP BY 1, 2)
- SELECT d.doc_id, p.id AS place_id FROM d JOIN (SELECT id, {{fold}} AS nn FROM v_text_place) p USING (nn)""".replace("{fold}", f"CASE WHEN length(translate(lower(name), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}')) > 3 THEN translate(lower(name), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}') ELSE lower(name) END"))
+ SELECT d.doc_id, p.id AS place_id FROM d JOIN (SELECT id, {{fold}} AS nn FROM v_text_place) p USING (nn)""".replace("{fold}", FOLDED))
 def flagship_links(documents, place):
     """Each document's names and their candidate places."""
     return resolved(documents, place).select("doc_id", "place_id")
@@ -43,25 +46,47 @@ def names(documents):
     return E.locations_in_text(documents, "doc_id", pattern_only=True).select("doc_id", "name")
 
 
-@query("x01_names_with_words", "documents")
+@query("x01_names_with_words", "documents", sql=f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS w FROM documents), bare AS (SELECT doc_id, trim(trim(trim(trim(unnest(w)), ','), ';'), '.') AS name FROM w WHERE length(text) < 100000),
+ pairs AS (SELECT doc_id, trim(trim(trim(trim(w[i] || ' ' || w[i + 1]), ','), ';'), '.') AS name FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE length(text) < 500)),
+ n AS (SELECT * FROM bare UNION SELECT * FROM pairs UNION SELECT doc_id, name FROM ({NAMES_SQL}))
+ SELECT doc_id, name, greatest(1, CAST((length(text) - length(replace(text, name, ''))) // length(name) AS INT)) AS count FROM n JOIN documents USING (doc_id) WHERE length(name) > 3""")
 def names_with_words(documents):
-    """X01 in full: pattern, words and word pairs, with count and context."""
-    return E.locations_in_text(documents, "doc_id")
+    """X01 in full: pattern, words and word pairs, with their count."""
+    return E.locations_in_text(documents, "doc_id").select("doc_id", "name", "count")
+
+
+def _clean_sql(html: str) -> str:
+    """Text without scripts, styles, comments and tags; DuckDB's patterns know no references, so scripts and styles go one after the other."""
+    for rx in ("(?is)<script\\b.*?</script>", "(?is)<style\\b.*?</style>", "(?s)<!--.*?-->", "<[^>]*>"):
+        html = f"regexp_replace({html}, '{rx}', ' ', 'g')"
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        html = f"replace({html}, '{name}', '{mark}')"
+    return f"trim(regexp_replace({html}, '\\s+', ' ', 'g'))"
 
 
-@query("x03_pages", "pages", "v_text_place")
+ARTICLE_SQL = _clean_sql("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")
+PAGE_SQL = f"SELECT page_id, CASE WHEN length({ARTICLE_SQL}) > 500 THEN {ARTICLE_SQL} ELSE {_clean_sql('html')} END AS text FROM pages"
+CELLS_SQL = r"""SELECT page_id, trim(regexp_replace(c, '<[^>]*>', '', 'g')) AS name FROM (SELECT page_id, unnest(regexp_extract_all(r, '(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>', 1)) AS c FROM
+ (SELECT page_id, unnest(regexp_extract_all(t, '(?is)<tr\b.*?</tr>')) AS r FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<table\b.*?</table>')) AS t FROM pages)))"""
+
+
+@query("x03_pages", "pages", "v_text_place", sql=f"""WITH c AS (SELECT DISTINCT page_id, name FROM ({CELLS_SQL}) WHERE length(name) > 2 AND name IN (SELECT name FROM v_text_place)),
+ p AS ({PAGE_SQL}), n AS ({NAMES_SQL.replace('doc_id', 'page_id').replace('FROM documents', 'FROM p')}) SELECT page_id, name, 'table' AS origin FROM c UNION ALL SELECT page_id, name, 'text' FROM (SELECT * FROM n EXCEPT SELECT * FROM c)""")
 def pages(pages, place):
     return E.locations_in_pages(pages, "page_id", place)
 
 
-@query("sc13_page_text", "pages")
+@query("sc13_page_text", "pages", sql=PAGE_SQL)
 def page_text(pages):
     return pages.select("page_id", E.page_text(F.col("html")).alias("text"))
 
 
-@query("sc09_links", "pages", sql="SELECT page_id, CAST(NULL AS VARCHAR) AS link FROM pages WHERE contains(html, '.zip\"')")
+@query("sc09_links", "pages", sql="""SELECT page_id, unnest(['http://other.example.com/' || page_id || '.ZIP', regexp_extract(url, '^(https?://[^/]+)', 1) || '/data/' || page_id || '.zip', regexp_replace(url, '[^/]*$', '') || 'x' || page_id || '.zip']) AS link FROM pages""")
 def links(pages):
-    return E.zip_links(pages)
+    """Links of every page to zips: whole, from the root, and relative ones; others are left out."""
+    n = F.col("page_id").cast("string")
+    html = F.concat("html", F.lit('<a href="http://other.example.com/'), n, F.lit('.ZIP">'), F.lit('<A class="x" HREF="/data/'), n, F.lit('.zip">'), F.lit('<a href="x'), n, F.lit('.zip">'), F.lit('<a href="y.zip.html"><b href="z.zip">'))
+    return E.zip_links(pages.withColumn("html", html))
 
 
 @query("sc11_source_kind", "pages", sql="SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'csv' WHEN page_id % 4 = 1 THEN 'docx' WHEN page_id % 4 = 2 THEN 'ignored' ELSE 'webpage' END AS kind FROM pages")
@@ -78,39 +103,54 @@ def table(part, place):
     return found.select("name", F.col("fields")["brand"].alias("brand"))
 
 
-@query("x06_candidates", "v_place", "v_alias", "v_wikipedia", "v_feature", "v_featureplace")
+ORDER_SQL = """WITH r AS (SELECT country_code, CAST(dense_rank() OVER (ORDER BY count(*) DESC) - 1 AS INT) AS ccrank FROM v_featureplace fp JOIN v_feature f ON fp.feature_id = f.id JOIN v_place p ON p.id = fp.place_id WHERE correct AND order_id = 7 GROUP BY 1),
+ f AS (SELECT id AS place_id, name AS target, 0 AS edit_distance, country_code FROM v_place WHERE name = '{name}' UNION ALL SELECT p.id, alias, 0, country_code FROM v_place p JOIN v_alias a ON p.id = a.place_id WHERE alias = '{name}'{more})
+ SELECT place_id, target, edit_distance, coalesce(ccrank, 999) AS ccrank FROM f LEFT JOIN r USING (country_code)"""
+
+
+def order_sql(name: str) -> str:
+    near = """ UNION ALL SELECT id, '{n}', CAST(levenshtein(name, '{n}') AS INT), country_code FROM v_place WHERE left(name, 1) = left('{n}', 1) AND name <> '{n}' AND levenshtein(name, '{n}') <= 2 AND country_code IN (SELECT country_code FROM r WHERE ccrank = 0)"""
+    return ORDER_SQL.format(name=name, more=near.format(n=name))
+
+
+@query("x06_candidates", "v_place", "v_alias", "v_wikipedia", "v_feature", "v_featureplace", sql=order_sql("red plate"))
 def candidates(place, alias, wikipedia, feature, featureplace):
     """Possible additions for an order, most probable first."""
     linked = featureplace.where("correct").join(feature.select(F.col("id").alias("feature_id"), "order_id"), "feature_id").join(place.select(F.col("id").alias("place_id"), "country_code"), "place_id")
-    return R.possible_additions("red plate", 7, A.country_ranks(linked), place, alias, wikipedia)
+    return R.possible_additions("red plate", 7, A.country_ranks(linked), place, alias, wikipedia).select("place_id", "target", "edit_distance", "ccrank")
 
 
-RESOLVE_SQL = """WITH r AS (SELECT country_code, CAST(row_number() OVER (ORDER BY count(*) DESC, country_code) AS INT) AS ccrank FROM v_place WHERE name IN ('red plate', 'hot ring') GROUP BY 1),
- f AS (SELECT id AS place_id, name AS target, 0 AS edit_distance, country_code FROM v_place WHERE name IN ('red plate', 'hot ring'){here} UNION ALL SELECT p.id, alias, 0, country_code FROM v_place p JOIN v_alias a ON p.id = a.place_id WHERE alias IN ('red plate', 'hot ring'){here})
+RESOLVE_SQL = f"""WITH w AS ({ASKED}), r AS (SELECT country_code, CAST(row_number() OVER (ORDER BY count(*) DESC, country_code) AS INT) AS ccrank FROM v_place WHERE name IN (SELECT name FROM w) GROUP BY 1),
+ f AS (SELECT id AS place_id, name AS target, 0 AS edit_distance, country_code FROM v_place WHERE name IN (SELECT name FROM w){{here}} UNION ALL SELECT p.id, alias, 0, country_code FROM v_place p JOIN v_alias a ON p.id = a.place_id WHERE alias IN (SELECT name FROM w){{here}}{{more}})
  SELECT place_id, target, edit_distance, ccrank FROM f LEFT JOIN r USING (country_code)"""
+#: Places near a misspelt name in some countries: the nearest, then the smallest target.
+NEAR_SQL = """ UNION ALL SELECT id, min_by(target, d || target), CAST(min(d) AS INT), country_code FROM (SELECT id, country_code, target, levenshtein(name, target) AS d FROM v_place p JOIN ({targets}) t ON left(name, 1) = left(target, 1)
+ WHERE country_code IN ({countries}) AND name NOT IN ({exact}) AND levenshtein(name, target) <= 2) GROUP BY id, country_code"""
 
 
-@query("x07_resolve", "v_place", "v_alias", "v_wikipedia", sql=RESOLVE_SQL.format(here=""))
+@query("x07_resolve", "v_place", "v_alias", "v_wikipedia", sql=RESOLVE_SQL.format(here="", more=""))
 def resolve(place, alias, wikipedia):
-    wanted = place.sparkSession.createDataFrame([("red plate",), ("hot ring",)], "name string")
-    return R.resolve(wanted, place, alias, wikipedia).select("place_id", "target", "edit_distance", "ccrank")
+    """All places of the names of level 0."""
+    return R.resolve(asked(place), place, alias, wikipedia).select("place_id", "target", "edit_distance", "ccrank")
 
 
-@query("x08_resolve_in_countries", "v_place", "v_alias", "v_wikipedia", sql=RESOLVE_SQL.format(here=" AND country_code IN (SELECT country_code FROM v_place WHERE admin_level = 0 AND name = 'red plate')"))
+@query("x08_resolve_in_countries", "v_place", "v_alias", "v_wikipedia", sql=RESOLVE_SQL.format(here=" AND country_code IN (SELECT country_code FROM v_place WHERE admin_level = 0 AND starts_with(name, 'r'))", more=""))
 def resolve_in_countries(place, alias, wikipedia):
-    """X08, J25."""
-    spark = place.sparkSession
-    wanted, countries = (spark.createDataFrame([(n,) for n in ns], "name string") for ns in (["red plate", "hot ring"], ["red plate"]))
-    return R.resolve(wanted, place, alias, wikipedia, countries=countries).select("place_id", "target", "edit_distance", "ccrank")
+    """In the countries whose names begin with r."""
+    wanted = asked(place)
+    return R.resolve(wanted, place, alias, wikipedia, countries=wanted.where(F.col("name").startswith("r"))).select("place_id", "target", "edit_distance", "ccrank")
 
 
-@query("x07_resolve_thorough", "v_place", "v_alias", "v_wikipedia")
+@query("x07_resolve_thorough", "v_place", "v_alias", "v_wikipedia", sql=RESOLVE_SQL.replace(f"({ASKED})", f"(SELECT target AS name FROM ({MISSPELT}) UNION {ASKED})", 1).format(
+    here="", more=NEAR_SQL.format(targets="SELECT DISTINCT name AS target FROM w", countries="SELECT country_code FROM r WHERE ccrank = 1", exact="SELECT name FROM w")))
 def resolve_thorough(place, alias, wikipedia):
-    wanted = place.sparkSession.createDataFrame([("red plat",), ("hot rin",), ("red plate",)], "name string")
+    """Names and misspelt names; these are looked for in the most frequent country."""
+    wanted = asked(place).union(misspelt(place)).distinct()
     return R.resolve(wanted, place, alias, wikipedia, thorough=True).select("place_id", "target", "edit_distance", "ccrank")
 
 
-@query("x15_geolocate", "documents", "v_text_place")
+@query("x15_geolocate", "documents", "v_text_place", sql=f"""WITH n AS ({NAMES_SQL}), l AS (SELECT doc_id, max(name) AS name, nn FROM (SELECT doc_id, name, {FOLDED} AS nn FROM n) GROUP BY 1, 3), p AS (SELECT id, {FOLDED} AS nn FROM v_text_place)
+ SELECT doc_id, CAST(id % 90 AS DOUBLE) AS latitude, CAST(id % 180 AS DOUBLE) AS longitude FROM (SELECT doc_id, min_by(id, (l.name, id)) AS id FROM l JOIN p USING (nn) GROUP BY 1)""")
 def geolocate(documents, place):
     spots = place.withColumn("lat", (F.col("id") % 90).cast("double")).withColumn("lon", (F.col("id") % 180).cast("double")).withColumn("name_normalized", T.normalize(F.col("name")))
     return Q.geolocate(documents, "doc_id", spots)
@@ -139,9 +179,21 @@ def csv(feature, featureplace, place):
     return sinks.csv_rows(links)
 
 
-@query("sk02_geojson", "v_feature", "v_featureplace", "v_place")
+CHOSEN_SQL = "c AS (SELECT feature_id, min_by(place_id, id) AS place_id, min_by(confidence, id) AS confidence FROM v_featureplace WHERE correct GROUP BY 1)"
+
+
+@query("sk02_geojson", "v_feature", "v_featureplace", "v_place", sql=f"""WITH {CHOSEN_SQL} SELECT p.admin_level, p.id AS place_id, name, country_code, CAST(confidence AS DOUBLE) AS confidence, round(lon, 6) AS x, round(lat, 6) AS y, strftime(start_ts, '%y-%m-%d') AS start_time, importance,
+ 'Feature' AS type, 'Point' AS kind, 10 AS properties FROM c JOIN v_feature f ON f.id = c.feature_id JOIN v_place p ON p.id = c.place_id""")
 def geojson(feature, featureplace, place):
-    return sinks.geojson_features(sinks.chosen(feature.withColumnRenamed("start_ts", "start"), featureplace, place))
+    """The features, read back from their JSON."""
+    out = sinks.geojson_features(sinks.chosen(feature.withColumnRenamed("start_ts", "start"), featureplace, place))
+    at = lambda path, kind="string": F.get_json_object("feature", f"$.{path}").cast(kind)
+    first = "geometry.geometries[0]"
+    return out.select(
+        at("properties.admin_level", "int").alias("admin_level"), "place_id", at("properties.name").alias("name"), at("properties.country_code").alias("country_code"), at("properties.confidence", "double").alias("confidence"),
+        at(f"{first}.coordinates[0]", "double").alias("x"), at(f"{first}.coordinates[1]", "double").alias("y"), at("properties.start_time").alias("start_time"), at("properties.importance", "double").alias("importance"),
+        at("type").alias("type"), at(f"{first}.type").alias("kind"), F.size(F.json_object_keys(at("properties"))).alias("properties"),
+    )
 
 
 @query("sk04_xy", "v_feature", "v_featureplace", "v_place", sql="WITH c AS (SELECT feature_id, min_by(place_id, id) AS place_id FROM v_featureplace WHERE correct GROUP BY 1), o AS (SELECT min_by(place_id, feature_id) AS place_id FROM c) SELECT '[' || lon || ',' || lat || ']' AS xy FROM o JOIN v_place p ON p.id = o.place_id")
@@ -149,12 +201,16 @@ def xy(feature, featureplace, place):
     return sinks.xy(sinks.chosen(feature, featureplace, place))
 
 
-@query("sk06_frequency_shapes", "v_feature", "v_featureplace", "v_place", "v_country")
+@query("sk06_frequency_shapes", "v_feature", "v_featureplace", "v_place", "v_country", sql=f"""WITH {CHOSEN_SQL}, s AS (SELECT admin_level, place_id, CAST(sum(CASE WHEN coalesce(cnt, 0) = 0 THEN 1 ELSE cnt END) AS BIGINT) AS count FROM c JOIN v_feature f ON f.id = c.feature_id JOIN v_place p ON p.id = c.place_id GROUP BY 1, 2),
+ t AS (SELECT *, round(CAST(count AS DOUBLE) / sum(count) OVER (PARTITION BY admin_level), 6) AS frequency FROM s) SELECT t.admin_level, count, frequency, name, lon AS x, lat AS y FROM t JOIN v_place p ON p.id = t.place_id WHERE place_id % 2 = 0""")
 def frequency_shapes(feature, featureplace, place, country):
     from ..functions import spatial as S
 
     shaped = place.withColumn("mpoly", F.when(F.col("id") % 2 == 0, S.box_polygon(F.col("lon"), F.col("lon") + 1, F.col("lat"), F.col("lat") + 1)))
-    return sinks.frequency_features(A.frequency(sinks.chosen(feature, featureplace, place).select("place_id", "admin_level", "cnt")), shaped)
+    out = sinks.frequency_features(A.frequency(sinks.chosen(feature, featureplace, place).select("place_id", "admin_level", "cnt")), shaped)
+    at = lambda path, kind: F.get_json_object("feature", f"$.{path}").cast(kind)
+    corner = "mpoly[0][0][0]"
+    return out.select("admin_level", at("properties.count", "long").alias("count"), at("properties.frequency", "double").alias("frequency"), at("properties.name", "string").alias("name"), at(f"{corner}.x", "double").alias("x"), at(f"{corner}.y", "double").alias("y"))
 
 
 @query("x10_topics", "documents")
@@ -164,9 +220,29 @@ def topics_of_documents(documents):
     return model.topic(documents.select("doc_id", "text")).select("doc_id", "topic_id")
 
 
-@query("x13_layer", "v_place", sql="SELECT 'name' AS key, 'label' AS value UNION ALL SELECT 'pcode', 'id_pcode' UNION ALL SELECT 'admin_level', '2' UNION ALL SELECT 'area_sqkm', 'area_km2'")
+@query("x13_layer", "v_place", sql="""WITH u AS (SELECT count(DISTINCT name || id) / count(*) AS label, count(DISTINCT id) / count(*) AS code, count(*) FILTER (WHERE importance <> 0) / count(*) AS area FROM v_place)
+ SELECT 'name' AS key, CASE WHEN label > 0.8 THEN 'label' END AS value FROM u UNION ALL SELECT 'pcode', CASE WHEN code > 0.95 THEN 'id_pcode' END FROM u UNION ALL SELECT 'admin_level', regexp_extract('regions adm2', '[0-9]$') UNION ALL SELECT 'area_sqkm', CASE WHEN area > 0.8 THEN 'area_km2' END FROM u""")
 def layer(place):
     """What the columns of a layer mean."""
     df = place.select(F.concat_ws(" ", "name", F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("label"), F.concat(F.lit("xy"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id_pcode"), F.col("importance").alias("area_km2"))
     found = layers.parse_layer(df, "regions adm2")
     return place.sparkSession.createDataFrame([(k, str(v)) for k, v in found.items() if v], "key string, value string")
+
+
+MIXED_PLACES = "SELECT name FROM v_place UNION SELECT country_code FROM v_country"
+
+
+@query("x04_mixed_sources", "v_place", "v_country", "nation", "benchmark", sql=f"""WITH known AS ({MIXED_PLACES}),
+ t AS (SELECT n_regionkey AS order_id, 0 AS position, n_name AS name, 1 AS count FROM nation UNION ALL SELECT n_regionkey, 1, n_name, 2 FROM nation UNION ALL SELECT n_regionkey, 2, n_name, 1 FROM nation
+ UNION ALL SELECT 1000 + item_id, 0, name, 0 FROM (SELECT DISTINCT item_id, CASE WHEN starts_with(n, 'de ') THEN substr(n, 4) ELSE n END AS name FROM (SELECT item_id, unnest(regexp_extract_all(text, '{T.NAME}', 1)) AS n FROM benchmark) WHERE length(n) > 3))
+ SELECT order_id, position, name, CASE WHEN position = 0 AND order_id >= 1000 THEN greatest(1, CAST((length(text) - length(replace(text, name, ''))) // length(name) AS INT)) ELSE count END AS count FROM t LEFT JOIN benchmark ON order_id = 1000 + item_id WHERE name <> ''""")
+def mixed_sources(place, country, nation, benchmark):
+    """X04, SC10-SC14: one request of tables (by header, and by the gazetteer), pages with tables and texts; every source gives its locations."""
+    known = place.select("name").union(country.select("country_code")).distinct()
+    by = nation.groupBy(F.col("n_regionkey").alias("order_id"))
+    csv = by.agg(F.concat(F.lit("id,Country\r\n"), F.array_join(F.collect_list(F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), "n_name", F.lit('"'))), "\r\n")).alias("data"))
+    tsv = by.agg(F.concat(F.lit("what\tno\n"), F.array_join(F.collect_list(F.concat("n_name", F.lit("\tx\n\n"), "n_name", F.lit("\ty"))), "\n")).alias("data"))
+    page = by.agg(F.concat(F.lit("<html><table><tr><th>no one</th></tr>"), F.array_join(F.collect_list(F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td><td>7</td></tr>"))), ""), F.lit("</table><p>nothing else</p></html>")).alias("data"))
+    text = benchmark.select((F.col("item_id") + 1000).alias("order_id"), F.col("text").alias("data"))
+    parts = [df.select(F.col("order_id").cast("long").alias("order_id"), F.lit(no).alias("source_no"), F.lit(kind).alias("source_type"), "data") for df, no, kind in ((csv, 0, "csv"), (tsv, 1, "tsv"), (page, 2, "webpage"), (text, 0, "text"))]
+    return Q.locations(Q.cleaned_sources(Q.union_all(*parts)), known).select("order_id", F.col("position").alias("position"), "name", F.col("count").cast("int").alias("count"))

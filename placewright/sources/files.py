@@ -53,6 +53,15 @@ def country_info(spark: SparkSession, path: str) -> DataFrame:
     return lines.where((F.size(parts) > 5) & ~heading).select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]).withColumn("geonameid", F.expr("try_cast(geonameid AS int)"))
 
 
+def cached(spark: SparkSession, path: str, build) -> DataFrame:
+    """A lookup table kept at path: read if it was written and committed, else built and written."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def dataset_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are neither empty nor comments."""
     return spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.trim("value").alias("path"))
@@ -181,23 +190,30 @@ def _rings_to_polygons(rings: list[list[tuple[float, float]]]) -> list[list[list
 
 
 def shapes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record, attributes, lon, lat, mpoly) of the shapefiles below a folder; a point of several is the first, coordinates are longitude and latitude."""
+    """(path, record, attributes, lon, lat, mpoly) of the shapefiles below a folder, also of those in zips; a point of several is the first, coordinates are longitude and latitude."""
+    zips = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path).select(F.col("content").alias("zip"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{shp,dbf}").load(path)
     pairs = files.groupBy(F.regexp_replace("path", r"\.\w+$", "").alias("path")).agg(F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf"))
-    return _shape_records(pairs)
+    return _shape_records(pairs.unionByName(_unzipped(zips)))
 
 
 def zipped_shapes(spark: SparkSession, path: str) -> DataFrame:
     """As shapes(), of a table of (name, zip) that sinks.write_shapes wrote; paths are those within the zips."""
+    return _shape_records(_unzipped(spark.read.parquet(path).select("zip")))
+
+
+def _unzipped(zips: DataFrame) -> DataFrame:
+    """(path, shp, dbf) of the shapefiles in a column of zips; other files in them are passed over."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch.zip:
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
-                    stems = [n[:-4] for n in z.namelist() if n.endswith(".shp")]
-                    yield pd.DataFrame([(n, z.read(f"{n}.shp"), z.read(f"{n}.dbf")) for n in stems], columns=["path", "shp", "dbf"])
+                    names = set(z.namelist())
+                    stems = sorted(n[:-4] for n in names if n.endswith(".shp"))
+                    yield pd.DataFrame([(n, z.read(f"{n}.shp"), z.read(f"{n}.dbf") if f"{n}.dbf" in names else None) for n in stems], columns=["path", "shp", "dbf"])
 
-    return _shape_records(spark.read.parquet(path).select("zip").mapInPandas(run, "path string, shp binary, dbf binary"))
+    return zips.mapInPandas(run, "path string, shp binary, dbf binary")
 
 
 def _shape_records(pairs: DataFrame) -> DataFrame:
