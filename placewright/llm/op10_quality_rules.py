@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fence, plain_words, settled, table, without
+from .common import fence, plain_words, settled, table, unpacked, without
 
 RISK = 0.05
 LEVEL = 0.05
@@ -108,11 +108,12 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> Da
     A document that fails the base rule isn't a false rejection of these rules and isn't counted.
     """
     counts = [F.sum((F.col(rule) > cut).cast("long")).alias(f"{rule}:{i}") for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)]
-    by = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
+    by = settled(labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts), "strata")
+    strata = by.count()
     rungs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(cut).alias("cut"), F.col(f"`{rule}:{i}`").alias("k")) for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)])
-    rows = by.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy())).select("stratum", "n", "strata", F.inline(rungs))
+    rows = by.select("stratum", "n", F.inline(rungs))
     share = risk / len(LADDERS)
-    rows = rows.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), share) <= F.lit(level) / (F.col("strata") * len(LADDERS)))
+    rows = rows.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), share) <= level / max(1, strata * len(LADDERS)))
     so_far = Window.partitionBy("stratum", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("open", F.min(F.col("passed").cast("int")).over(so_far) == 1)
     return rows.groupBy("stratum").agg(*[F.min(F.when(F.col("open") & (F.col("rule") == rule), F.col("cut"))).alias(f"max_{rule}") for rule in LADDERS])
@@ -136,12 +137,11 @@ def judged(rows: DataFrame, labels: DataFrame, stratum: str, doc_id: str) -> Dat
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep; the texts aren't shuffled.
 
-    A first pass over the labelled documents sets the cutoffs, a second one judges every document.
+    The figures, which cost far more than writing, are computed once and written beside the documents; labelled ones of them set the cutoffs.
     """
     every = docs.select(F.struct(*without(docs)).alias("_doc"), F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "text")
-    rows = figures(every, F.col("_doc"), F.col("_id"), F.col("_lang"))
-    kept = judged(rows, labels, "_lang", "_id").where("kept")
-    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    rows = settled(figures(every, F.col("_doc"), F.col("_id"), F.col("_lang")), "judged")
+    return unpacked(judged(rows, labels, "_lang", "_id").where("kept"), docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
