@@ -114,6 +114,14 @@ def file_name(name: Column) -> Column:
     return F.left(F.replace(F.replace(marked, F.lit("__"), F.lit("_")), F.lit(" "), F.lit("_")), F.lit(1000))
 
 
+def dataset_name(path: Column) -> Column:
+    """A name for a dataset of its address: points, slashes, dashes and colons become underscores, then three of them one, and two of them."""
+    out = F.translate(path, "./-:", "____")
+    for run in ("___", "__"):
+        out = F.replace(out, F.lit(run), F.lit("_"))
+    return out
+
+
 def fixed_url(url: Column) -> Column:
     """Quotes go, redirects of a search engine are unwrapped, and a scheme is put before."""
     bare_url = F.btrim(F.trim(url), F.lit("\"'"))

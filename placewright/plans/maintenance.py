@@ -94,6 +94,14 @@ def is_in_osm(osm: DataFrame, name: str, country: str | None = None) -> bool:
     return not (rows if country is None else rows.where(F.col("country") == country)).isEmpty()
 
 
+def in_osm(osm: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (name, and country or null) with found: whether the OSM names hold the name, in the country if one is given."""
+    anywhere = osm.select(F.col("name").alias("_n")).distinct().withColumn("_any", F.lit(True))
+    there = osm.select(F.col("name").alias("_m"), F.col("country").alias("_c")).distinct().withColumn("_there", F.lit(True))
+    out = wanted.join(anywhere, F.col("name") == F.col("_n"), "left").join(there, (F.col("name") == F.col("_m")) & (F.col("country") == F.col("_c")), "left")
+    return out.select(*wanted.columns, F.coalesce(F.when(F.col("country").isNull(), F.col("_any")).otherwise(F.col("_there")), F.lit(False)).alias("found"))
+
+
 def order_of_url(orders: DataFrame, urls: DataFrame) -> DataFrame:
     """(url, order_id) of referring urls; null where an order is to be made."""
     return urls.join(orders.groupBy("url").agg(F.min("id").alias("order_id")), "url", "left").select("url", "order_id")

@@ -296,29 +296,44 @@ def decision_fields(feature, featureplace, place):
     return export.decisions(orders, feature, featureplace, place.select("id", F.col("population").alias("popularity"))).select("featureplace_id", "popularity_at_decision_time", "verified")
 
 
-@query("x14_layer_names", "v_place", sql="SELECT 'name' AS field, 1.0::DOUBLE AS share, count(DISTINCT name) AS n FROM v_place")
+@query("x14_layer_names", "v_place", sql="SELECT 'name' AS field, 1.0::DOUBLE AS share, count(DISTINCT name) AS n FROM v_place UNION ALL SELECT 'code', count(DISTINCT country_code || id) FILTER (WHERE NOT regexp_matches(country_code || id, '^[A-Za-z]{2}[0-9]{2,}')) / count(DISTINCT country_code || id), count(DISTINCT country_code || id) FROM v_place")
 def layer_names(place):
-    return layers.name_share(place.select("name")).select("field", "share", "n")
+    return layers.name_share(place.select("name", F.concat("country_code", F.col("id").cast("string")).alias("code"))).select("field", "share", "n")
 
 
-@query("x19_conflate_one", "v_place", sql="SELECT min(id) AS id FROM v_place WHERE name = (SELECT name FROM v_place WHERE id = 1) AND lat = (SELECT lat FROM v_place WHERE id = 1) AND lon = (SELECT lon FROM v_place WHERE id = 1)")
+@query("x14_load_dataset", "v_place", sql="SELECT name || ' ' || translate(CAST(id AS VARCHAR), '0123456789', 'abcdefghij') AS name, 'xy' || lpad(CAST(id AS VARCHAR), 6, '0') AS pcode, 2 AS admin_level, importance AS area_sqkm FROM v_place")
+def load_dataset(place):
+    """A layer of unknown columns as places: no country is known, so nothing matches and all rows are new."""
+    label = F.concat_ws(" ", "name", F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    layer = place.select(label.alias("label"), F.concat(F.lit("xy"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id_pcode"), F.col("importance").alias("area_km2"), "lon", "lat")
+    return M.load_dataset(layer, "regions adm2", place)["new"].select("name", "pcode", "admin_level", "area_sqkm")
+
+
+@query("x19_conflate_one", "v_place", sql="""WITH f AS (SELECT name, min(id) AS id FROM v_place GROUP BY name ORDER BY count(*) DESC, name LIMIT 1), o AS (SELECT p.* FROM v_place p JOIN f USING (id))
+ SELECT 'there' AS what, min(p.id) AS id FROM v_place p JOIN o ON p.name = o.name AND p.lat = o.lat AND p.lon = o.lon UNION ALL SELECT 'new', max(id) + 1 FROM v_place""")
 def conflate_one(place):
-    one = place.where("id = 1").first()
-    return M.conflate_one(place, one.name, one.lat, one.lon)[1]
+    """The most frequent name at its first place, which is there, and at a pole, which isn't."""
+    common = place.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("lat", "lon"), "id").alias("p")).orderBy(F.desc("n"), "name").first()
+    there = M.conflate_one(place, common.name, common.p.lat, common.p.lon)[1].select(F.lit("there").alias("what"), "id")
+    return there.unionByName(M.conflate_one(place, common.name, 90.0, 0.0)[1].select(F.lit("new").alias("what"), "id"))
 
 
-@query("x20_in_osm", "v_place", sql="SELECT true AS found, false AS missing")
+@query("x20_in_osm", "v_place", sql="""WITH o AS (SELECT name, country_code AS country FROM v_place WHERE population IS NOT NULL), w AS (SELECT DISTINCT name, country_code AS country FROM v_place UNION ALL SELECT DISTINCT name, NULL FROM v_place UNION ALL SELECT DISTINCT name || 'x', NULL FROM v_place)
+ SELECT name, country, EXISTS (SELECT 1 FROM o WHERE o.name = w.name AND (w.country IS NULL OR o.country = w.country)) AS found FROM w""")
 def in_osm(place):
-    osm = place.select("name", F.col("country_code").alias("country"))
-    found, missing = M.is_in_osm(osm, "red plate"), M.is_in_osm(osm, "red plate", "nowhere")
-    return place.sparkSession.range(1).select(F.lit(found).alias("found"), F.lit(missing).alias("missing"))
+    """Names with and without a country, some of which aren't there."""
+    osm = place.where("population IS NOT NULL").select("name", F.col("country_code").alias("country"))
+    none = F.lit(None).cast("string").alias("country")
+    names = place.select("name").distinct()
+    wanted = place.select("name", F.col("country_code").alias("country")).distinct().unionByName(names.select("name", none)).unionByName(names.select(F.concat("name", F.lit("x")).alias("name"), none))
+    return M.in_osm(osm, wanted)
 
 
-@query("x12_places_of_labels", "v_featureplace", "v_feature", sql="SELECT count(DISTINCT place_id) AS n FROM v_featureplace fp JOIN v_feature f ON f.id = fp.feature_id WHERE verified AND correct")
+@query("x12_places_of_labels", "v_featureplace", "v_feature", sql="WITH c AS (SELECT place_id, cnt, count(*) AS n FROM v_featureplace fp JOIN v_feature f ON f.id = fp.feature_id WHERE verified AND correct GROUP BY 1, 2) SELECT place_id, CAST(min(cnt) AS INT) AS cnt FROM c WHERE n = (SELECT max(n) FROM c d WHERE d.place_id = c.place_id) GROUP BY 1")
 def places_of_labels(featureplace, feature):
-    """The places that topics are tagged on: those of verified and correct links."""
+    """The most frequent label of each place, over verified and correct links, as topics are tagged; here the label is the count."""
     linked = featureplace.where("correct").join(feature.where("verified").select(F.col("id").alias("feature_id"), "cnt"), "feature_id")
-    return A.majority(linked, "place_id", "cnt").agg(F.count(F.lit(1)).alias("n"))
+    return A.majority(linked, "place_id", "cnt")
 
 
 @query("x17_dump", "v_feature", "v_featureplace", "v_place", sql="SELECT fp.feature_id, place_id, name, country_code, lat, lon, confidence, correct FROM v_featureplace fp JOIN v_place p ON p.id = fp.place_id JOIN v_feature f ON f.id = fp.feature_id WHERE order_id = 7")
@@ -327,10 +342,9 @@ def dump(feature, featureplace, place):
     return mine.select("feature_id", "place_id", "confidence", "correct").join(place.withColumnRenamed("id", "place_id"), "place_id").select("feature_id", "place_id", "name", "country_code", "lat", "lon", "confidence", "correct")
 
 
-@query("x05_scores", "v_place", sql="SELECT count(*) AS n, bool_and(true) AS in_range FROM v_place")
+@query("x05_scores", "v_place", sql="""SELECT id, round(least(0.9999::DOUBLE, 0.4::DOUBLE * ln(coalesce(population, 0)::DOUBLE + 1) / ln(1e9::DOUBLE) + 0.3::DOUBLE * coalesce(importance, 0) / (coalesce(importance, 0) + 1000) + 0.2::DOUBLE / (coalesce(admin_level, 6) + 1)), 4) AS score FROM v_place""")
 def scores(place):
-    score = R.default_score(place)
-    return place.agg(F.count(F.lit(1)).alias("n"), F.bool_and(score.between(0, 1)).alias("in_range"))
+    return place.select("id", R.default_score(place).alias("score"))
 
 
 @query("f15_topic_tokens", "documents", sql=r"SELECT token, count(*) AS count FROM (SELECT unnest(regexp_split_to_array(translate(lower(text), '#_()/:.', '       '), '\s+')) AS token FROM documents) WHERE length(token) > 3 GROUP BY token HAVING count(*) > 1")

@@ -19,6 +19,8 @@ from ..plans import maintenance as M
 from ..plans import request as Q
 from ..session import scratch
 from ..sources import files, sinks
+from .fixtures import asked
+from .flows import order_sql
 from .registry import query
 from .spatial import METRES, SCORE, WIDE
 
@@ -145,12 +147,16 @@ def append(featureplace):
     return spark.read.parquet(path).groupBy("place_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sk13_accuracy_log", "region", sql="SELECT 0.5::DOUBLE AS accuracy, 12 AS duration UNION ALL SELECT 0.75::DOUBLE, 9")
-def accuracy_log(region):
-    spark, path = region.sparkSession, scratch(region.sparkSession, "tests")
-    for accuracy, duration in ((0.5, 12), (0.75, 9)):
-        M.append(spark.createDataFrame([(accuracy, duration)], "accuracy double, duration int").withColumn("created", F.current_timestamp()), path)
-    return spark.read.parquet(path).select("accuracy", "duration")
+@query("sk13_accuracy_log", "v_place", sql="""WITH e AS (SELECT name, min_by(lon, id) AS x, min_by(lat, id) AS y FROM v_place GROUP BY name)
+ SELECT admin_level, count(*) AS n, round(avg(CASE WHEN lon = x AND lat = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy, true AS logged FROM v_place JOIN e USING (name) WHERE admin_level IN (0, 1, 2) GROUP BY 1""")
+def accuracy_log(place):
+    """A test of each of three levels is logged as it ends, and the log read back."""
+    spark, path = place.sparkSession, scratch(place.sparkSession, "tests")
+    expected = place.groupBy("name").agg(F.min_by("lon", "id").alias("x"), F.min_by("lat", "id").alias("y"))
+    for level in (0, 1, 2):
+        tested = A.accuracy(place.where(F.col("admin_level") == level).select("name", F.col("lon").alias("x"), F.col("lat").alias("y")), expected)
+        M.append(tested.select(F.lit(level).alias("admin_level"), "n", "accuracy", F.current_timestamp().alias("created")), path)
+    return spark.read.parquet(path).select("admin_level", "n", "accuracy", F.col("created").isNotNull().alias("logged"))
 
 
 @query("p14_place_fields", "v_place", sql="SELECT id, country_code, name, name_normalized, admin_level FROM v_place")
@@ -158,12 +164,12 @@ def place_fields(place):
     return place.select("id", "country_code", "name", "name_normalized", "admin_level")
 
 
-@query("j07_best_target", "v_place", "v_wikipedia", sql="""WITH t AS (SELECT DISTINCT substr(name, 1, length(name) - 1) AS target FROM v_place WHERE id < 3),
- x AS (SELECT p.id, target, levenshtein(name, target) AS d FROM v_place p JOIN t ON left(name, 1) = left(target, 1) WHERE name NOT IN (SELECT target FROM t) AND levenshtein(name, target) <= 2)
- SELECT id AS place_id, min(target) AS target, CAST(min(d) AS INT) AS edit_distance FROM x WHERE (id, d) IN (SELECT (id, min(d)) FROM x GROUP BY id) GROUP BY 1""")
+@query("j07_best_target", "v_place", "v_wikipedia", sql="""WITH t AS (SELECT DISTINCT substr(name, 1, length(name) - 1) AS target FROM v_place), n AS (SELECT DISTINCT name FROM v_place WHERE name NOT IN (SELECT target FROM t)),
+ x AS (SELECT name, target, levenshtein(name, target) AS d FROM n JOIN t ON left(name, 1) = left(target, 1) WHERE levenshtein(name, target) <= 2),
+ b AS (SELECT name, min(target) AS target, CAST(min(d) AS INT) AS edit_distance FROM x WHERE (name, d) IN (SELECT (name, min(d)) FROM x GROUP BY name) GROUP BY 1) SELECT id AS place_id, target, edit_distance FROM v_place JOIN b USING (name)""")
 def best_target(place, wikipedia):
-    """The nearest misspelt name of each place."""
-    names = place.where("id < 3").select(F.expr("substr(name, 1, length(name) - 1)").alias("name"))
+    """The nearest of all names that lack their last letter, of each place."""
+    names = place.select(F.expr("substr(name, 1, length(name) - 1)").alias("name"))
     return R.by_distance(names, place, wikipedia).select("place_id", "target", "edit_distance")
 
 
@@ -188,9 +194,9 @@ def repeated_tokens(part):
     return A.repeated_tokens(tokens)
 
 
-@query("w01_country_position", "v_place", sql="SELECT country_code, CAST(row_number() OVER (ORDER BY count(*) DESC, country_code) AS INT) AS ccrank FROM v_place WHERE name IN (SELECT name FROM v_place WHERE id < 20) GROUP BY 1")
+@query("w01_country_position", "v_place", sql="SELECT country_code, CAST(row_number() OVER (ORDER BY count(*) DESC, country_code) AS INT) AS ccrank FROM v_place WHERE name IN (SELECT name FROM v_place WHERE admin_level = 0) GROUP BY 1")
 def country_position(place):
-    return R.country_ranking(place.where("id < 20").select("name"), place).select("country_code", "ccrank")
+    return R.country_ranking(asked(place), place).select("country_code", "ccrank")
 
 
 @query("w02_dense_rank", "v_featureplace", "v_feature", "v_place", sql="""SELECT order_id, country_code, CAST(dense_rank() OVER (PARTITION BY order_id ORDER BY count(*) DESC) - 1 AS INT) AS rank
@@ -221,7 +227,8 @@ def score_order(place):
     return scored.select(F.col("input_id").alias("a"), F.col("place_id").alias("b"), F.col("score").cast("int").alias("score"), F.row_number().over(order).cast("long").alias("place"))
 
 
-@query("t10_columns", "v_place", sql="SELECT 'id' AS first_by_uniqueness, 'importance' AS first_by_median")
+@query("t10_columns", "v_place", sql="""WITH u AS (SELECT unnest(['id', 'name']) AS f, unnest([count(DISTINCT id), count(DISTINCT name)]) AS n FROM v_place), m AS (SELECT unnest(['importance', 'admin_level']) AS f, unnest([median(importance), median(admin_level)]) AS n FROM v_place)
+ SELECT (SELECT f FROM u ORDER BY n DESC, f LIMIT 1) AS first_by_uniqueness, (SELECT f FROM m ORDER BY n DESC, f LIMIT 1) AS first_by_median""")
 def columns(place):
     """Columns of a layer by uniqueness, and numeric ones by median."""
     profile = A.profile(place.select("id", "name", "importance", "admin_level"))
@@ -248,11 +255,12 @@ def full_groups(orders):
     return orders.groupBy(F.floor(F.col("o_orderkey") / 5000).alias("batch")).agg(F.count(F.lit(1)).alias("n")).where("n = 5000")
 
 
-@query("u01_by_name_and_alias", "v_place", "v_alias", "v_wikipedia", sql="""WITH n AS (SELECT name FROM v_place WHERE id < 5 UNION SELECT alias FROM v_alias WHERE place_id < 5)
+@query("u01_by_name_and_alias", "v_place", "v_alias", "v_wikipedia", sql="""WITH n AS (SELECT name FROM v_place WHERE admin_level = 0 UNION SELECT alias FROM v_alias WHERE place_id IN (SELECT id FROM v_place WHERE admin_level = 0))
  SELECT id AS place_id, CAST(NULL AS VARCHAR) AS alias FROM v_place WHERE name IN (SELECT name FROM n) UNION ALL SELECT place_id, alias FROM v_alias WHERE alias IN (SELECT name FROM n)""")
 def by_name_and_alias(place, alias, wikipedia):
     """A place found by its name and by an alias comes twice."""
-    names = place.where("id < 5").select("name").union(alias.where("place_id < 5").select("alias"))
+    first = place.where("admin_level = 0").select(F.col("id").alias("place_id"))
+    names = asked(place).union(alias.join(first, "place_id", "left_semi").select("alias"))
     return Q.union_all(R.by_name(names, place, wikipedia), R.by_alias(names, place, alias, wikipedia)).select("place_id", "alias")
 
 
@@ -325,11 +333,11 @@ def simplified(country):
     return M.simplified(shaped).select("id", F.size(out).alias("vertices"), F.round(S.area(out), 9).alias("area"))
 
 
-@query("x09_additions", "v_place", "v_alias", "v_wikipedia", "v_feature", "v_featureplace")
+@query("x09_additions", "v_place", "v_alias", "v_wikipedia", "v_feature", "v_featureplace", sql=order_sql("hot rin"))
 def additions(place, alias, wikipedia, feature, featureplace):
     """A misspelt name that is added to an order: places within two edits in the order's first country, most probable first."""
     linked = featureplace.where("correct").join(feature.select(F.col("id").alias("feature_id"), "order_id"), "feature_id").join(place.select(F.col("id").alias("place_id"), "country_code"), "place_id")
-    return R.possible_additions("hot rin", 7, A.country_ranks(linked), place, alias, wikipedia)
+    return R.possible_additions("hot rin", 7, A.country_ranks(linked), place, alias, wikipedia).select("place_id", "target", "edit_distance", "ccrank")
 
 
 @query("x11_topic", "part")
@@ -342,3 +350,78 @@ def topic(part):
 @query("x16_styles", "v_feature", sql="SELECT id AS feature_id, order_id AS mapstyle_id, row_number() OVER (PARTITION BY order_id ORDER BY id) <= 10 AS label FROM v_feature")
 def styles(feature):
     return Q.style(feature)
+
+
+# --- shapes in files, kept lookups, names of datasets, means ----------------------------------------------------------------
+
+
+def _put(spark, path, data):
+    """Writes one small file through Spark's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(data)
+    out.close()
+
+
+def _boxes(country):
+    """Records, points and shapes of the countries, of which there are a few dozen."""
+    rows = country.orderBy("id").collect()
+    ring = lambda r: [(r.west, r.south), (r.east, r.south), (r.east, r.north), (r.west, r.north), (r.west, r.south)]
+    return [[r.country_code, "1.0", r.country_code, str(r.id), None, None, None] for r in rows], [(r.west, r.south) for r in rows], [[[ring(r)]] for r in rows]
+
+
+def _read_shapes(spark, path):
+    rows = files.shapes(spark, path).where(F.col("mpoly").isNotNull())
+    ring = F.get(F.get("mpoly", F.lit(0)), F.lit(0))
+    return rows.select(F.col("attributes")["geonames_i"].cast("long").alias("id"), F.col("attributes")["countrycod"].alias("country_code"), F.size("mpoly").alias("polygons"), F.size(ring).alias("vertices"), F.round(S.area(ring), 6).alias("area"))
+
+
+BOXES = "SELECT id, country_code, 1 AS polygons, 5 AS vertices, round((east - west) * (north - south), 6) AS area FROM v_country"
+
+
+@query("sc07_shapefile", "v_country", sql=BOXES)
+def shapefile(country):
+    """Polygons and attributes of .shp and .dbf files."""
+    import io
+    import zipfile
+
+    spark, path = country.sparkSession, scratch(country.sparkSession, "shp")
+    with zipfile.ZipFile(io.BytesIO(sinks.shape_zip("boxes", *_boxes(country)))) as z:
+        for name in z.namelist():
+            _put(spark, f"{path}/{name}", z.read(name))
+    return _read_shapes(spark, path)
+
+
+@query("sc08_country_zips", "v_country", sql=BOXES)
+def country_zips(country):
+    """The same from two zips."""
+    spark, path = country.sparkSession, scratch(country.sparkSession, "zips")
+    for half in (0, 1):
+        _put(spark, f"{path}/half{half}.zip", sinks.shape_zip(f"half{half}", *_boxes(country.where(F.col("id") % 2 == half))))
+    return _read_shapes(spark, path)
+
+
+@query("sc16_kept_lookup", "v_place", sql="SELECT name AS title, max(id) AS id FROM v_place GROUP BY 1")
+def kept_lookup(place):
+    """A lookup from titles to places, built once and then read from where it's kept."""
+    spark, path = place.sparkSession, scratch(place.sparkSession, "lookup")
+
+    def again():
+        raise AssertionError("the lookup was built twice")
+
+    files.cached(spark, path, lambda: place.groupBy(F.col("name").alias("title")).agg(F.max("id").alias("id")))
+    return files.cached(spark, path, again)
+
+
+@query("f27_means", "v_place", sql="""WITH m AS (SELECT country_code, avg(lon) AS x, avg(lat) AS y, median(population) AS middle FROM v_place GROUP BY 1)
+ SELECT id, round(sqrt(pow(lon - x, 2) + pow(lat - y, 2)), 6) AS distance, CAST(middle AS DOUBLE) AS middle FROM v_place JOIN m USING (country_code)""")
+def means(place):
+    """Each place's distance from the mean point of its country, and the country's median population."""
+    mean = place.groupBy("country_code").agg(F.avg("lon").alias("x"), F.avg("lat").alias("y"), F.median("population").cast("double").alias("middle"))
+    square = lambda a, b: F.pow(F.col(a) - F.col(b), F.lit(2.0))
+    return place.join(mean, "country_code").select("id", F.round(F.sqrt(square("lon", "x") + square("lat", "y")), 6).alias("distance"), "middle")
+
+
+@query("f28_dataset_name", "pages", sql="SELECT page_id, replace(replace(regexp_replace(url, '[./:-]', '_', 'g'), '___', '_'), '__', '_') AS name FROM pages")
+def dataset_name(pages):
+    return pages.select("page_id", T.dataset_name(F.col("url")).alias("name"))
