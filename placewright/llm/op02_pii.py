@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base entities (e-mail, IP, card, phone) are found by pattern and validated. They are the seeds, and with them keys: tokens of 32
-or more hexadecimal digits. Every seed, and every other token that could be an identifier, stands between words; each
+or more hexadecimal digits or of a service's known format. Every seed, and every other token that could be an identifier, stands between words; each
 neighbourhood is a lexical pattern: the two words before, one before and one after, or one before with a mark such as `=`.
 Patterns and instances form a graph, which is scored until nothing changes: a pattern's confidence is the score of its
-distinct instances over their number, of which what isn't known to be an identifier counts UNKNOWN; an instance's score is
-that of at least one of its confident patterns being right. Scores only rise, so this ends. Seeds and unknown tokens with
-enough score become spans of kind `id`.
+distinct identifiers (seeds, and instances with ENOUGH score) over the number of its instances, of which those that aren't known
+to be identifiers count UNKNOWN; an instance's score is that of at least one of its confident patterns being right, for those
+without a digit times the share of their patterns that are confident, as common words stand in many patterns. Scores only rise,
+so this ends. Seeds and other tokens with ENOUGH score become spans of kind `id`.
 
 Tokens that could be identifiers have three digits and SHORTEST characters, or stand after a mark or with an `@` before
 them and have four. Neighbouring words are whole, however long; they may lie in the matches beside.
@@ -33,14 +34,16 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:\G|(?<![0-9])(?<![0-9][\x20-]))[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": r"(?:(?<![^\x20\x09-\x0D=:])[^\x20\x09-\x0D=:0-9]*+[0-9]|(?<![^\x20\x09-\x0D])@|(?<=[=:#]\x20)[^\x20\x09-\x0D])[^\x20\x09-\x0D]*+",
+    "id": r"(?:(?<![^\x20\x09-\x0D=:])[^\x20\x09-\x0D=:0-9]*+[0-9]|(?<![^\x20\x09-\x0D])@|(?<=[=:]\x20)[^\x20\x09-\x0D])[^\x20\x09-\x0D]*+",
 }
-#: Keys, which are seeds too.
-KEY = r"^(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+$"
+#: Keys, which are seeds too: hexadecimal ones, and formats that services are known for.
+KEY = r"^(?:(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})$"
 #: Characters that an unknown token needs at least, away from marks and beside them.
 SHORTEST, SHORT = 6, 4
 #: A pattern is confident from SUPPORT known instances and a confidence of TRUST on; SMOOTH counts against it, and so does a part of each unknown instance. ENOUGH makes an identifier.
 UNKNOWN, SMOOTH, SUPPORT, TRUST, ENOUGH = 0.25, 1.0, 3.0, 0.6, 0.8
+#: Scores and confident patterns of a round up to so many rows are broadcast, about 200 bytes each; more are joined by shuffle.
+BROADCAST_SCORES = 50_000
 _WORD, _REST = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]"
 
 
@@ -73,7 +76,7 @@ def matches(docs: DataFrame, *keys: str) -> DataFrame:
     gap: code points between the last match and this one; two and one: the words before, mark: what stands between, next: the word after.
     """
     df = docs.select(*keys, F.coalesce("text", F.lit("")).alias("_t"))
-    some = {"email": F.contains("_t", F.lit("@")), "phone": F.contains("_t", F.lit("+")), "id": F.col("_t").rlike("[0-9@=:#]")}
+    some = {"email": F.contains("_t", F.lit("@")), "phone": F.contains("_t", F.lit("+")), "id": F.col("_t").rlike("[0-9@=:]")}
     digit = F.col("_t").rlike("[0-9]")
     df = df.withColumn("_digit", digit)
     none = F.array().cast("array<string>")
@@ -102,7 +105,7 @@ def matches(docs: DataFrame, *keys: str) -> DataFrame:
                 m.alias("match"),
                 F.lower(F.reverse(said(back, f"^{_REST}*+{_WORD}{_REST}++({_WORD})"))).alias("two"),
                 F.lower(F.reverse(said(back, f"^{_REST}*+({_WORD})"))).alias("one"),
-                said(back, r"^[^\p{L}\p{N}=:#]*+([=:#])").alias("mark"),
+                said(back, r"^[^\p{L}\p{N}=:]*+([=:])").alias("mark"),
                 F.lower(said(ahead, f"^{_REST}*+({_WORD})")).alias("next"),
             )
 
@@ -154,34 +157,40 @@ def _patterns() -> Column:
     return F.array_compact(F.array(*said))
 
 
-def graph(rows: DataFrame) -> DataFrame:
-    """(pattern, instance, seed, n): the edges of patterns with SUPPORT distinct instances, n of them. rows: placed()."""
-    instance = F.lower(F.col("match"))
+def graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The seeds (instance), and the edges (pattern, instance, seed, n, patterns) of patterns with SUPPORT distinct instances, n of them. patterns: those of an instance without a digit, else null. rows: placed()."""
+    instance = F.lower(F.col("match")).alias("instance")
     seed = (F.col("kind") != KINDS.index("id")) | F.col("match").rlike(KEY)
-    edges = rows.select(F.explode(_patterns()).alias("pattern"), instance.alias("instance"), seed.alias("seed"))
-    edges = settled(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pairs")
-    lively = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
-    return settled(edges.join(lively.select(F.col("pattern").alias("_p"), "n"), F.col("pattern") == F.col("_p")).drop("_p"), "edges")
+    seeds = settled(rows.where(seed).select(instance).distinct(), "seeds")
+    pairs = settled(rows.select(F.explode(_patterns()).alias("pattern"), instance).distinct(), "pairs")
+    lively = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    edges = pairs.join(lively.select(F.col("pattern").alias("_p"), "n"), F.col("pattern") == F.col("_p")).drop("_p")
+    flags = seeds.select(F.col("instance").alias("_i"))
+    edges = edges.join(flags, F.col("instance") == F.col("_i"), "left").withColumn("seed", F.col("_i").isNotNull()).drop("_i")
+    edges = settled(edges, "edges")
+    plain = edges.where(~F.col("instance").rlike("[0-9]")).groupBy("instance").agg(F.count(F.lit(1)).alias("patterns"))
+    return seeds, settled(edges.join(plain, "instance", "left"), "weighed")
 
 
 def discovered(rows: DataFrame) -> DataFrame:
     """(instance, score) of the identifiers that confident patterns name, and of the seeds. rows: placed()."""
-    edges = graph(rows)
-    seed = (F.col("kind") != KINDS.index("id")) | F.col("match").rlike(KEY)
-    seeds = settled(rows.where(seed).select(F.lower("match").alias("instance")).distinct().withColumn("score", F.lit(1.0)), "seeds")
-    scores, state = seeds, None
+    seeds, edges = graph(rows)
+    #: What seeds give a pattern stays; in a round only edges of unknown instances with a score, and of confident patterns, are summed up.
+    given = settled(edges.where("seed").groupBy("pattern", "n").agg(F.count(F.lit(1)).cast("double").alias("sum")), "given")
+    unknown = edges.where(~F.col("seed")).select("pattern", "n", "instance", "patterns")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_SCORES else df
+    found, state = seeds.limit(0).withColumn("score", F.lit(0.0)), None
     while True:
-        known = edges.join(scores.select(F.col("instance").alias("_i"), "score"), F.col("instance") == F.col("_i"), "left")
-        right = F.round(F.sum(F.coalesce("score", F.lit(0.0))), 4)
-        confident = known.groupBy("pattern", "n").agg(right.alias("sum")).where(F.col("sum") >= SUPPORT)
+        scored = unknown.join(few(found.where(F.col("score") >= ENOUGH).select(F.col("instance").alias("_i"), F.col("score").alias("sum"))), F.col("instance") == F.col("_i"))
+        sums = given.unionByName(scored.groupBy("pattern", "n").agg(F.sum("sum").alias("sum"))).groupBy("pattern", "n").agg(F.round(F.sum("sum"), 4).alias("sum"))
         confidence = F.col("sum") / (F.col("sum") + UNKNOWN * (F.col("n") - F.col("sum")) + SMOOTH)
-        confident = confident.select(F.col("pattern").alias("_p"), confidence.alias("conf")).where(F.col("conf") >= TRUST)
-        named = edges.join(confident, F.col("pattern") == F.col("_p")).groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.ln(1 - F.col("conf"))).alias("miss"))
-        found = named.where(~F.col("seed")).select("instance", F.round(1 - F.exp("miss"), 4).alias("score"))
-        scores = settled(seeds.unionByName(found.join(seeds.select("instance"), "instance", "left_anti")), "scores")
-        before, state = state, tuple(scores.agg(F.count(F.lit(1)), F.sum(F.round(F.col("score") * 10_000).cast("long"))).first())
+        confident = sums.where(F.col("sum") >= SUPPORT).select(F.col("pattern").alias("_p"), confidence.alias("conf")).where(F.col("conf") >= TRUST)
+        named = unknown.join(few(settled(confident, "confident")), F.col("pattern") == F.col("_p")).groupBy("instance", "patterns").agg(F.sum(F.ln(1 - F.col("conf"))).alias("miss"), F.count(F.lit(1)).alias("hits"))
+        share = F.coalesce(F.col("hits") / F.col("patterns"), F.lit(1.0))
+        found = settled(named.select("instance", F.round((1 - F.exp("miss")) * share, 4).alias("score")), "scores")
+        before, state = state, tuple(found.agg(F.count(F.lit(1)), F.sum(F.round(F.col("score") * 10_000).cast("long"))).first())
         if state == before:
-            return scores.where(F.col("score") >= ENOUGH)
+            return seeds.withColumn("score", F.lit(1.0)).unionByName(found.where(F.col("score") >= ENOUGH))
 
 
 def report(docs: DataFrame, *keys: str) -> DataFrame:

@@ -83,20 +83,20 @@ def brute_graph(texts, base):
     rows = []
     for i, text in texts.items():
         spans = [(s, e, k) for s, k, e in base(text)]
-        tokens = [(m.start(), m.end()) for m in re.finditer(rf"(?:(?<![^{space}=:])[^{space}=:0-9]*[0-9]|(?<![^{space}])@|(?<=[=:#] )[^{space}])[^{space}]*", text)]
+        tokens = [(m.start(), m.end()) for m in re.finditer(rf"(?:(?<![^{space}=:])[^{space}=:0-9]*[0-9]|(?<![^{space}])@|(?<=[=:] )[^{space}])[^{space}]*", text)]
         for s, e in tokens:
             raw = text[s:e]
             left, right = len(raw) - len(raw.lstrip(marks)), len(raw.rstrip(marks))
             bare = raw[left:right] if right > left else ""
             between = re.search(r"[\W_]*$", text[:s])[0]
-            marked = any(c in between for c in "=:#") or raw[0] == "@"
+            marked = any(c in between for c in "=:") or raw[0] == "@"
             if (len(bare) >= 6 and sum(c.isdigit() for c in bare) >= 3 or marked and len(bare) >= 4) and not any(s + left < b and a < s + right for a, b, _ in spans):
-                rows.append((i, s, e, s + left, s + right, bare.lower(), bool(re.fullmatch("(?=.*[a-f])(?=.*[0-9])[0-9a-f]{32,}", bare.lower()))))
+                rows.append((i, s, e, s + left, s + right, bare.lower(), bool(re.fullmatch("(?=.*[a-f])(?=.*[0-9])[0-9a-f]{32,}", bare.lower()) or re.fullmatch("AKIA[0-9A-Z]{16}", bare))))
         rows += [(i, s, e, None, None, text[s:e].lower(), True) for s, e, _ in spans]
     edges, seeds = {}, set()
     for i, s, e, _, _, name, seed in rows:
         before, after = words(texts[i][:s]), words(texts[i][e:])
-        mark = re.search(r"([=:#])[^=:#\w]*$", texts[i][:s])
+        mark = re.search(r"([=:])[^=:\w]*$", texts[i][:s])
         said = [f"L {before[-2]} {before[-1]}".lower()] if len(before) > 1 else []
         said += [f"M {before[-1]} {after[0]}".lower()] if before and after else []
         said += [f"K {before[-1]} {mark[1]}".lower()] if before and mark and not re.search(r"[^\W_]", texts[i][mark.start() : s]) else []
@@ -108,24 +108,25 @@ def brute_graph(texts, base):
     while True:
         conf = {}
         for p, names in edges.items():
-            total = sum(scores.get(n, 0) for n in names)
+            total = sum(scores[n] for n in names if scores.get(n, 0) >= 0.8)
             c = total / (total + 0.25 * (len(names) - total) + 1)
             if total >= 3 and c >= 0.6:
                 conf[p] = c
         new = dict.fromkeys(seeds, 1.0)
         for n in set().union(*edges.values()) - seeds:
+            mine = [p for p in edges if n in edges[p] and len(edges[p]) >= 3]
             miss = 1.0
-            for p, c in conf.items():
-                miss *= 1 - c if n in edges[p] else 1
+            for p in mine:
+                miss *= 1 - conf.get(p, 0)
             if miss < 1:
-                new[n] = round(1 - miss, 4)
+                new[n] = round((1 - miss) * (1 if re.search("[0-9]", n) else sum(p in conf for p in mine) / len(mine)), 4)
         if new == scores:
             break
         scores = new
     return {(i, a, b) for i, _, _, a, b, name, _ in rows if a is not None and scores.get(name, 0) >= 0.8}
 
 
-def test_bootstrapping_against_brute_force(spark):
+def test_bootstrapping_against_brute_force(spark, monkeypatch):
     """Planted identifiers of several shapes beside seeds, found over chains of patterns; the recall is that of the method, and spans are those of the brute force."""
     rng = random.Random(21)
     word = lambda: "".join(rng.choices("bcdfghjklm", k=5))
@@ -133,27 +134,32 @@ def test_bootstrapping_against_brute_force(spark):
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
     texts, planted, clean = {}, [], set()
     for i in range(400):
-        kind = i % 8
+        kind = 3 if i % 16 in (12, 13) else i % 8
         value, frame = {
             0: (f"user{i}@mail.example.com", "contact me at {} or write"),
             1: (f"QX{rng.randint(10**6, 10**7)}", "contact me at {} or write"),
             2: (f"QX{rng.randint(10**6, 10**7)}", "member number {} is ours"),
             3: (hexes(40), 'token = "{}"'),
             4: (f"s3cr{rng.randint(100, 999)}-{word()}", 'token = "{}"'),
-            5: (f"@{word()}{word()}", "token = {} again"),
+            5: (f"@{word()}{word()}", "token = {}"),
             6: (f"lot{rng.randint(1000, 9999)}", "the crate {} arrived"),
             7: (str(rng.randint(1000, 9999)), "in the year {}"),
-        }[kind]
+            8: ("AKIA" + "".join(rng.choices("ABCDEF0123456789", k=16)), "{} it is"),
+        }[8 if i % 40 == 14 else kind]
         texts[i] = f"{fill(rng.randint(2, 30))} {frame.format(value)}\n{fill(rng.randint(0, 9))}"
         if kind in (1, 3, 4, 5):
             planted.append((i, texts[i].index(value), len(value)))
-        if kind in (6, 7):
+        if kind in (6, 7) and i % 40 != 14:
             clean.add(i)
     # Numbers of members stand in two contexts: the one with mail addresses names them, and they name the other one.
     for i in range(60):
+        # "chat" is a word like others: it stands after a mark once in a while, and in many places.
+        texts[2000 + i] = f"{fill(3)} {rng.choice(['token = chat', 'note: chat', 'as: chat', 'we: chat', 'say: chat'])} {fill(2)} plan: word {fill(2)}"
         texts[1000 + i] = f"{fill(4)} member number QX{7_000_000 + i} is ours {fill(3)} contact me at QX{7_000_000 + i} or write {fill(2)}"
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     rows = op2.report(df, "doc_id").collect()
+    monkeypatch.setattr(op2, "BROADCAST_SCORES", 0)
+    assert sorted(map(repr, op2.report(df, "doc_id").collect())) == sorted(map(repr, rows))
     check(rows, texts)
     got = {(r.doc_id, s.start, s.end) for r in rows for s in r.spans if op2.KINDS[s.kind] == "id"}
     assert got == brute_graph(texts, brute)
