@@ -96,3 +96,11 @@ def test_warc_empty(spark):
 
     folder = f"{shared_folder(spark)}/placewright/empty"
     assert op9.read(op9.write(op9.dealt(df), folder), folder).count() == 0
+
+
+def test_warc_ways(spark, monkeypatch):
+    """Repeated payloads are broadcast or joined with the same result."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = sorted(map(tuple, op9.dealt(pages).collect()))
+    monkeypatch.setattr(op9, "BROADCAST_GROUPS", 0)
+    assert sorted(map(tuple, op9.dealt(pages).collect())) == want

@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -53,6 +54,34 @@ def test_stages(spark):
     assert Counter((r.doc_id, r.shard) for r in whole.collect()) == Counter((r.doc_id, r.shard) for r in out)
 
 
+def test_odd_rows(spark):
+    """Nulls in any column, long texts, repeated rows and clashing names go through all stages with the results that the docstring names."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n))
+    long, plain = prose(30_000), [prose(200) for _ in range(30)]
+    rows = [(i, t, "en", f"s{i % 3}", i) for i, t in enumerate(plain)] + [(0, plain[0], "en", "s0", 0)] * 4
+    rows += [(100, None, "en", "s1", 1), (101, "", None, None, None), (None, plain[1], None, None, None), (102, long, None, None, 7), (103, plain[2], "en", "s1", None), (None, prose(90), "de", "s2", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for i, name in enumerate(["shard", "_doc", "kept", "size", "copies", "spans", "fp", "class", "n_words", "_id", "a`b"]):
+        docs = docs.withColumn(name, F.lit(f"keep{i}"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name != "sharding":
+            assert docs.columns == columns
+        if name == "simhash near-dedup":
+            texts = [r.text for r in docs.collect()]
+            assert len(texts) == len(set(texts))
+    out = docs.collect()
+    assert docs.columns == ["_shard" if c == "shard" else c for c in columns] + ["shard"]
+    assert all(r["_shard"] == "keep0" and r["a`b"] == "keep10" and 0 <= r["shard"] < 16 for r in out)
+    ids = Counter(r.doc_id for r in out)
+    assert not {100, 101, 103} & set(ids) and max(ids.values()) <= 3
+    assert {r.text for r in out} <= {*plain, long, rows[-1][1]}
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
