@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns documents again; its result
 is written to the shared folder and read again as the next one's docs. The last stage adds the shard.
+
+Defined results: a null or empty text has no words and goes in the first stage; texts of any length are judged whole; of rows
+equal in id and text one stays after near-dedup, and ties among near copies go to the smallest id, null last; a null lang is a
+stratum and a null source a source of its own; the mix may take a row up to three times, and its copies share a shard; columns
+besides those of documents come along, whatever their names (one called `shard` is kept as `_shard`); no rows give no rows.
 """
 
 from __future__ import annotations
