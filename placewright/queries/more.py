@@ -134,6 +134,7 @@ def verified_places(place, featureplace, feature):
 
 @query("j12_same_name", "v_place", sql="SELECT a.id, b.id AS other, a.id = b.id AS correct FROM (SELECT name_normalized, min(id) AS id FROM v_place GROUP BY 1) a JOIN v_place b ON a.name_normalized = b.name_normalized")
 def same_name(place):
+    """The first place of each name with all that share the name; x18_training does it for every mention."""
     other = place.select(F.col("id").alias("other"), "name_normalized")
     return place.groupBy("name_normalized").agg(F.min("id").alias("id")).join(other, "name_normalized").select("id", "other", (F.col("id") == F.col("other")).alias("correct"))
 

@@ -17,7 +17,7 @@ SCORE = "CAST({m} <= 1 AS INT) * 10000 + CAST({m} <= 10 AS INT) * 1000 + CAST({m
 
 @query("g02_distance", "v_place", sql=f"SELECT a.id AS a, b.id AS b, CAST(round({METRES.format(a='a', b='b')}) AS BIGINT) AS metres FROM (SELECT name, min(id) AS id, min_by(lat, id) AS lat, min_by(lon, id) AS lon FROM v_place GROUP BY name) a JOIN v_place b ON a.name = b.name AND a.id < b.id WHERE {METRES.format(a='a', b='b')} <= 1000000")
 def near(place):
-    """Same-name places within a distance."""
+    """Places within a distance of the first of their name; j11_within has all pairs."""
     first = place.groupBy("name").agg(F.min_by(F.struct("id", "lat", "lon"), "id").alias("f")).select("name", "f.id", "f.lat", "f.lon")
     a, b = first.alias("a"), place.alias("b")
     pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") < F.col("b.id")))
