@@ -149,3 +149,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settled(figures(docs, F.col("doc_id"), F.col("lang")), "figures")
     out = judged(rows, table(spark, sf_dir, "labels"), "lang", "doc_id")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_RUNGS = ", ".join(f"('{rule}', {i}, {cut!r}::DOUBLE)" for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder))
+_SHARE = f"{RISK / len(LADDERS)!r}::DOUBLE"
+#: Repeated words by unnested windows, and the tail from binomial coefficients by lgamma, other ways than above.
+ORACLE = f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+windows AS (SELECT row, unnest(range(1, len(w) - 1)) AS i, w FROM split WHERE len(w) >= 3),
+marked AS (SELECT row, i, count(*) OVER (PARTITION BY row, w[i], w[i + 1], w[i + 2]) AS times FROM windows),
+repeated AS (SELECT row, CAST(count(DISTINCT place) AS BIGINT) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS place FROM marked WHERE times > 1) GROUP BY row),
+counted AS (SELECT s.row, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals, len(string_split(t, chr(10))) AS n_lines
+  FROM split s LEFT JOIN repeated r ON s.row = r.row),
+figures AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols_a_word, n_dup_lines / n_lines AS dup_lines,
+    n_repeat_words / greatest(n_words, 1) AS repeats, n_capitals / greatest(word_chars, 1) AS capitals, word_chars / greatest(n_words, 1) AS word_length FROM counted),
+long AS (SELECT row, lang, doc_id, base_failed, unnest([{", ".join(f"'{rule}'" for rule in LADDERS)}]) AS rule, unnest([{", ".join(LADDERS)}]) AS v FROM figures),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+ladder(rule, i, cut) AS (VALUES {_RUNGS}),
+tallied AS (SELECT lang, l.rule, i, cut, count(*) AS n, CAST(count(*) FILTER (WHERE v > cut) AS BIGINT) AS k
+  FROM long l JOIN ladder d ON l.rule = d.rule WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good WHERE doc_id IS NOT NULL) GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k >= n * {_SHARE} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_SHARE}) + (n - j) * ln(1 - {_SHARE})))) END AS tail,
+    (SELECT count(*) FROM (SELECT DISTINCT lang FROM tallied)) AS strata FROM tallied),
+opened AS (SELECT *, bool_and(tail <= {LEVEL!r}::DOUBLE / (strata * {len(LADDERS)})) OVER (PARTITION BY lang, rule ORDER BY i) AS open FROM tails),
+limits AS (SELECT lang, rule, min(cut) AS cut FROM opened WHERE open GROUP BY lang, rule),
+beyond AS (SELECT DISTINCT row FROM long l JOIN limits m ON l.lang IS NOT DISTINCT FROM m.lang AND l.rule = m.rule AND l.v > m.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row NOT IN (SELECT row FROM beyond) AS kept FROM figures
+"""

@@ -22,4 +22,5 @@ ORACLES = {
     "op7_chat": op07_chat.ORACLE,
     "op8_mixing": op08_mixing.ORACLE,
     "op9_warc": op09_warc.ORACLE,
+    "op10_quality_rules": op10_quality_rules.ORACLE,
 }
