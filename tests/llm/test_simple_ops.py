@@ -71,6 +71,33 @@ def test_shard_slices_and_weights(spark, monkeypatch):
         assert [u("slot", r.doc_id) for r in mine] == sorted(u("slot", r.doc_id) for r in mine)
 
 
+def test_sharding_sql(spark):
+    same(op6.op6_sharding(spark, "/root/testdata/sf0.01"), oracle(op6.ORACLE, "/root/testdata/sf0.01"))
+
+
+def test_quality_sql(spark):
+    same(op10.op10_quality_rules(spark, "/root/testdata/sf0.01"), oracle(op10.ORACLE, "/root/testdata/sf0.01"))
+
+
+def test_slots_of_any_layout(spark, tmp_path):
+    """Rows keep their slots when the table is written in another order and in other files; repeated rows have slots of their own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(3, "text").sortWithinPartitions(F.desc("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
+    slots = lambda sf: sorted((r.doc_id, r.shard, r.slot) for r in op6.op6_sharding(spark, sf).collect())
+    assert slots(str(tmp_path)) == slots(SF)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_slots_of_repeated_rows(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(op6, "BROADCAST_KEYS", few)
+    rows = [(1, "same")] * 40 + [(None, None)] * 30 + [(None, "")] * 5 + [(i, "x") for i in range(2, 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    out = op6.op6_sharding(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(d for d, _ in rows)
+    for shard in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+
+
 def test_slots_of_one_id(spark, tmp_path):
     """Rows without an id have slots of their own."""
     spark.createDataFrame([(None, f"text {i % 40}", "en", "s", 1) for i in range(100)], TYPES).write.parquet(str(tmp_path / "documents.parquet"))
