@@ -187,3 +187,41 @@ def report(docs: DataFrame, *keys: str, templates: DataFrame | None = None) -> D
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("_text_key"), "text")
     return report(docs, "doc_id", "_text_key").drop("_text_key")
+
+
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Every word is joined with the postings and every phrase is looked up by its first word; nothing is looked up ahead.
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS.format("text")} AS w FROM documents),
+words AS (SELECT row, unnest(w) AS word, CAST(generate_subscripts(w, 1) AS BIGINT) - 1 AS pos FROM docs),
+given(label, text, said) AS (VALUES {", ".join(f"('{name}', '{text}', {_LIST(keys)})" for name, text, keys in TEMPLATES)}),
+templates AS (SELECT row_number() OVER () AS template, label, {_WORDS.format("text")} AS tw, list_distinct(said) AS said FROM given),
+sizes AS (SELECT *, CAST(ceil(len(tw) / 3) AS BIGINT) AS slack FROM templates),
+mandatory AS (SELECT template, slack, unnest(said) AS phrase, tw FROM sizes),
+offsets AS (SELECT template, slack, phrase, len(string_split(string_split(' ' || array_to_string(tw, ' ') || ' ', ' ' || phrase || ' ')[1], ' ')) - 1 AS off FROM mandatory),
+sought AS (SELECT DISTINCT phrase, string_split(phrase, ' ') AS parts FROM (SELECT phrase FROM offsets UNION ALL SELECT unnest({_LIST(BASE)}))),
+places AS (SELECT d.row, phrase, pos FROM words d JOIN sought s ON d.word = s.parts[1] JOIN docs ON docs.row = d.row WHERE docs.w[pos + 1 : pos + len(parts)] = parts),
+files AS (SELECT word, count(DISTINCT row) AS df FROM words GROUP BY word),
+listed AS (SELECT template, label, slack, len(said) AS n_keys, unnest(tw) AS word, CAST(generate_subscripts(tw, 1) AS BIGINT) - 1 AS place FROM sizes),
+rated AS (SELECT l.*, coalesce(df, 0) AS df, greatest(0::DOUBLE, round(ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (coalesce(df, 0) + 0.5::DOUBLE)), 6)) AS idf
+  FROM listed l LEFT JOIN files f ON l.word = f.word WHERE l.word NOT IN ({", ".join(f"'{w}'" for w in sorted(COMMON))})),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY template ORDER BY idf DESC, word) AS nth FROM rated),
+postings AS (SELECT *, round(sum(idf) OVER (PARTITION BY template), 6) AS weight FROM ranked WHERE df <= {RARE!r}::DOUBLE * (SELECT count(*) FROM docs) OR nth <= {LEAST}),
+votes AS (SELECT row, template, slack, pos - place AS start, place, NULL AS phrase FROM words w JOIN postings p ON w.word = p.word
+  UNION ALL SELECT row, template, slack, pos - off, NULL, h.phrase FROM places h JOIN offsets o ON h.phrase = o.phrase),
+spread AS (SELECT row, template, place, phrase, unnest([CAST(floor(start / slack) AS BIGINT), CAST(floor(start / slack) AS BIGINT) - 1]) AS win FROM votes),
+met AS (SELECT row, template, win, sum(idf) AS got FROM (SELECT DISTINCT row, s.template, win, s.place, idf FROM spread s JOIN postings p ON s.template = p.template AND s.place = p.place) GROUP BY row, template, win),
+spoken AS (SELECT row, template, win, count(DISTINCT phrase) AS said FROM spread WHERE phrase IS NOT NULL GROUP BY row, template, win),
+whole AS (SELECT DISTINCT template, label, n_keys, weight FROM postings WHERE weight > 0),
+shares AS (SELECT m.row, label, round(least(1::DOUBLE, round(got, 6) / weight), 6) AS share
+  FROM met m JOIN whole h ON m.template = h.template LEFT JOIN spoken s ON m.row = s.row AND m.template = s.template AND m.win = s.win WHERE coalesce(said, 0) = n_keys),
+named AS (SELECT row, label, max(share) AS share FROM shares WHERE share >= {ENOUGH!r}::DOUBLE GROUP BY row, label),
+based AS (SELECT row, pos, CASE phrase {" ".join(f"WHEN '{p}' THEN '{name}'" for p, name in BASE.items())} END AS label FROM places WHERE phrase IN ({", ".join(f"'{p}'" for p in BASE)})),
+bases AS (SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM based GROUP BY row),
+every AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM based UNION ALL SELECT row, label FROM named) GROUP BY row),
+best AS (SELECT row, max(share) AS share FROM named GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1::DOUBLE ELSE coalesce(share, 0::DOUBLE) END AS score
+FROM docs LEFT JOIN bases USING (row) LEFT JOIN every USING (row) LEFT JOIN best USING (row)
+"""

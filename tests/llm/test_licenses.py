@@ -5,13 +5,14 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from placewright.llm import op03_licenses as op3
 
 from .test_decontamination import words
-from .test_simple_ops import ODD, odd
+from .test_simple_ops import ODD, odd, oracle, same
 
 
 def brute_base(text):
@@ -147,6 +148,26 @@ def test_templates_of_the_caller(spark):
         op3.index(spark.createDataFrame([("x", "one two", ["two one"])], templates.schema))
 
 
+def test_sql(spark, tmp_path):
+    """The tables' files, and files of several templates with words put in, left out and said twice."""
+    same(op3.op3_licenses(spark, "/root/testdata/sf0.01"), oracle(op3.ORACLE, "/root/testdata/sf0.01"))
+    rng, texts = random.Random(11), [None, "", "LICENSE", "under the MIT license under the mit-license"]
+    for i in range(120):
+        said = []
+        for _, text, _ in rng.sample(op3.TEMPLATES, rng.randint(0, 4)):
+            for w in text.split():
+                said += [w] * rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 0, 2]) + [f"über{i}"] * (rng.random() < 0.1)
+            said += [rng.choice(["Filler", "code", "the", "license"]) for _ in range(rng.randint(0, 6))]
+        texts.append(" ".join(said))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, *texts[50:60]])]
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
+    for name in ("documents", "benchmark", "labels", "conversations", "pages"):
+        frame.to_parquet(tmp_path / f"{name}.parquet")
+    got = op3.op3_licenses(spark, str(tmp_path))
+    same(got, oracle(op3.ORACLE, str(tmp_path)))
+    assert got.where("labels != base_labels").count() > 20
+
+
 def test_odd(spark):
     df = odd(spark).withColumn("hits", F.lit(1)).withColumn("word", F.lit("x"))
     assert op3.report(df.select("doc_id", F.xxhash64("text").alias("k"), "text"), "doc_id", "k").count() == len(ODD)
