@@ -217,3 +217,75 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", least=F.col("doc_id"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class").alias("component_id"))
+
+
+#: XXH64's five primes, fixed by its definition.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_MASK = f"{(1 << 64) - 1}::UHUGEINT"
+
+
+def _mod(x: str) -> str:
+    return f"(({x}) & {_MASK})"
+
+
+def _rotated(x: str, n: int) -> str:
+    """x must be a name: it is used twice."""
+    return f"((({x} << {n}) & {_MASK}) | ({x} >> {64 - n}))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _round(acc: str, lane: str) -> str:
+    return _let("r", _mod(f"{acc} + {_mod(f'{lane} * {_P2}::UHUGEINT')}"), _mod(f"{_rotated('r', 31)} * {_P1}::UHUGEINT"))
+
+
+def _lanes(first: str, last: str, step: int, width: int) -> str:
+    """Little-endian numbers of width bytes from the offsets first, first + step and so on below last."""
+    value = " + ".join(f"(b[o + {i + 1}]::UHUGEINT << {8 * i})" for i in range(width))
+    return f"list_transform(range({first}, {last}, {step}), lambda o: {value})"
+
+
+def _folded(start: str, lanes: str, step: str) -> str:
+    """step, of h and x, over the lanes, from start."""
+    return f"list_reduce(list_concat([{start}], {lanes}), lambda h, x: {step})"
+
+
+def _merged(h: str, v: str) -> str:
+    return _mod(f"{_mod(f'xor({h}, {_round('0::UHUGEINT', v)}) * {_P1}::UHUGEINT')} + {_P4}::UHUGEINT")
+
+
+_STARTS = [(SEED + _P1 + _P2) % (1 << 64), (SEED + _P2) % (1 << 64), SEED, (SEED - _P1) % (1 << 64)]
+_STRIPES = ", ".join(f"{_folded(f'{v}::UHUGEINT', _lanes(str(8 * i), '32 * (n // 32)', 32, 8), _round('h', 'x'))} AS v{i}" for i, v in enumerate(_STARTS))
+_CONVERGED = _mod(" + ".join(_rotated(f"v{i}", r) for i, r in enumerate((1, 7, 12, 18))))
+_EIGHT = _let("g", f"xor(h, {_round('0::UHUGEINT', 'x')})", _mod(f"{_mod(f'{_rotated("g", 27)} * {_P1}::UHUGEINT')} + {_P4}::UHUGEINT"))
+_FOUR = _let("g", f"xor(h, {_mod(f'x * {_P1}::UHUGEINT')})", _mod(f"{_mod(f'{_rotated("g", 23)} * {_P2}::UHUGEINT')} + {_P3}::UHUGEINT"))
+_BYTE = _let("g", f"xor(h, {_mod(f'x * {_P5}::UHUGEINT')})", _mod(f"{_rotated('g', 11)} * {_P1}::UHUGEINT"))
+#: XXH64 from its definition, bits counted one by one, and all pairs of fingerprints compared.
+ORACLE = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (SELECT row, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' ')) END) AS s FROM docs),
+counted AS (SELECT row, s, count(*) AS times FROM shingled GROUP BY row, s),
+texts AS MATERIALIZED (SELECT s, flatten(list_transform(list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT), lambda c: CASE WHEN c < 128 THEN [c] WHEN c < 2048 THEN [192 + (c >> 6), 128 + (c & 63)]
+    WHEN c < 65536 THEN [224 + (c >> 12), 128 + ((c >> 6) & 63), 128 + (c & 63)] ELSE [240 + (c >> 18), 128 + ((c >> 12) & 63), 128 + ((c >> 6) & 63), 128 + (c & 63)] END)) AS b
+  FROM (SELECT DISTINCT s FROM counted)),
+sized AS (SELECT *, len(b) AS n FROM texts),
+striped AS MATERIALIZED (SELECT *, {_STRIPES} FROM sized),
+begun AS MATERIALIZED (SELECT s, b, n, CASE WHEN n < 32 THEN {(SEED + _P5) % (1 << 64)}::UHUGEINT ELSE {_merged(_merged(_merged(_merged("c", "v0"), "v1"), "v2"), "v3")} END AS h0
+  FROM (SELECT *, {_CONVERGED} AS c FROM striped)),
+eights AS MATERIALIZED (SELECT s, b, n, {_folded(_mod("h0 + n::UHUGEINT"), _lanes("32 * (n // 32)", "n - 7", 8, 8), _EIGHT)} AS h1 FROM begun),
+fours AS MATERIALIZED (SELECT s, b, n, {_folded("h1", _lanes("8 * (n // 8)", "n - 3", 4, 4), _FOUR)} AS h2 FROM eights),
+ones AS MATERIALIZED (SELECT s, {_folded("h2", _lanes("4 * (n // 4)", "n", 1, 1), _BYTE)} AS h3 FROM fours),
+mixed AS (SELECT s, {_mod(f"xor(h3, h3 >> 33) * {_P2}::UHUGEINT")} AS h4 FROM ones),
+mixed_again AS (SELECT s, {_mod(f"xor(h4, h4 >> 29) * {_P3}::UHUGEINT")} AS h5 FROM mixed),
+hashes AS MATERIALIZED (SELECT s, xor(h5, h5 >> 32)::UBIGINT AS h FROM mixed_again),
+sums AS (SELECT row, sum(times) AS n, {", ".join(f"sum(times) FILTER (WHERE (h >> {i}) & 1 = 1) AS n{i}" for i in range(64))} FROM counted JOIN hashes USING (s) GROUP BY row),
+prints AS MATERIALIZED (SELECT doc_id, CAST(coalesce({" + ".join(f"CASE WHEN 2 * n{i} > n THEN {1 << i}::UHUGEINT ELSE 0 END" for i in range(64))}, 0) AS UBIGINT) AS fp FROM docs LEFT JOIN sums USING (row)),
+nodes AS MATERIALIZED (SELECT fp, min(doc_id) AS low FROM prints GROUP BY fp),
+linked AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON bit_count(xor(a.fp, b.fp)::BIT) <= {RADIUS}),
+reached(a, b) AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a),
+lows AS (SELECT a AS fp, min(low) AS component_id FROM reached JOIN nodes ON b = fp GROUP BY a)
+SELECT doc_id, printf('%016x', fp) AS fingerprint, component_id FROM prints JOIN lows USING (fp)
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": op01_decontamination.ORACLE,
     "op3_licenses": op03_licenses.ORACLE,
+    "op4_simhash": op04_simhash.ORACLE,
     "op6_sharding": op06_sharding.ORACLE,
     "op7_chat": op07_chat.ORACLE,
     "op8_mixing": op08_mixing.ORACLE,

@@ -10,11 +10,15 @@ from placewright.llm import op10_quality_rules as op10
 
 from .test_decontamination import brute as brute_hits
 from .test_simhash import brute_components, brute_fingerprint
-from .test_simple_ops import brute_quality, brute_shard
+from .test_simple_ops import brute_quality, brute_shard, oracle, same
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_sql(spark):
+    same(corpus_pipeline.run(spark, SF), oracle(corpus_pipeline.ORACLE_SQL, SF))
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -3,12 +3,13 @@
 import random
 from collections import Counter
 
+import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
 from placewright.llm import op04_simhash as op4
 
-from .test_simple_ops import odd
+from .test_simple_ops import odd, oracle, same
 
 
 def brute_fingerprint(text):
@@ -50,6 +51,22 @@ def test_query(spark):
         assert r.fingerprint == format(want[r.doc_id], "016x") and r.component_id == comp[r.doc_id]
 
 
+def test_sql(spark, tmp_path):
+    """The tables' texts, and ones of all lengths of shingle, of other scripts, without words and nearly equal."""
+    same(op4.op4_simhash(spark, "/root/testdata/sf0.01"), oracle(op4.ORACLE, "/root/testdata/sf0.01"))
+    rng, texts = random.Random(3), [None, "", " \n", "one", "Two words", "ÄÖ ü 漢字 😀 \u00a0 x"]
+    for n in range(1, 90):
+        texts.append(" ".join("".join(rng.choice("aBé漢😀1") for _ in range(rng.randint(1, n))) for _ in range(rng.randint(1, 12))))
+    base = [f"w{i}" for i in range(400)]
+    texts += [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 400, 20)]
+    frame = pd.DataFrame([(i, t) for i, t in enumerate([*texts, *texts[:30]])], columns=["doc_id", "text"])
+    for name in ("documents", "benchmark", "labels", "conversations", "pages"):
+        frame.to_parquet(tmp_path / f"{name}.parquet")
+    got = op4.op4_simhash(spark, str(tmp_path))
+    same(got, oracle(op4.ORACLE, str(tmp_path)))
+    assert got.groupBy("component_id").agg(F.countDistinct("fingerprint").alias("n")).where("n > 1").count() > 0
+
+
 def test_links_of_planted_fingerprints(spark):
     rng = random.Random(7)
     fps = {}
