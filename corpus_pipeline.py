@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placewright.llm import op01_decontamination, op04_simhash, op06_sharding, op08_mixing, op10_quality_rules
 from placewright.llm.common import settled, table
 from placewright.llm.op01_decontamination import clean
 from placewright.llm.op04_simhash import keep_one
@@ -48,8 +49,20 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mixing), ("sharding", sharding)]
 
-#: SQL has no XXH64, so near-dedup can't be said in it.
-ORACLE_SQL = None
+
+def _over(sql: str, rows: str) -> str:
+    """The SQL of an operator over other rows than documents."""
+    return f"({sql.replace('FROM documents', f'FROM {rows}')})"
+
+
+#: The SQL of each stage's operator over what the stage before kept; ids are unique in documents.
+ORACLE_SQL = f"""
+WITH passing AS MATERIALIZED (SELECT d.* FROM documents d JOIN {_over(op10_quality_rules.ORACLE, "documents")} v ON d.doc_id = v.doc_id WHERE v.kept),
+singled AS MATERIALIZED (SELECT d.* FROM passing d JOIN {_over(op04_simhash.ORACLE, "passing")} v ON d.doc_id = v.doc_id WHERE v.component_id = v.doc_id),
+cleaned AS MATERIALIZED (SELECT d.* FROM singled d JOIN {_over(op01_decontamination.ORACLE, "singled")} v ON d.doc_id = v.doc_id WHERE NOT v.contaminated),
+taken AS MATERIALIZED (SELECT d.*, unnest(range(v.taken // v.size)) AS copy FROM cleaned d JOIN {_over(op08_mixing.ORACLE, "cleaned")} v ON d.doc_id = v.doc_id WHERE v.size > 0)
+SELECT d.* EXCLUDE (copy), v.shard FROM taken d JOIN {_over(op06_sharding.ORACLE, "cleaned")} v ON d.doc_id = v.doc_id
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
