@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_decontamination, op02_pii, op03_licenses, op04_simhash, op05_quality_mil, op06_sharding, op07_chat, op08_mixing, op09_warc, op10_quality_rules, op12_ranked_search
+from . import op01_decontamination, op02_pii, op03_licenses, op04_simhash, op05_quality_mil, op06_sharding, op07_chat, op08_mixing, op09_warc, op10_quality_rules, op11_whitening, op12_ranked_search, op13_html_text
 
 QUERIES = {
     "op1_decontamination": op01_decontamination.op1_decontamination,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_mixing": op08_mixing.op8_mixing,
     "op9_warc": op09_warc.op9_warc,
     "op10_quality_rules": op10_quality_rules.op10_quality_rules,
+    "op11_whitening": op11_whitening.op11_whitening,
     "op12_ranked_search": op12_ranked_search.op12_ranked_search,
+    "op13_html_text": op13_html_text.op13_html_text,
 }
 
 ORACLES = {
@@ -28,4 +30,5 @@ ORACLES = {
     "op9_warc": op09_warc.ORACLE,
     "op10_quality_rules": op10_quality_rules.ORACLE,
     "op12_ranked_search": op12_ranked_search.ORACLE,
+    "op13_html_text": op13_html_text.ORACLE,
 }
