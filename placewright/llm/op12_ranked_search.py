@@ -99,8 +99,8 @@ def representatives(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Only classes of several rows are looked up, by a broadcast after a count; the others are joined with nothing.
     """
-    classes = lists.groupBy("class").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    many = settled(lists.select("row", "class").join(classes, "class").select(F.col("row").alias("_row"), "first", "copies"), "copies")
+    classes = settled(lists.groupBy("class").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "classes")
+    many = settled(lists.select("row", "class").join(small(classes), "class").select(F.col("row").alias("_row"), "first", "copies"), "copies")
     joined = lists.join(small(many), F.col("row") == F.col("_row"), "left")
     members = joined.select(F.coalesce("first", "row").alias("row"), "doc_id", F.col("row").alias("own"))
     alone = F.col("first").isNull() | (F.col("first") == F.col("row"))
