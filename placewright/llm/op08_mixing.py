@@ -15,8 +15,8 @@ No stratum is sorted as a whole: documents are counted over 1024 slices of the r
 sliced again, and only the rows of that slice of a slice are ordered. So a source may hold any share of the rows.
 
 Defined results: null text has 0 words; a null source is a source of its own, the last one; documents without words
-are taken in whole copies only; repeated rows (same key and text) share a draw, so they are taken alike, also where that is
-one more than the sample size; columns of the input may have any name; empty tables give empty tables.
+are taken in whole copies only; repeated rows (same key, source and text) are numbered, and each but the first draws by its number too,
+so the sample takes some of them and words stay near the target; which of them is any; columns of the input may have any name; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_order, settled, table, uniform, unpacked, without, word_count
+from .common import BROADCAST_KEYS, in_order, settled, table, uniform, unpacked, without, word_count
 
 CYCLE = (5, 2, 1)
 MOST = 3
@@ -164,9 +164,37 @@ def _cut(counts: DataFrame) -> DataFrame:
     return last.select(F.col("source").alias("_source"), F.col("stratum").alias("_stratum"), "m", F.col("_m._at").alias("_slice"), F.col("_m._until").alias("_before"))
 
 
-def draw(docs: DataFrame, *keep: Column) -> DataFrame:
-    """keep, source, size (words) and u, the draw of each row."""
-    return docs.select(*keep, "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.md5(F.col("text").cast("binary")), salt=SALT).alias("u"))
+def told_apart(docs: DataFrame) -> DataFrame:
+    """_doc, a struct of all columns, and _again: the number of each row among those of the same doc_id, source and text, null for rows without equals.
+
+    Only repeated rows are written and numbered, in ranges of a global order that ends with their place: a row repeated any number
+    of times is spread over many tasks.
+    """
+    text = F.xxhash64("text").alias("_t")
+    many = docs.groupBy("doc_id", "source", text).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    many = settled(many.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_t").alias("_h"), F.lit(True).alias("_many")), "repeated")
+    n = many.count()
+    rows = docs.select(F.struct(*without(docs)).alias("_doc"), "doc_id", "source", text)
+    if n == 0:
+        return rows.select("_doc", F.lit(None).cast("long").alias("_again"))
+    same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_h"))
+    joined = rows.join(F.broadcast(many) if n <= BROADCAST_KEYS else many, same, "left")
+    again = settled(joined.where("_many").select("_doc", "doc_id", "source", "_t").withColumn("_place", F.monotonically_increasing_id()), "again")
+    keys = ["doc_id", "source", "_t"]
+    order = in_order(again.select(*keys, "_place"), *[F.col(k) for k in keys], F.col("_place"))
+    order = settled(order, "numbers")
+    first = order.groupBy(*keys).agg(F.min("_nth").alias("_first")).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_t").alias("_h"), "_first")
+    order = attach(order, first, same, n <= BROADCAST_KEYS).select(F.col("_place").alias("_p"), (F.col("_nth") - F.col("_first")).alias("_again"))
+    numbered = again.join(order, F.col("_place") == F.col("_p")).select("_doc", "_again")
+    return joined.where(F.col("_many").isNull()).select("_doc", F.lit(None).cast("long").alias("_again")).unionByName(numbered)
+
+
+def draw(rows: DataFrame, *keep: Column) -> DataFrame:
+    """keep, source, size (words) and u, the draw of each row of told_apart()."""
+    of = F.col("_doc").getField
+    key = [of("doc_id"), F.md5(of("text").cast("binary"))]
+    u = F.when(F.col("_again") > 0, uniform(*key, F.col("_again"), salt=SALT)).otherwise(uniform(*key, salt=SALT))
+    return rows.select(*keep, of("source").alias("source"), word_count(of("text")).alias("size"), u.alias("u"))
 
 
 def copies(rows: DataFrame, shares: DataFrame, few: bool) -> DataFrame:
@@ -178,9 +206,9 @@ def copies(rows: DataFrame, shares: DataFrame, few: bool) -> DataFrame:
     return joined.withColumn("copies", F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("int")).drop("_source", "_stratum")
 
 
-def shares_of(docs: DataFrame, weigh=cycle_weights) -> tuple[DataFrame, DataFrame, bool]:
-    """The sizes of docs, the plan by source and stratum, and whether it is small; weigh adds a weight to each source."""
-    slim = settled(draw(docs, F.col("doc_id")), "sizes")
+def shares_of(rows: DataFrame, weigh=cycle_weights) -> tuple[DataFrame, DataFrame, bool]:
+    """The sizes of rows of told_apart(), the plan by source and stratum, and whether it is small; weigh adds a weight to each source."""
+    slim = settled(draw(rows, F.col("_doc").getField("doc_id").alias("doc_id")), "sizes")
     sources = settled(targets(settled(weigh(slim.groupBy("source").agg(F.sum("size").alias("source_size"))), "weights")), "targets")
     shares = settled(plan(slim, sources, sources.count() <= BROADCAST_SOURCES), "mix")
     return slim, shares, shares.count() <= BROADCAST_SOURCES
@@ -188,22 +216,25 @@ def shares_of(docs: DataFrame, weigh=cycle_weights) -> tuple[DataFrame, DataFram
 
 def mix(docs: DataFrame, weigh=cycle_weights) -> DataFrame:
     """docs, each row as often as the mix takes it. The texts aren't shuffled unless the sources are many."""
-    _, shares, few = shares_of(docs, weigh)
-    taken = copies(draw(docs, F.struct(*without(docs)).alias("_doc")), shares, few).where(F.col("copies") > 0)
+    rows = told_apart(docs)
+    _, shares, few = shares_of(rows, weigh)
+    taken = copies(draw(rows, F.col("_doc")), shares, few).where(F.col("copies") > 0)
     return unpacked(taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")), docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim, shares, few = shares_of(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    slim, shares, few = shares_of(told_apart(docs))
     out = copies(slim, shares, few)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 ORACLE = """
-WITH RECURSIVE sized AS (
+WITH RECURSIVE numbered AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS again FROM documents),
+sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), chr(1)) || '|' || coalesce(md5(text), chr(1))), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-  FROM documents),
+    (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), chr(1)) || '|' || coalesce(md5(text), chr(1)) || CASE WHEN again > 0 THEN '|' || again ELSE '' END), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM numbered),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources),
 levels AS (SELECT *,

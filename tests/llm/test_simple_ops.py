@@ -230,6 +230,39 @@ def test_mix_probabilities_over_many_draws():
     assert max(shorter) < min(longer)
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_mix_repeated_rows(spark, monkeypatch, few):
+    """Rows that are equal are sampled like others: some of them are taken, and the words come near the target, in any layout."""
+    monkeypatch.setattr(op8, "BROADCAST_KEYS", few)
+    text = " ".join(f"w{i}" for i in range(20))
+    lone = [(10_000 + i, " ".join(["v"] * (15 + i % 11)), "en", "b", 1) for i in range(40)]
+    for equal in (2, 1000):
+        rows = [(1, text, "en", "a", 1)] * equal + [(i, text, "en", "a", 1) for i in range(2, 1002 - equal)] + lone
+        df = spark.createDataFrame(rows, TYPES)
+        size = Counter()
+        for _, t, _, s, _ in rows:
+            size[s] += len(t.split())
+        a = 5 * sum(size.values()) / 7
+        aim = {"b": min(sum(size.values()) - a, 3 * size["b"])}
+        aim["a"] = sum(size.values()) - aim["b"]
+        for layout in (df, df.repartition(7)):
+            got = Counter()
+            for r in op8.mix(layout).collect():
+                got[r.source] += len(r.text.split())
+            assert all(abs(got[s] - aim[s]) <= 25 for s in aim), (equal, got, aim)
+    every = spark.createDataFrame([(None, text, "en", "a", 1)] * 50 + [(None, text, "en", None, 1)] * 50, TYPES)
+    taken = Counter(r.source for r in op8.mix(every).collect())
+    assert abs(taken["a"] - 100 * 5 / 7) <= 1 and abs(taken[None] - 100 * 2 / 7) <= 1
+
+
+def test_mix_sql_of_repeated_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id % 5 = 0")).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(op8.op8_mixing(spark, str(tmp_path)), con.execute(op8.ORACLE).df())
+
+
 def test_mix_odd(spark):
     assert op8.mix(odd(spark)).count() >= 1
     assert op8.mix(odd(spark).limit(0)).count() == 0
