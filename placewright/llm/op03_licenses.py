@@ -7,7 +7,8 @@ would start. Inserted words shift that place, so votes are gathered over windows
 every start lies in two windows, so votes that lie a window's half apart meet in one. A template with enough of its weight in a
 window is a candidate; it's reported if all its mandatory phrases stand where that window says.
 
-Base phrases are found apart from that, at every place where their words stand consecutively.
+Base phrases are found apart from that, at every place where their words stand consecutively. So are SPDX tags: the expression after
+one is taken apart, and each licence in it gives its label (those after WITH are exceptions, not licences).
 
 Defined results: null and empty texts have no words, no labels and score 0; rows are told apart by doc_id and text, repeated
 rows get the same result each; an empty table gives an empty result; other columns aren't read. A phrase that occurs many times
@@ -25,7 +26,7 @@ from .common import alnum_words, fence, settled, table
 
 #: Fixed by the task: phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: What follows an SPDX tag.
+#: What follows an SPDX tag; `only`, `or later` and a plus may follow that.
 SPDX = {"mit": ["mit"], "apache-2": ["apache 2 0"], "gpl-3": ["gpl 3 0"], "gpl-2": ["gpl 2 0"], "lgpl-3": ["lgpl 3 0"], "agpl-3": ["agpl 3 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "mpl-2": ["mpl 2 0"], "cc-by-nc": ["cc by nc 4 0"], "cc-by": ["cc by 4 0"], "cc-by-sa": ["cc by sa 4 0"], "cc0": ["cc0 1 0"]}
 
 
@@ -50,6 +51,7 @@ TEMPLATES = [
     ("agpl-3", *_notice("affero general public license", 3)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("mpl-2", "mozilla public license version 2 0", ["mozilla public license", "2 0"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by", "creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc-by-sa", "creative commons attribution sharealike", ["creative commons attribution sharealike"]),
@@ -64,6 +66,10 @@ ENOUGH, RARE, LEAST = 0.75, 0.1, 8
 #: Words of all templates together, at most: the index is broadcast, about 100 bytes a word.
 MOST_WORDS = 500_000
 
+_ID = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+#: An SPDX tag and its expression, which ends with the line at the latest.
+_TAG = rf"(?i)SPDX-License-Identifier[ \t]*:[ \t(]*({_ID}(?:[ \t)]+(?:AND|OR|WITH)[ \t(]+{_ID})*)"
+
 
 @dataclass
 class Index:
@@ -106,9 +112,18 @@ def _anchor(parts: list[str]) -> tuple[int, str]:
     return next(((i, w) for i, w in enumerate(parts) if w not in COMMON), (0, parts[0]))
 
 
+def tagged(text: Column) -> Column:
+    """The labels of the licences in the SPDX expressions of a text."""
+    names = F.create_map(*[F.lit(x) for name, ids in SPDX.items() for i in ids for x in (i, name)])
+    plain = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TAG), F.lit(1)), lambda e: F.regexp_replace(F.lower(e), r"[ \t)]+with[ \t(]+[a-z0-9.+-]+", " "))
+    ids = F.flatten(F.transform(plain, lambda e: F.split(e, r"[ \t()]+")))
+    base = F.transform(ids, lambda i: F.trim(F.regexp_replace(F.regexp_replace(i, r"(-only|-or-later|[+.-]+)$", ""), r"[^a-z0-9]+", " ")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(base, lambda i: F.try_element_at(names, i)), lambda x: x.isNotNull())))
+
+
 def scan(docs: DataFrame, known: Index, *keys: str) -> DataFrame:
-    """keys, n_words, hits (word, at) of licence words, and phrases (phrase, at), of a table of keys and text. One pass, no shuffle."""
-    df = docs.select(*keys, alnum_words(F.col("text")).alias("_words")).withColumn("n_words", F.size("_words"))
+    """keys, n_words, hits (word, at) of licence words, phrases (phrase, at) and tagged, the labels of SPDX tags, of a table of keys and text. One pass, no shuffle."""
+    df = docs.select(*keys, alnum_words(F.col("text")).alias("_words"), tagged(F.col("text")).alias("tagged")).withColumn("n_words", F.size("_words"))
     words = F.col("_words")
     here = F.filter(F.transform(words, lambda w, i: F.when(w.isin(known.vocabulary), i)), lambda i: i.isNotNull())
     df = df.withColumn("_at", here)
@@ -125,7 +140,7 @@ def scan(docs: DataFrame, known: Index, *keys: str) -> DataFrame:
         return F.transform(here, lambda p: F.struct(p["phrase"].alias("phrase"), (h["at"] - p["off"]).cast("int").alias("at")))
 
     df = df.withColumn("phrases", F.flatten(F.transform(F.filter("hits", lambda h: h["word"].isin(sorted(anchored))), found_at)))
-    return fence(df.select(*keys, "n_words", "hits", "phrases"), "n_words", "hits", "phrases")
+    return fence(df.select(*keys, "n_words", "hits", "phrases", "tagged"), "n_words", "hits", "phrases", "tagged")
 
 
 def weighted(found: DataFrame, known: Index) -> DataFrame:
@@ -179,8 +194,8 @@ def report(docs: DataFrame, *keys: str, templates: DataFrame | None = None) -> D
         F.array_min(at).alias("first_word"),
         F.array_max(at).alias("last_word"),
         F.array_join(labels, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(labels, F.coalesce("_labels", F.array().cast("array<string>"))))), ",").alias("labels"),
-        F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_share", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(labels, F.col("tagged"), F.coalesce("_labels", F.array().cast("array<string>"))))), ",").alias("labels"),
+        F.when((F.size("_base") > 0) | (F.size("tagged") > 0), F.lit(1.0)).otherwise(F.coalesce("_share", F.lit(0.0))).alias("score"),
     )
 
 
@@ -219,9 +234,13 @@ shares AS (SELECT m.row, label, round(least(1::DOUBLE, round(got, 6) / weight),
 named AS (SELECT row, label, max(share) AS share FROM shares WHERE share >= {ENOUGH!r}::DOUBLE GROUP BY row, label),
 based AS (SELECT row, pos, CASE phrase {" ".join(f"WHEN '{p}' THEN '{name}'" for p, name in BASE.items())} END AS label FROM places WHERE phrase IN ({", ".join(f"'{p}'" for p in BASE)})),
 bases AS (SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM based GROUP BY row),
-every AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM based UNION ALL SELECT row, label FROM named) GROUP BY row),
+ids(id, label) AS (VALUES {", ".join(f"('{i}', '{name}')" for name, ids in SPDX.items() for i in ids)}),
+expressions AS (SELECT row, unnest(regexp_extract_all(text, '{_TAG}', 1)) AS said FROM (SELECT row_number() OVER () AS row, text FROM documents)),
+parts AS (SELECT row, unnest(string_split_regex(regexp_replace(lower(said), '[ \t)]+with[ \t(]+[a-z0-9.+-]+', ' ', 'g'), '[ \t()]+')) AS part FROM expressions),
+tags AS (SELECT DISTINCT row, label FROM parts JOIN ids ON id = trim(regexp_replace(regexp_replace(part, '(-only|-or-later|[+.-]+)$', ''), '[^a-z0-9]+', ' ', 'g'))),
+every AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM based UNION ALL SELECT row, label FROM named UNION ALL FROM tags) GROUP BY row),
 best AS (SELECT row, max(share) AS share FROM named GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-  CASE WHEN n_base > 0 THEN 1::DOUBLE ELSE coalesce(share, 0::DOUBLE) END AS score
+  CASE WHEN n_base > 0 OR row IN (SELECT row FROM tags) THEN 1::DOUBLE ELSE coalesce(share, 0::DOUBLE) END AS score
 FROM docs LEFT JOIN bases USING (row) LEFT JOIN every USING (row) LEFT JOIN best USING (row)
 """

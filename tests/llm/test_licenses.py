@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -74,6 +75,30 @@ def test_several_templates_in_one_file(spark):
     assert all(rows[i].labels == "" for i in range(len(plain)))
 
 
+def brute_tags(text):
+    """Labels of SPDX expressions, read token by token."""
+    known = {i: name for name, ids in op3.SPDX.items() for i in ids}
+    found = set()
+    for line in (text or "").split("\n"):
+        for tail in re.split(r"(?i)spdx-license-identifier[ \t]*:", line)[1:]:
+            due = True
+            for token in re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*|[^ \t]", tail):
+                if token in "()":
+                    continue
+                operator = token.upper() in ("AND", "OR", "WITH")
+                if operator == due or not re.match(r"[A-Za-z0-9]", token):
+                    break
+                if operator:
+                    skip = token.upper() == "WITH"
+                else:
+                    name = re.sub(r"(-only|-or-later|[+.-]+)$", "", token.lower())
+                    if due != "skip":
+                        found.add(known.get(re.sub(r"[^a-z0-9]+", " ", name).strip()))
+                due = ("skip" if skip else True) if operator else False
+                skip = False
+    return found - {None}
+
+
 def brute_labels(texts, templates=None):
     """Labels and score of each text by trying every window of starts of every template."""
     templates = [(name, words(text), [words(p) for p in keys]) for name, text, keys in templates or op3.TEMPLATES]
@@ -100,8 +125,8 @@ def brute_labels(texts, templates=None):
                 if share >= op3.ENOUGH and all(any(inside(a - min(at(k, tw))) for a in at(k, ws)) for k in keys):
                     found.add(name)
                     best = max(best, share)
-        base = brute_base(texts[i])
-        out[i] = ",".join(sorted(found | set(filter(None, base[4].split(","))))), 1.0 if base[1] else best
+        base, tags = brute_base(texts[i]), brute_tags(texts[i])
+        out[i] = ",".join(sorted(found | tags | set(filter(None, base[4].split(","))))), 1.0 if base[1] or tags else best
     return out
 
 
@@ -132,6 +157,53 @@ def test_labels_against_brute_force(spark):
     assert [rows[i][0] for i in range(300, 308)] == ["bsd,mit", "gpl-3", "gpl-2", "gpl-3", "lgpl-3", "gpl-3", "", ""]
 
 
+EXPRESSIONS = {
+    "SPDX-License-Identifier: (MIT AND BSD-3-Clause)": "bsd,mit",
+    "# SPDX-License-Identifier: Apache-2.0 OR MIT": "apache-2,mit",
+    "// spdx-license-identifier:GPL-2.0-only WITH Linux-syscall-note */": "gpl-2",
+    "SPDX-License-Identifier: ((MPL-2.0 OR LGPL-3.0+) AND CC0-1.0) and more": "cc0,lgpl-3,mpl-2",
+    "SPDX-License-Identifier: ISC OR (GPL-3.0-or-later WITH Bison-exception-2.2 AND CC-BY-4.0)": "cc-by,gpl-3",
+    "SPDX-License-Identifier: ISC\nMIT": "",
+    "SPDX-License-Identifier:": "",
+    "SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0.": "apache-2,mit",
+    "Mozilla Public License Version 2.0": "mpl-2",
+}
+
+
+def test_spdx_expressions(spark, tmp_path):
+    texts = {i: f"plain words {i}" for i in range(60)} | {100 + i: t for i, t in enumerate(EXPRESSIONS)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: (r.labels, r.score) for r in op3.report(df, "doc_id").collect()}
+    assert [rows[100 + i][0] for i in range(len(EXPRESSIONS))] == list(EXPRESSIONS.values())
+    assert rows == brute_labels(texts)
+    frame = pd.DataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], columns=["doc_id", "text", "lang", "source", "n_chars"])
+    for name in ("documents", "benchmark", "labels", "conversations", "pages"):
+        frame.to_parquet(tmp_path / f"{name}.parquet")
+    same(op3.op3_licenses(spark, str(tmp_path)), oracle(op3.ORACLE, str(tmp_path)))
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."""
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no full texts here")
+def test_full_texts(spark):
+    """Whole licence texts are found by the markers, and as templates of their own."""
+    full = {n: Path(f"/usr/share/common-licenses/{n}").read_text() for n in ("GPL-3", "Apache-2.0", "BSD", "MPL-2.0") if Path(f"/usr/share/common-licenses/{n}").exists()}
+    full["MIT"] = MIT_TEXT
+    texts = [*full.values(), *[f"plain words {i}" for i in range(60)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r.doc_id: set(r.labels.split(",")) for r in op3.report(df, "doc_id").collect()}
+    known = {"GPL-3": "gpl-3", "Apache-2.0": "apache-2", "BSD": "bsd", "MPL-2.0": "mpl-2", "MIT": "mit"}
+    assert all(known[n] in labels[i] for i, n in enumerate(full))
+    table = spark.createDataFrame([(f"{n} in full", t, None) for n, t in full.items()], "label string, text string, phrases array<string>")
+    labels = {r.doc_id: set(r.labels.split(",")) for r in op3.report(df, "doc_id", templates=table).collect()}
+    assert all(f"{n} in full" in labels[i] for i, n in enumerate(full)) and all(labels[i] == {""} for i in range(len(full), len(texts)))
+
+
 def test_templates_of_the_caller(spark):
     """A table of full texts, found in part and with words put in between; a phrase that isn't in its template is refused."""
     rng = random.Random(13)
