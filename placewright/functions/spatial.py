@@ -1,21 +1,16 @@
-"""Geometry as column expressions. Distances are on the sphere; the spheroid differs by up to half a percent."""
+"""Geometry as column expressions. Distances are along the spheroid of WGS 84 (geodesic.py)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RADIUS = 6371008.8
-#: Distances in metres and their weights in a score; a place within 1 m is within all of them.
-BANDS = ((1, 10000), (10, 1000), (100, 100), (1000, 10), (10000, 1))
-CELL = 5.0
+from .geodesic import MEAN, distance, sphere, within
 
+__all__ = ["distance", "sphere", "within"]
 
-def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres between two points (haversine)."""
-    up = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))
-    a = up(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * up(lon2 - lon1)
-    return 2 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+#: Distances in metres and their weights in a score; a place within 1 m is within all of them.
+BANDS = ((1, 10000), (10, 1000), (100, 100), (1000, 10), (10000, 1))
 
 
 def band_score(metres: Column, bands=BANDS) -> Column:
@@ -34,16 +29,16 @@ def _edges(ring: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
 
 
-def contains(mpoly: Column, x: Column, y: Column) -> Column:
-    """Whether the multipolygon holds the point: even-odd over all rings, so holes are outside."""
+def crosses(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
+    """Whether a ray from the point to the east crosses the edge."""
+    slope = (bx - ax) / F.nullif(by - ay, F.lit(0.0))
+    return F.coalesce(((ay > y) != (by > y)) & (x < slope * (y - ay) + ax), F.lit(False))
 
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        slope = (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
-        return F.coalesce(((a["y"] > y) != (b["y"] > y)) & (x < slope * (y - a["y"]) + a["x"]), F.lit(False))
 
+def contains(mpoly: Column, x: Column, y: Column) -> Column:
+    """Whether the multipolygon holds the point: even-odd over all rings, so holes are outside."""
     edges = F.flatten(F.transform(F.filter(F.flatten(mpoly), lambda r: F.size(r) >= 2), _edges))
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return F.size(F.filter(edges, lambda e: crosses(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], x, y))) % 2 == 1
 
 
 def area(ring: Column) -> Column:
@@ -85,34 +80,23 @@ def as_multipolygon(polygon: Column) -> Column:
     return F.array(polygon)
 
 
-def cell(x: Column, y: Column, size: float = CELL) -> Column:
-    """The grid cell of a point."""
-    return F.struct(F.floor(x / size).alias("cx"), F.floor(y / size).alias("cy"))
-
-
-def cells(west: Column, east: Column, south: Column, north: Column, size: float = CELL) -> Column:
-    """The grid cells that a box touches."""
-    across = F.sequence(F.floor(west / size), F.floor(east / size))
-    up = F.sequence(F.floor(south / size), F.floor(north / size))
-    return F.flatten(F.transform(across, lambda cx: F.transform(up, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-
-
-def _axes(lat: Column, lon: Column) -> list[Column]:
+def axes(lat: Column, lon: Column) -> list[Column]:
     """Metres from the centre of the sphere along three axes."""
-    flat = F.cos(F.radians(lat)) * RADIUS
-    return [flat * F.cos(F.radians(lon)), flat * F.sin(F.radians(lon)), F.sin(F.radians(lat)) * RADIUS]
+    flat = F.cos(F.radians(lat)) * MEAN
+    return [flat * F.cos(F.radians(lon)), flat * F.sin(F.radians(lon)), F.sin(F.radians(lat)) * MEAN]
 
 
 def cube(lat: Column, lon: Column, radius: float) -> Column:
     """The cube, two radiuses wide, that a point lies in. Cubes know no poles and no date line."""
-    return F.struct(*[F.floor(v / (2 * radius)).alias(f"c{i}") for i, v in enumerate(_axes(lat, lon))])
+    return F.struct(*[F.floor(v / (2 * radius)).alias(f"c{i}") for i, v in enumerate(axes(lat, lon))])
 
 
 def cubes_near(lat: Column, lon: Column, radius: float) -> Column:
-    """The cubes, eight at most, that hold all points within the radius: no coordinate differs by more than the way along the sphere."""
-    reach = radius * (1 + 1e-9) + 1e-3
-    x, y, z = ([F.floor((v - reach) / (2 * radius)), F.floor((v + reach) / (2 * radius))] for v in _axes(lat, lon))
-    return F.array_distinct(F.array(*[F.struct(a.alias("c0"), b.alias("c1"), c.alias("c2")) for a in x for b in y for c in z]))
+    """The cubes that hold all points within the radius: no coordinate differs by more than the way along the sphere, which is within a percent of the spheroid's."""
+    reach = radius * 1.01 + 1e-3
+    span = lambda v: F.sequence(F.floor((v - reach) / (2 * radius)), F.floor((v + reach) / (2 * radius)))
+    x, y, z = (span(v) for v in axes(lat, lon))
+    return F.flatten(F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: F.transform(z, lambda c: F.struct(a.alias("c0"), b.alias("c1"), c.alias("c2")))))))
 
 
 def from_web_mercator(x: Column, y: Column) -> Column:
@@ -130,23 +114,3 @@ def geojson(mpoly: Column, lon: Column, lat: Column) -> Column:
     many = F.to_json(F.struct(coordinates.alias("coordinates"), F.lit("MultiPolygon").alias("type")))
     shape = F.when(F.size(mpoly) == 1, single).when(F.size(mpoly) > 1, many)
     return F.concat(F.lit('{"geometries": ['), F.concat_ws(", ", point, shape), F.lit('], "type": "GeometryCollection"}'))
-
-
-def simplify(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker on one ring; ends stay, and so does a ring that would collapse."""
-    keep, stack = {0, len(ring) - 1}, [(0, len(ring) - 1)]
-    while stack:
-        lo, hi = stack.pop()
-        (ax, ay), (bx, by) = ring[lo], ring[hi]
-        far, at = tolerance, None
-        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
-        for i in range(lo + 1, hi):
-            px, py = ring[i]
-            d = abs((bx - ax) * (ay - py) - (ax - px) * (by - ay)) / length if length else ((px - ax) ** 2 + (py - ay) ** 2) ** 0.5
-            if d > far:
-                far, at = d, i
-        if at is not None:
-            keep.add(at)
-            stack += [(lo, at), (at, hi)]
-    out = [ring[i] for i in sorted(keep)]
-    return out if len(out) >= 4 else ring

@@ -61,11 +61,13 @@ def cooccurrences(mentions: DataFrame, group: str, name: str, top: int | None =
 def frequency(links: DataFrame, level: str = "admin_level") -> DataFrame:
     """(level, place_id, count, frequency): counts of links (place_id, cnt), at least 1 each, and their share of the level."""
     out = links.groupBy(level, "place_id").agg(F.sum(F.when(F.coalesce("cnt", F.lit(0)) == 0, 1).otherwise(F.col("cnt"))).alias("count"))
-    return out.withColumn("frequency", F.round(F.col("count") / F.sum("count").over(Window.partitionBy(level)), 6))
+    return share(out, "count", level, "frequency").withColumn("frequency", F.round("frequency", 6))
 
 
-def share(value: str, by: str) -> Column:
-    return F.col(value) / F.sum(value).over(Window.partitionBy(by))
+def share(df: DataFrame, value: str, by: str, column: str) -> DataFrame:
+    """df with a column of value's share of its sum over the rows of a group. Sums are an aggregate, so a few large groups don't meet in a few tasks."""
+    sums = df.groupBy(F.col(by).alias("_by")).agg(F.sum(value).alias("_sum"))
+    return df.join(sums, F.col(by).eqNullSafe(F.col("_by"))).withColumn(column, F.col(value) / F.col("_sum")).drop("_by", "_sum")
 
 
 def per_day(df: DataFrame, time: str) -> DataFrame:
@@ -153,3 +155,10 @@ def one_country(features: DataFrame, seed: int = 0, n: int = 20) -> DataFrame:
     """The country of a sample of n features, if there is exactly one."""
     sample = features.orderBy(F.rand(seed)).limit(n)
     return sample.agg(F.collect_set("country_code").alias("_c")).where(F.size("_c") == 1).select(F.get("_c", F.lit(0)).alias("country_code"))
+
+
+def country_of_each(features: DataFrame, by: str, seed: int = 0, n: int = 20) -> DataFrame:
+    """(by, country_code): the same for each dataset of a table, in one plan. Spark keeps n rows a task and dataset before it shuffles."""
+    drawn = features.select(by, "country_code").withColumn("_draw", F.rand(seed))
+    sample = drawn.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy("_draw"))).where(F.col("_nth") <= n)
+    return sample.groupBy(by).agg(F.collect_set("country_code").alias("_c")).where(F.size("_c") == 1).select(by, F.get("_c", F.lit(0)).alias("country_code"))
\ No newline at end of file

@@ -24,12 +24,15 @@ def locations_in_text(docs: DataFrame, key: str, stop: DataFrame | None = None,
     """(key, name, count, context): names of each text without the stop list; count is how often the name stands there, context the first sentence with it."""
     rows = docs.where(F.col("text").isNotNull())
     names = F.array_distinct(T.pattern_names(F.col("text"), case_insensitive)) if pattern_only else names_of(F.col("text"), case_insensitive)
-    each = rows.select(F.col(key), F.col("text"), F.explode(names).alias("name"))
+    #: Counted within the row: what leaves it are names with their counts and sentences, not the text.
+    sentences = F.split("text", r"(?<=[.!?])\s+|\n")
+    held = rows.select(F.col(key), F.col("text"), F.explode(F.array(names)).alias("_names"), sentences.alias("_sentences"))
+    count = lambda n: ((F.length("text") - F.length(F.replace(F.col("text"), n, F.lit("")))) / F.length(n)).cast("int")
+    found = F.transform("_names", lambda n: F.struct(n.alias("name"), F.greatest(F.lit(1), count(n)).alias("count"), F.get(F.filter("_sentences", lambda s: F.contains(s, n)), 0).alias("context")))
+    each = held.select(key, F.inline(found))
     if stop is not None:
         each = each.join(stop.select(F.lower("name").alias("_stop")).distinct(), F.lower("name") == F.col("_stop"), "left_anti")
-    count = (F.length("text") - F.length(F.replace("text", F.col("name"), F.lit("")))) / F.length("name")
-    sentence = F.get(F.filter(F.split("text", r"(?<=[.!?])\s+|\n"), lambda s: F.contains(s, F.col("name"))), 0)
-    return each.select(key, "name", F.greatest(F.lit(1), count.cast("int")).alias("count"), sentence.alias("context"))
+    return each.select(key, "name", "count", "context")
 
 
 def header_column(headers: list[str]) -> int | None:

@@ -1,18 +1,20 @@
 """The gazetteer: conflation, aliases, countries of places, matching of datasets, hierarchy.
 
 Updates are new versions of tables. Where rows could be updated in turn, a batch is resolved against the table as it was;
-inputs that would have met each other are first put together.
+inputs that match nothing and lie near each other, directly or by way of others, are put together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import spatial
+from ..functions import geodesic, spatial
+from .clusters import clusters
+from .cover import inside
 
-#: Polygon tables up to so many rows are broadcast for containment; larger ones meet points on a grid.
-BROADCAST_POLYGONS = 2_000
+#: Metres within which a place is the same point for a dataset's row.
+SAME_POINT = 5
 
 
 def population_is_close(a: Column, b: Column) -> Column:
@@ -28,7 +30,11 @@ def candidates_nearby(inputs: DataFrame, places: DataFrame, radius: float = 10_0
     """
     p = places.select(spatial.cube(F.col("lat"), F.col("lon"), radius).alias("_cube"), F.col("id").alias("place_id"), F.col("name").alias("_name"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("population").alias("_population"), F.col("admin_level").alias("_level"))
     near = inputs.withColumn("_near", F.explode(spatial.cubes_near(F.col("lat"), F.col("lon"), radius)))
-    pairs = near.join(p, (F.col("name") == F.col("_name")) & (F.col("_near") == F.col("_cube"))).drop("_near", "_cube").withColumn("metres", spatial.distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("metres") <= radius)
+    between = lambda metres: metres(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    pairs = near.join(p, (F.col("name") == F.col("_name")) & (F.col("_near") == F.col("_cube"))).drop("_near", "_cube")
+    pairs = pairs.where(between(spatial.sphere) <= radius * 1.01)
+    #: Exploded, so that the filter doesn't move below and compute the distance twice.
+    pairs = pairs.withColumn("metres", F.explode(F.array(between(geodesic.short if radius * 1.02 < geodesic.NEAR else geodesic.distance)))).where(F.col("metres") <= radius)
     score = spatial.band_score(F.col("metres"), bands)
     if variant == "conflate":
         score = score + F.col("population").isNotNull().cast("int") * 10 + population_is_close(F.col("population"), F.col("_population")).cast("int") * 1000
@@ -47,23 +53,27 @@ def best(scored: DataFrame, *by: str, score: str = "score", tie: str = "place_id
 def conflate(inputs: DataFrame, places: DataFrame, radius: float = 10_000, bands=spatial.BANDS) -> DataFrame:
     """places after the inputs went in: the best same-name place nearby gets its null population and country filled, others are new places.
 
-    Inputs of the same name within a 0.1 degree cell that match nothing become one place.
+    Of inputs that match nothing, those of a name that steps within the radius lead to from each other become one place: the first one's, its null population
+    and country filled from the others.
     """
     found = best(candidates_nearby(inputs, places, radius, bands), "input_id").select("input_id", "place_id", F.col("population").alias("_pop"), F.col("country_code").alias("_cc"))
     fill = found.groupBy("place_id").agg(F.min_by("_pop", F.when(F.col("_pop").isNotNull(), F.col("input_id"))).alias("_pop"), F.min_by("_cc", F.when(F.col("_cc").isNotNull(), F.col("input_id"))).alias("_cc"))
     updated = places.join(fill, F.col("id") == F.col("place_id"), "left").withColumn("population", F.coalesce("population", "_pop")).withColumn("country_code", F.coalesce("country_code", "_cc")).drop("place_id", "_pop", "_cc")
     new = inputs.join(found.select("input_id"), "input_id", "left_anti")
-    new = new.groupBy("name", F.floor(F.col("lat") * 10).alias("_y"), F.floor(F.col("lon") * 10).alias("_x")).agg(F.min_by(F.struct("lat", "lon", "country_code", "population"), "input_id").alias("_n"), F.min("input_id").alias("_i"))
+    new = new.join(clusters(new, radius).withColumnRenamed("input_id", "_of"), F.col("input_id") == F.col("_of"))
+    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("input_id"))).alias(f"_{c}")
+    new = new.groupBy("cluster").agg(F.min_by(F.struct("name", "lat", "lon"), "input_id").alias("_n"), F.min("input_id").alias("_i"), known("country_code"), known("population"))
     last = places.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     #: Ids of new places follow the largest one by the number of the input.
-    new = new.crossJoin(F.broadcast(last)).select((F.col("_last") + F.col("_i")).cast("long").alias("id"), "name", F.col("_n.lat").alias("lat"), F.col("_n.lon").alias("lon"), F.col("_n.country_code").alias("country_code"), F.col("_n.population").alias("population"))
+    new = new.crossJoin(F.broadcast(last)).select((F.col("_last") + F.col("_i")).cast("long").alias("id"), "_n.name", "_n.lat", "_n.lon", F.col("_country_code").alias("country_code"), F.col("_population").alias("population"))
     return updated.unionByName(new, allowMissingColumns=True)
 
 
 def load_osm_importance(names: DataFrame, places: DataFrame, wikipedia: DataFrame) -> DataFrame:
-    """wikipedia with the importance of OSM names: place found by the OSM score, else a place id of its own (negative input id)."""
+    """wikipedia with the importance of OSM names: place found by the OSM score, else an id for it and its like nearby (the first one's input id, negative)."""
     found = best(candidates_nearby(names, places, variant="osm"), "input_id").select("input_id", "place_id")
-    owned = names.join(found, "input_id", "left").groupBy(F.coalesce("place_id", -F.col("input_id")).alias("place_id")).agg(F.max_by("importance", "input_id").alias("_new"))
+    lost = names.join(found, "input_id", "left_anti")
+    owned = names.join(found, "input_id", "left").join(clusters(lost), "input_id", "left").groupBy(F.coalesce("place_id", -F.col("cluster")).alias("place_id")).agg(F.max_by("importance", "input_id").alias("_new"))
     return wikipedia.join(owned, "place_id", "full").select("place_id", "charcount", F.coalesce("_new", "importance").alias("importance"))
 
 
@@ -79,20 +89,6 @@ def load_aliases(rows: DataFrame, alias: DataFrame, alias_place: DataFrame, plac
     return aliases, alias_place.unionByName(known.join(alias_place, ["alias_id", "place_id"], "left_anti"))
 
 
-def inside(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat", shape: str = "mpoly") -> DataFrame:
-    """points joined with the polygons (pid, west, east, south, north and maybe mpoly) that hold them.
-
-    A few polygons are broadcast; many are cut into grid cells, on which points meet them, so no pair outside a cell is made.
-    """
-    hit = spatial.within_box(F.col(x), F.col(y), F.col("west"), F.col("east"), F.col("south"), F.col("north"))
-    if shape in polygons.columns:
-        hit = hit & (F.col(shape).isNull() | spatial.contains(F.col(shape), F.col(x), F.col(y)))
-    if polygons.count() <= BROADCAST_POLYGONS:
-        return points.join(F.broadcast(polygons), hit)
-    cut = polygons.withColumn("_cell", F.explode(spatial.cells(F.col("west"), F.col("east"), F.col("south"), F.col("north"))))
-    return points.withColumn("_at", spatial.cell(F.col(x), F.col(y))).join(cut, (F.col("_at") == F.col("_cell")) & hit).drop("_at", "_cell")
-
-
 def fill_countries(places: DataFrame, countries: DataFrame) -> DataFrame:
     """places with null country codes filled from the country that holds them (the smallest polygon id of several)."""
     missing = places.where(F.col("country_code").isNull()).select("id", "lon", "lat")
@@ -104,16 +100,28 @@ def fill_countries(places: DataFrame, countries: DataFrame) -> DataFrame:
 def match_places(inputs: DataFrame, places: DataFrame) -> DataFrame:
     """(input_id, place_id, match_rank) of a dataset's rows: same name and country, then the same point, inside the polygon, or within 5 m.
 
-    Within a rank the admin level counts (3 where the input has none), then distance, then id.
+    Within a rank the admin level counts (3 where the input has none), then distance, then id. Points meet by their coordinates, by cubes
+    of space, and in the cover of the polygons, so a name that a country bears many times makes pairs only where they count.
     """
     p = places.select(F.col("id").alias("place_id"), F.col("name").alias("_name"), F.col("country_code").alias("_cc"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("admin_level").alias("_level"))
-    pairs = inputs.join(p, (F.col("name") == F.col("_name")) & (F.col("country_code") == F.col("_cc")))
-    metres = spatial.distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    held = spatial.contains(F.col("mpoly"), F.col("_lon"), F.col("_lat")) if "mpoly" in inputs.columns else F.lit(False)
-    rank = F.when((F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), 1).when(F.coalesce(held, F.lit(False)), 2).when(metres < 5, 3)
+    mine = inputs.select("input_id", "name", "country_code", "lat", "lon", "admin_level", *(["mpoly"] if "mpoly" in inputs.columns else []))
+    plain = mine.drop("mpoly")
+    named = (F.col("name") == F.col("_name")) & (F.col("country_code") == F.col("_cc"))
+    same = plain.join(p, named & (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))).withColumn("match_rank", F.lit(1))
+    spots = p.withColumn("_cube", spatial.cube(F.col("_lat"), F.col("_lon"), SAME_POINT))
+    near = plain.withColumn("_near", F.explode(spatial.cubes_near(F.col("lat"), F.col("lon"), SAME_POINT))).join(spots, named & (F.col("_near") == F.col("_cube")))
+    #: Within five metres, not at five.
+    near = near.drop("_near", "_cube").where(geodesic.short(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) < SAME_POINT).withColumn("match_rank", F.lit(3))
+    pairs = same.unionByName(near)
+    if "mpoly" in mine.columns:
+        shapes = mine.where(F.col("mpoly").isNotNull())
+        held = inside(p, shapes, "_lon", "_lat", on={"_name": "name", "_cc": "country_code"}).withColumn("match_rank", F.lit(2))
+        pairs = pairs.unionByName(held.select(pairs.columns))
     level = (F.coalesce("admin_level", F.lit(3)) == F.col("_level")).cast("int")
-    pairs = pairs.withColumn("match_rank", rank).where(F.col("match_rank").isNotNull()).withColumn("_order", F.struct("match_rank", -F.coalesce(level, F.lit(0)), metres, "place_id"))
-    return pairs.groupBy("input_id").agg(F.min_by(F.struct("place_id", "match_rank"), "_order").alias("_m")).select("input_id", "_m.place_id", "_m.match_rank")
+    ends = [F.col(c) for c in ("lat", "lon", "_lat", "_lon")]
+    metres = F.when(geodesic.sphere(*ends) < 0.98 * geodesic.NEAR, geodesic.short(*ends)).otherwise(geodesic.sphere(*ends))
+    order = F.struct("match_rank", -F.coalesce(level, F.lit(0)), F.coalesce(metres, F.lit(float("inf"))), "place_id")
+    return pairs.groupBy("input_id").agg(F.min_by(F.struct("place_id", "match_rank"), order).alias("_m")).select("input_id", "_m.place_id", "_m.match_rank")
 
 
 def match_countries(names: DataFrame, places: DataFrame) -> DataFrame:
@@ -155,8 +163,3 @@ def changed_fields(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     o, n = old.alias("o"), new.alias("n")
     flags = F.array_compact(F.array(*[F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.lit(c)) for c in cols]))
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}")).select(F.col(f"o.{key}").alias(key), F.explode(flags).alias("field"))
-
-
-def dense_ids(df: DataFrame, last: int, *order: str) -> DataFrame:
-    """df with ids after last in a stated order; for tables of bounded size such as layers."""
-    return df.withColumn("id", (F.lit(last) + F.row_number().over(Window.orderBy(*order))).cast("long"))

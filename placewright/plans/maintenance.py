@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import spatial, text
+from ..functions import simplify, text
 from ..operators import analytics, gazetteer, layers
 
 
@@ -46,15 +46,16 @@ def trimmed_countries(places: DataFrame) -> DataFrame:
 
 
 def simplified(shapes: DataFrame, tolerance: float = 0.02, column: str = "mpoly") -> DataFrame:
-    """shapes with rings simplified; a ring that would collapse stays."""
+    """shapes with rings simplified so that none come to cross; a ring that would collapse keeps a third corner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
             out = []
             for mpoly in batch.column(at).to_pylist():
-                rings = mpoly and [[spatial.simplify([(p["x"], p["y"]) for p in ring], tolerance) for ring in poly] for poly in mpoly]
-                out.append(rings and [[[{"x": x, "y": y} for x, y in ring] for ring in poly] for poly in rings])
+                rings = [[(p["x"], p["y"]) for p in ring] for poly in mpoly or [] for ring in poly]
+                done = iter(simplify.simplified(rings, tolerance))
+                out.append(mpoly and [[[{"x": x, "y": y} for x, y in next(done)] for _ in poly] for poly in mpoly])
             columns = [pa.array(out, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
@@ -88,12 +89,6 @@ def conflate_one(places: DataFrame, name: str, lat: float, lon: float, populatio
     return gazetteer.conflate(row, places), last.join(found, F.lit(True), "left").select(F.coalesce("place_id", "next").alias("id"))
 
 
-def is_in_osm(osm: DataFrame, name: str, country: str | None = None) -> bool:
-    """Whether the OSM names hold a name, in a country if one is given."""
-    rows = osm.where(F.col("name") == name)
-    return not (rows if country is None else rows.where(F.col("country") == country)).isEmpty()
-
-
 def in_osm(osm: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (name, and country or null) with found: whether the OSM names hold the name, in the country if one is given."""
     anywhere = osm.select(F.col("name").alias("_n")).distinct().withColumn("_any", F.lit(True))

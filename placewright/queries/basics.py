@@ -296,8 +296,7 @@ def country_ranks(place, feature, featureplace):
 
 @query("a04_ids_by_name", "v_place", sql="SELECT name_normalized, count(*) AS n, min(id) AS first, max(id) AS last FROM v_place GROUP BY 1")
 def ids_by_name(place):
-    lists = place.groupBy("name_normalized").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return lists.select("name_normalized", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first"), F.element_at("ids", -1).alias("last"))
+    return place.groupBy("name_normalized").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 @query("a06_cooccurrence", "v_featureplace", "v_place", sql="WITH n AS (SELECT DISTINCT feature_id, name FROM v_featureplace fp JOIN v_place p ON p.id = fp.place_id) SELECT a.name AS a, b.name AS b, count(*) AS count FROM n a JOIN n b ON a.feature_id = b.feature_id AND a.name < b.name GROUP BY 1, 2")
@@ -363,11 +362,9 @@ def any_time(feature):
 @query("a18_one_country", "v_place", sql="SELECT country_code FROM v_place GROUP BY 1 HAVING min(admin_level) = 0 UNION ALL SELECT min(country_code) FROM v_place HAVING count(DISTINCT country_code) = 1")
 def one_country(place):
     """Countries with a place of level 0, each told from a sample of its own places; a sample of all places tells none."""
-    codes = [r.country_code for r in place.where("admin_level = 0").select("country_code").distinct().collect()]
-    found = A.one_country(place)
-    for code in codes:
-        found = found.unionByName(A.one_country(place.where(F.col("country_code") == code)))
-    return found
+    codes = place.where("admin_level = 0").select("country_code").distinct()
+    each = place.withColumn("dataset", F.col("country_code")).join(codes, "country_code", "left_semi")
+    return A.one_country(place).unionByName(A.country_of_each(each, "dataset").select("country_code"))
 
 
 @query("a21_durations", "v_feature", sql="SELECT order_id AS id, true AS complete, CAST(epoch(max(start_ts)) - epoch(min(start_ts)) AS BIGINT) AS duration FROM v_feature GROUP BY 1")

@@ -75,4 +75,6 @@ def with_views(select: str) -> str:
     select = select.strip()
     if not ctes:
         return select
+    if select[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {select[15:]}"
     return f"WITH {ctes}, {select[5:]}" if select[:5].upper() == "WITH " else f"WITH {ctes} {select}"

@@ -187,12 +187,13 @@ CHOSEN_SQL = "c AS (SELECT feature_id, min_by(place_id, id) AS place_id, min_by(
 def geojson(feature, featureplace, place):
     """The features, read back from their JSON."""
     out = sinks.geojson_features(sinks.chosen(feature.withColumnRenamed("start_ts", "start"), featureplace, place))
-    at = lambda path, kind="string": F.get_json_object("feature", f"$.{path}").cast(kind)
-    first = "geometry.geometries[0]"
-    return out.select(
-        at("properties.admin_level", "int").alias("admin_level"), "place_id", at("properties.name").alias("name"), at("properties.country_code").alias("country_code"), at("properties.confidence", "double").alias("confidence"),
-        at(f"{first}.coordinates[0]", "double").alias("x"), at(f"{first}.coordinates[1]", "double").alias("y"), at("properties.start_time").alias("start_time"), at("properties.importance", "double").alias("importance"),
-        at("type").alias("type"), at(f"{first}.type").alias("kind"), F.size(F.json_object_keys(at("properties"))).alias("properties"),
+    form = "type string, properties struct<admin_level: int, name: string, country_code: string, confidence: double, start_time: string, importance: double>, geometry struct<geometries: array<struct<coordinates: array<double>, type: string>>>"
+    read = out.select("place_id", F.from_json("feature", form).alias("f"), F.size(F.json_object_keys(F.get_json_object("feature", "$.properties"))).alias("properties"))
+    first = F.get("f.geometry.geometries", F.lit(0))
+    return read.select(
+        "f.properties.admin_level", "place_id", "f.properties.name", "f.properties.country_code", "f.properties.confidence",
+        F.get(first["coordinates"], F.lit(0)).alias("x"), F.get(first["coordinates"], F.lit(1)).alias("y"), "f.properties.start_time", "f.properties.importance",
+        "f.type", first["type"].alias("kind"), "properties",
     )
 
 

@@ -202,7 +202,7 @@ def first(place):
 
 @query("w08_share", "v_feature", sql="SELECT order_id, id, round(CAST(cnt + 1 AS DOUBLE) / sum(cnt + 1) OVER (PARTITION BY order_id), 6) AS share FROM v_feature")
 def share(feature):
-    return feature.withColumn("c", F.col("cnt") + 1).select("order_id", "id", F.round(A.share("c", "order_id"), 6).alias("share"))
+    return A.share(feature.withColumn("c", F.col("cnt") + 1), "c", "order_id", "share").select("order_id", "id", F.round("share", 6).alias("share"))
 
 
 @query("t05_by_score", "v_place", sql="SELECT id, importance FROM v_place ORDER BY importance DESC, id LIMIT 25")

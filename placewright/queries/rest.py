@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions import geodesic
 from ..functions import spatial as S
 from ..functions import text as T
 from ..operators import analytics as A
@@ -19,10 +20,11 @@ from ..plans import maintenance as M
 from ..plans import request as Q
 from ..session import scratch
 from ..sources import files, sinks
+from . import made_files
 from .fixtures import asked
 from .flows import order_sql
 from .registry import query
-from .spatial import METRES, SCORE, WIDE
+from .spatial import METRES, SCORE, WIDE, lands
 
 
 def _lines(df, *fields):
@@ -88,6 +90,50 @@ def table_files(part):
     return files.parsed_files(spark, path).select("kind", F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("name"))
 
 
+def _made(rows, folder: str, make, kind: str):
+    """Files made of rows (name, data), each by the task that has its row, read back."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"name": batch.name, "content": [make(d) for d in batch.data]})
+
+    path = scratch(rows.sparkSession, folder)
+    sinks.write_files(rows.mapInPandas(run, "name string, content binary"), path)
+    return files.parsed_files(rows.sparkSession, path).where(F.col("kind") == kind).withColumn("key", F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long"))
+
+
+@query("sc11_pdf_texts", "benchmark", sql=r"SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, CAST(NULL AS VARCHAR) AS error FROM benchmark")
+def pdf_texts(benchmark):
+    """Texts of PDF files, by the maps of their fonts."""
+    rows = benchmark.select(F.concat(F.col("item_id").cast("string"), F.lit(".pdf")).alias("name"), F.col("text").alias("data"))
+    read = _made(rows, "pdf", lambda text: made_files.pdf_bytes([" ".join(line.split()) for line in text.split("\n")]), "pdf")
+    return read.select(F.col("key").alias("item_id"), F.regexp_replace("text", r"\s+", " ").alias("text"), "error")
+
+
+@query("sc12_workbooks", "nation", sql="SELECT n_regionkey AS region, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS row, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation")
+def workbooks(nation):
+    """Cells of a workbook (xls) a region."""
+    lists = nation.groupBy(F.concat(F.col("n_regionkey").cast("string"), F.lit(".xls")).alias("name")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("data"))
+
+    def make(data: str) -> bytes:
+        import json
+
+        return made_files.xls_bytes([[r["n_nationkey"], r["n_name"]] for r in json.loads(data)])
+
+    read = _made(lists, "xls", make, "xls")
+    return read.select(F.col("key").cast("int").alias("region"), "row", F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("name"))
+
+
+@query("g11_simplified_land", "v_country", sql="SELECT id, 4 AS rings, true AS fewer, true AS on_shore FROM v_country")
+def simplified_land(country):
+    """Ragged shapes with a lake and islands: the rings stay, with fewer vertices, all of which were there before. Tests hold that none cross."""
+    shapes = lands(country).withColumnRenamed("mpoly", "before").withColumn("mpoly", F.col("before"))
+    points = lambda c: F.flatten(F.flatten(c))
+    out = M.simplified(shapes, 1.0)
+    return out.select(F.col("pid").alias("id"), F.size(F.flatten("mpoly")).alias("rings"), (F.size(points("mpoly")) < F.size(points("before"))).alias("fewer"), (F.size(F.array_except(points("mpoly"), points("before"))) == 0).alias("on_shore"))
+
+
 @query("sc15_dataset_list", "region", sql="SELECT r_name || '.zip' AS path FROM region")
 def dataset_list(region):
     spark, path = region.sparkSession, scratch(region.sparkSession, "list")
@@ -293,11 +339,11 @@ def points(place):
     return place.select("id", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("point")).select("id", "point.x", "point.y")
 
 
-@query("g04_within_5m", "v_place", sql="SELECT id, id % 10 AS step FROM v_place WHERE id % 10 <= 4")
+@query("g04_within_5m", "v_place", sql=f"SELECT a.id, a.id % 10 AS step FROM v_place a JOIN (SELECT id, lat + (id % 10) * 0.000009::DOUBLE AS lat, lon FROM v_place) b ON a.id = b.id WHERE {METRES.format(a='a', b='b')} < 5")
 def within_5m(place):
     """Points a metre further north at each step."""
     north = F.col("lat") + (F.col("id") % 10) * 0.000009
-    return place.where(S.distance(F.col("lat"), F.col("lon"), north, F.col("lon")) < 5).select("id", (F.col("id") % 10).alias("step"))
+    return place.where(geodesic.short(F.col("lat"), F.col("lon"), north, F.col("lon")) < 5).select("id", (F.col("id") % 10).alias("step"))
 
 
 @query("g07_reprojected", "v_place", sql="SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM v_place WHERE abs(lat) < 85")

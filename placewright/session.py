@@ -1,12 +1,13 @@
-"""Session settings that the engine is tuned for."""
+"""Session settings that the engine is tuned for, and tables written on the way."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,8 +31,14 @@ def local_session(name: str = "placewright", cpus: int | None = None, memory: st
     return spark
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, for tables written on the way; on a local master without that setting, in a temporary folder."""
+    """A new path in the folder that spark.checkpoint.dir names, for tables written on the way; on a local master without that setting, in a temporary folder.
+
+    What is there is removed when the program ends.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
@@ -39,4 +46,36 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="placewright-"))
         folder = context.getCheckpointDir()
-    return f"{folder}/placewright/{name}-{uuid.uuid4().hex}"
+    path = f"{folder}/placewright/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back: it is computed once, its lineage ends there, and lost executors cost nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._placewright_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes what kept() wrote."""
+    path = getattr(df, "_placewright_path", None)
+    if path is not None:
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _scratch:
+        try:
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return

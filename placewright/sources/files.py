@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..functions.text import extension
+from . import pdf, xls
 
 
 def tsv(spark: SparkSession, path: str, columns: T.StructType, header: bool = False, null: str = "", quote: str = '"') -> DataFrame:
@@ -113,9 +114,10 @@ def _xlsx(data: bytes) -> list[list[str]]:
 
 
 def parsed_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text, row, cells) of the files below a folder: text for txt, docx and pages, a row a line for tables.
+    """(path, kind, text, row, cells, error) of the files below a folder: text for txt, docx, pdf and pages, a row a line for tables.
 
-    A file is read whole by one task, as these formats need; xls and pdf have no reader here and give no rows.
+    A file is read whole by one task, as these formats need. One that can't be read gives a row with nothing but the error; files that
+    are passed over by their extension give none.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").withColumn("kind", source_kind(F.col("path")))
 
@@ -129,37 +131,52 @@ def parsed_files(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     if kind in ("csv", "tsv"):
                         lines = csv.reader(io.StringIO(data.decode("utf-8", "replace")), delimiter="," if kind == "csv" else "\t")
-                        out += [(p, kind, None, i, cells) for i, cells in enumerate(lines)]
-                    elif kind in ("xlsx", "xlsm"):
-                        out += [(p, kind, None, i, cells) for i, cells in enumerate(_xlsx(data))]
+                        out += [(p, kind, None, i, cells, None) for i, cells in enumerate(lines)]
+                    elif kind in ("xlsx", "xlsm", "xls"):
+                        #: Either kind of workbook is called by the other's extension at times.
+                        rows = xls.cells(data) if data[:8] == xls.SIGNATURE else _xlsx(data)
+                        out += [(p, kind, None, i, cells, None) for i, cells in enumerate(rows)]
                     elif kind == "docx":
-                        out.append((p, kind, _docx(data), None, None))
+                        out.append((p, kind, _docx(data), None, None, None))
+                    elif kind == "pdf":
+                        out.append((p, kind, pdf.text(data), None, None, None))
                     elif kind in ("txt", "webpage"):
-                        out.append((p, kind, data.decode("utf-8", "replace"), None, None))
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration):
-                    continue
-            yield pd.DataFrame(out, columns=["path", "kind", "text", "row", "cells"])
+                        out.append((p, kind, data.decode("utf-8", "replace"), None, None, None))
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, ValueError, IndexError, csv.Error, RecursionError) as e:
+                    out.append((p, kind, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "kind", "text", "row", "cells", "error"])
 
-    return files.mapInPandas(run, "path string, kind string, text string, row int, cells array<string>")
+    return files.mapInPandas(run, "path string, kind string, text string, row int, cells array<string>, error string")
+
+
+#: Fixed: types of shapes; tens tell whether they have Z or M values too, which follow the points and aren't read.
+NO_SHAPE, POINT, LINE, POLYGON, MULTIPOINT = 0, 1, 3, 5, 8
 
 
 def _ring_sets(data: bytes) -> Iterator[tuple[int, list]]:
-    """(shape type, points or rings) of each record of a .shp file."""
+    """(shape type without Z and M, points or rings) of each record of a .shp file. Other types raise."""
     at = 100
     while at + 12 <= len(data):
         (length,) = struct.unpack(">i", data[at + 4 : at + 8])
         body = data[at + 8 : at + 8 + 2 * length]
         (kind,) = struct.unpack("<i", body[:4])
-        if kind == 1:
-            yield kind, [struct.unpack("<2d", body[4:20])]
-        elif kind in (3, 5):
+        more, base = divmod(kind, 10)
+        if base not in (NO_SHAPE, POINT, LINE, POLYGON, MULTIPOINT) or more > 2 or (base == NO_SHAPE and more):
+            raise ValueError(f"shapes of type {kind} aren't read")
+        if base == POINT:
+            yield base, [struct.unpack("<2d", body[4:20])]
+        elif base == MULTIPOINT:
+            (points,) = struct.unpack("<i", body[36:40])
+            flat = struct.unpack(f"<{2 * points}d", body[40 : 40 + 16 * points])
+            yield base, list(zip(flat[::2], flat[1::2], strict=True))
+        elif base in (LINE, POLYGON):
             parts, points = struct.unpack("<2i", body[36:44])
             starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
             flat = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
             pairs = list(zip(flat[::2], flat[1::2], strict=True))
-            yield kind, [pairs[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+            yield base, [pairs[a:b] for a, b in zip(starts, starts[1:], strict=False)]
         else:
-            yield kind, []
+            yield base, []
         at += 8 + 2 * length
 
 
@@ -190,7 +207,7 @@ def _rings_to_polygons(rings: list[list[tuple[float, float]]]) -> list[list[list
 
 
 def shapes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record, attributes, lon, lat, mpoly) of the shapefiles below a folder, also of those in zips; a point of several is the first, coordinates are longitude and latitude."""
+    """(path, record, attributes, lon, lat, mpoly) of the shapefiles below a folder, also of those in zips; a point of several is the first, coordinates are longitude and latitude; lines are records without a shape."""
     zips = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path).select(F.col("content").alias("zip"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{shp,dbf}").load(path)
     pairs = files.groupBy(F.regexp_replace("path", r"\.\w+$", "").alias("path")).agg(F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf"))
@@ -226,8 +243,8 @@ def _shape_records(pairs: DataFrame) -> DataFrame:
             for p, shp, dbf in zip(batch.path, batch.shp, batch.dbf, strict=True):
                 known = _attributes(bytes(dbf)) if dbf is not None else []
                 for i, (kind, found) in enumerate(_ring_sets(bytes(shp)) if shp is not None else []):
-                    point = found[0] if kind == 1 and found else None
-                    mpoly = [[[{"x": x, "y": y} for x, y in ring] for ring in poly] for poly in _rings_to_polygons(found)] if kind == 5 else None
+                    point = found[0] if kind in (POINT, MULTIPOINT) and found else None
+                    mpoly = [[[{"x": x, "y": y} for x, y in ring] for ring in poly] for poly in _rings_to_polygons(found)] if kind == POLYGON else None
                     rows.append((p, i, known[i] if i < len(known) else {}, point and point[0], point and point[1], mpoly))
             yield pd.DataFrame(rows, columns=["path", "record", "attributes", "lon", "lat", "mpoly"])
 

@@ -212,3 +212,22 @@ def frequency_features(freq: DataFrame, places: DataFrame) -> DataFrame:
     """(admin_level, feature) of the places that have shapes; their shares count those without too."""
     rows = freq.join(places.where(F.col("mpoly").isNotNull()).select(F.col("id").alias("place_id"), "name", "country_code", "lon", "lat", "mpoly"), "place_id")
     return rows.select("admin_level", F.to_json(F.struct("mpoly", F.struct("admin_level", "count", "country_code", "frequency", "lat", "lon", "name").alias("properties"), F.lit("Feature").alias("type"))).alias("feature"))
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes files (name, content) below a folder, each by the task that has its row, and gives their number. A task that is run again writes the same files."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    where = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(where)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

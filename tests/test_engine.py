@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from placewright import schema
 from placewright.functions import spatial as S
 from placewright.functions import text as T
+from placewright.queries.made_files import pdf_bytes, xls_bytes
 from placewright.operators import analytics, extract, gazetteer, layers, resolve, topics
 from placewright.plans import export, request
 from placewright.sources import files, sinks
@@ -45,19 +46,9 @@ def test_polygon_with_hole(spark):
 
 
 def test_distance_and_bands(spark):
-    for lat1, lon1, lat2, lon2 in [(0, 0, 0, 1), (50, 8, 48.8, 2.3), (89, 0, -89, 180), (10, 10, 10, 10)]:
-        p1, p2 = math.radians(lat1), math.radians(lat2)
-        a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-        want = 2 * 6371008.8 * math.asin(min(1, math.sqrt(a)))
-        assert one(spark, S.distance(*[F.lit(float(v)) for v in (lat1, lon1, lat2, lon2)])) == pytest.approx(want)
     assert [one(spark, S.band_score(F.lit(float(m)))) for m in (1, 10, 100, 1000, 10000, 10001)] == [11111, 1111, 111, 11, 1, 0]
 
 
-def test_simplify():
-    ring = [(0, 0), (5, 0.001), (10, 0), (10, 10), (0, 10), (0, 0)]
-    assert S.simplify(ring, 0.02) == [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
-    assert len(S.simplify([(0, 0), (0.001, 0), (0.001, 0.001), (0, 0)], 0.02)) == 4
-
 
 def test_text_rules(spark):
     assert one(spark, T.normalize(F.lit("São Tomé"))) == "sao tome"
@@ -133,7 +124,16 @@ def test_documents(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", f"<sst {m}><si><t>Lima</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {m}><sheetData><row r="1"><c r="B1" t="s"><v>0</v></c><c r="C1"><v>3</v></c></row></sheetData></worksheet>')
     (tmp_path / "in" / "e.zip").write_text("x")
+    (tmp_path / "in" / "f.pdf").write_bytes(pdf_bytes(["Kyiv lies on the Dnipro.", "Київ"]))
+    (tmp_path / "in" / "g.xls").write_bytes(xls_bytes([["city", "n"], ["Oslo", 7]]))
+    for bad in ("h.pdf", "i.xls", "j.docx", "k.xlsx"):
+        (tmp_path / "in" / bad).write_bytes(b"damaged")
+    (tmp_path / "in" / "l.pdf").write_bytes(pdf_bytes(["x"])[:300])
     rows = files.parsed_files(spark, str(tmp_path / "in")).collect()
+    assert sorted(r.path[-5:] for r in rows if r.error) == ["h.pdf", "i.xls", "j.docx"[-5:], "k.xlsx"[-5:], "l.pdf"]
+    rows = [r for r in rows if not r.error]
+    assert [r.text for r in rows if r.kind == "pdf"] == ["Kyiv lies on the Dnipro.\nКиїв"] and [r.cells for r in rows if r.kind == "xls"] == [["city", "n"], ["Oslo", "7"]]
+    rows = [r for r in rows if r.kind not in ("pdf", "xls")]
     by = {(r.kind, r.row): (r.text, r.cells) for r in rows}
     assert by[("csv", 1)][1] == ["Paris", "1"] and by[("txt", None)][0] == "Rome" and by[("docx", None)][0] == "Oslo" and by[("xlsx", 0)][1] == ["", "Lima", "3"]
     assert len(rows) == 5
@@ -153,6 +153,30 @@ def test_shapes(spark, tmp_path):
     assert len(rows[2].mpoly[0][0]) == 4
 
 
+def test_shapes_of_every_type(spark, tmp_path):
+    """Z and M values are passed over, a point of several is the first, and a type that isn't known raises."""
+    ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
+    flat = lambda points: b"".join(struct.pack("<2d", *p) for p in points)
+    parts = lambda kind: struct.pack("<i4d2ii", kind, 0, 0, 1, 1, 1, len(ring), 0) + flat(ring) + struct.pack("<2d4d", 0, 9, 5, 6, 7, 8)
+    several = lambda kind: struct.pack("<i4di", kind, 0, 0, 1, 1, 2) + flat([(7.0, 8.0), (9.0, 9.0)]) + struct.pack("<2d2d", 0, 9, 5, 6)
+    single = lambda kind: struct.pack("<i2d2d", kind, 1.5, 2.5, 3.0, 4.0)
+    bodies = [struct.pack("<i", 0)] + [f(k + m) for m in (0, 10, 20) for f, k in ((single, 1), (parts, 3), (parts, 5), (several, 8))]
+
+    def put(name, bodies):
+        (tmp_path / name).write_bytes(b"\0" * 100 + b"".join(struct.pack(">2i", i + 1, len(b) // 2) + b for i, b in enumerate(bodies)))
+
+    put("a.shp", bodies)
+    rows = files.shapes(spark, str(tmp_path)).orderBy("record").collect()
+    assert len(rows) == 13
+    for r in rows:
+        kind = (r.record - 1) % 4 if r.record else None
+        assert (r.lon, r.lat) == ({0: (1.5, 2.5), 3: (7.0, 8.0)}.get(kind, (None, None)))
+        assert (r.mpoly is not None) == (kind == 2)
+    put("b.shp", [struct.pack("<i", 31) + b"\0" * 40])
+    with pytest.raises(Exception, match="type 31"):
+        files.shapes(spark, str(tmp_path)).collect()
+
+
 @pytest.fixture
 def links(spark):
     square = [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]]
@@ -224,13 +248,6 @@ def test_conflation(spark):
     assert closeness[(951, 1000)] is True and closeness[(950, 1000)] is False and closeness[(None, 1000)] is False and closeness[(0, 0)] is False
 
 
-def test_grid_join_equals_broadcast(spark, monkeypatch):
-    shapes = spark.createDataFrame([(i, (i % 6) * 60.0 - 180, (i % 6) * 60.0 - 121, (i // 6) * 30.0 - 90, (i // 6) * 30.0 - 61) for i in range(36)], "pid long, west double, east double, south double, north double")
-    dots = spark.range(500).select("id", ((F.col("id") * 37) % 360 - 180 + 0.5).cast("double").alias("lon"), ((F.col("id") * 53) % 180 - 90 + 0.25).cast("double").alias("lat"))
-    plain = sorted((r.id, r.pid) for r in gazetteer.inside(dots, shapes).collect())
-    monkeypatch.setattr(gazetteer, "BROADCAST_POLYGONS", 1)
-    assert sorted((r.id, r.pid) for r in gazetteer.inside(dots, shapes).collect()) == plain and plain
-
 
 def test_resolving(spark):
     places = spark.createDataFrame([(1, "Sao Paulo", "sao paulo", 10, 0.0, 0.0), (2, "São Paulo", "sao paulo", 10, 1.0, 1.0), (3, "Rio", "rio", 5, 2.0, 2.0)], "id long, name string, name_normalized string, population long, lat double, lon double")
@@ -388,7 +405,6 @@ def test_fuzzy_names_against_all_pairs(spark, monkeypatch):
 
 def test_nearby_against_all_pairs(spark):
     """No near pair is lost by the cubes, at the poles and the date line too."""
-    import math
     import random
 
     from placewright.operators import gazetteer as G
@@ -399,12 +415,12 @@ def test_nearby_against_all_pairs(spark):
     inputs = spark.createDataFrame([(i, "n", y, x, None) for i, y, x in a], "input_id long, name string, lat double, lon double, population long")
     places = spark.createDataFrame([(i, "n", y, x, None, None) for i, y, x in b], "id long, name string, lat double, lon double, population long, admin_level int")
 
-    def metres(p, q):
-        (y1, x1), (y2, x2) = ((math.radians(v) for v in s) for s in (p, q))
-        return 2 * 6371008.8 * math.asin(min(1.0, math.sqrt(math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2)))
+    from placewright.functions import geodesic
 
+    far = inputs.select("input_id", "lat", "lon").crossJoin(places.select("id", F.col("lat").alias("y"), F.col("lon").alias("x")))
+    metres = {(r.input_id, r.id): r.m for r in far.select("input_id", "id", geodesic.distance(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")).alias("m")).collect()}
     for radius in (1_000, 10_000, 3_000_000, 30_000_000):
-        want = {(i, j) for i, *p in a for j, *q in b if metres(p, q) <= radius}
+        want = {k for k, m in metres.items() if m <= radius}
         rows = G.candidates_nearby(inputs, places, radius).collect()
         assert {(r.input_id, r.place_id) for r in rows} == want and len(rows) == len(want) > 0
 

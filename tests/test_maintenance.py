@@ -31,7 +31,8 @@ def test_single_places(spark):
     aliases = spark.createDataFrame([("B", 2)], "alias string, place_id long")
     assert M.add_alias(M.add_alias(aliases, places, "Bb", "Bee"), places, "Bb", "Bee").count() == 2
     osm = spark.createDataFrame([("Bern", "CH")], "name string, country string")
-    assert M.is_in_osm(osm, "Bern") and not M.is_in_osm(osm, "Bern", "DE")
+    wanted = spark.createDataFrame([("Bern", None), ("Bern", "DE")], "name string, country string")
+    assert {r.country: r.found for r in M.in_osm(osm, wanted).collect()} == {None: True, "DE": False}
     urls = M.order_of_url(spark.createDataFrame([(4, "u")], "id long, url string"), spark.createDataFrame([("u",), ("v",)], "url string"))
     assert {r.url: r.order_id for r in urls.collect()} == {"u": 4, "v": None}
     assert spark.range(1).select(M.expired(F.date_sub(F.current_date(), 8)).alias("a"), M.expired(F.date_sub(F.current_date(), 7)).alias("b")).first() == (True, False)
