@@ -177,6 +177,8 @@ class File:
                     raw = inflate.decompress(raw)
                 except zlib.error as e:
                     raise Damaged(f"a stream can't be inflated: {e}") from None
+                if not inflate.eof:
+                    raise Damaged("a stream ends early")
                 raw = _unpredicted(raw, hows[i] if i < len(hows) else {})
             elif kind in ("ASCIIHexDecode", "AHx"):
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw.split(b">")[0])
@@ -214,6 +216,8 @@ class File:
 def _letters(file: File, font: dict):
     """What turns a string of a font into text."""
     found = file.get(font.get("ToUnicode"))
+    if found is None and "ToUnicode" in font:
+        raise Damaged("a font's map is missing")
     if isinstance(found, tuple):
         codes, widths = _unicode_map(file.stream(found))
         if codes:
@@ -304,6 +308,8 @@ def _shown(file: File, body: bytes, resources: dict, depth: int = 0) -> str:
                 name, size = operands[-2], float(operands[-1])
                 if name not in known:
                     font = file.get(fonts.get(name))
+                    if font is None and name in fonts:
+                        raise Damaged("a font is missing")
                     known[name] = _letters(file, font if isinstance(font, dict) else {})
                 letters = known[name]
             elif token in (b"Td", b"TD"):
@@ -348,6 +354,8 @@ def text(data: bytes) -> str:
     for page in pages:
         parts = file.get(page.get("Contents"))
         parts = [file.get(p) for p in parts] if isinstance(parts, list) else [parts]
+        if "Contents" in page and not all(isinstance(p, tuple) for p in parts):
+            raise Damaged("the contents of a page are missing")
         body = b"\n".join(file.stream(p) for p in parts if isinstance(p, tuple))
         shown = _shown(file, body, file.get(page.get("Resources")) or {})
         out.append("\n".join(line.strip() for line in shown.split("\n") if line.strip()))
