@@ -230,7 +230,7 @@ def country_of_point(place, country):
 def within(place):
     """Places of one name within a radius of each other, themselves included."""
     inputs = place.select(F.col("id").alias("input_id"), "name", "lat", "lon", "population")
-    return G.candidates_nearby(inputs, place, 1_000_000).select(F.col("input_id").alias("a"), F.col("place_id").alias("b"))
+    return G.candidates_nearby(inputs, place, 1_000_000, exact=False).select(F.col("input_id").alias("a"), F.col("place_id").alias("b"))
 
 
 @query("a12_repeated_tokens", "part", sql="SELECT token, count(*) AS count FROM (SELECT unnest(string_split(p_name || ' only' || p_partkey, ' ')) AS token FROM part) GROUP BY 1 HAVING count(*) > 1")
@@ -268,7 +268,7 @@ def unordered(place):
 def score_order(place):
     """Candidates of each place by their score."""
     inputs = place.select(F.col("id").alias("input_id"), "name", "lat", "lon", "population")
-    scored = G.candidates_nearby(inputs, place, 1_000_000, WIDE, "osm")
+    scored = G.candidates_nearby(inputs, place, 1_000_000, WIDE, "osm", exact=False)
     order = Window.partitionBy("input_id").orderBy(F.desc("score"), "place_id")
     return scored.select(F.col("input_id").alias("a"), F.col("place_id").alias("b"), F.col("score").cast("int").alias("score"), F.row_number().over(order).cast("long").alias("place"))
 

@@ -166,3 +166,32 @@ def test_simplify_lands():
     assert crossings(shape) == 0
     for tolerance in (0.005, 0.03, 0.2):
         assert crossings(simplify.simplified(shape, tolerance)) == 0
+
+
+def _broadcasts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def _places(spark, n: int = 200):
+    none = F.lit(None).cast("long")
+    return spark.range(n).select("id", F.lit("n").alias("name"), F.lit("c").alias("country_code"), (F.col("id") % 50).cast("double").alias("lat"), (F.col("id") % 7).cast("double").alias("lon"), none.alias("population"), none.cast("int").alias("admin_level"))
+
+
+def test_places_near_inputs_are_not_broadcast(spark):
+    """Small in Parquet isn't small in memory; only inputs that are said to be few are sent to all."""
+    places = _places(spark)
+    inputs = places.withColumnRenamed("id", "input_id").drop("admin_level")
+    assert _broadcasts(gazetteer.candidates_nearby(inputs, places, 1_000_000)) == 0
+    assert _broadcasts(gazetteer.candidates_nearby(inputs.limit(1), places, few=True)) == 1
+
+
+def test_bands_are_told_as_by_the_exact_distance(spark):
+    """Points about each limit of a band, where the sphere is wrong."""
+    rows = [(i, 40.0, 3.0, 40.0 + limit * (0.985 + 0.0003 * k) / 111_000 * (k % 2), 3.0 + limit * (0.985 + 0.0003 * k) / 85_000 * ((k + 1) % 2)) for i, (limit, k) in enumerate((x, k) for x in (1, 10_000, 500_000) for k in range(100))]
+    ends = [F.col(c) for c in ("a", "b", "c", "d")]
+    df = spark.createDataFrame([*rows, (-1, None, 3.0, 4.0, 5.0)], "i long, a double, b double, c double, d double")
+    limits = (1, 10_000, 500_000)
+    told = [(geodesic.telling(*ends, limits) <= x).alias(f"t{x}") for x in limits]
+    exact = [(geodesic.distance(*ends) <= x).alias(f"e{x}") for x in limits]
+    for r in df.select("i", *told, *exact).collect():
+        assert all(r[f"t{x}"] == r[f"e{x}"] for x in limits), r
