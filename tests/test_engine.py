@@ -494,3 +494,25 @@ def test_topics_are_singular_vectors(spark):
     assert np.allclose(got.T @ got, np.eye(3), atol=1e-8)
     best = {r.i: r.topic_id for r in model.topic(df).collect()}
     assert best == {i: int(np.argmax(np.round(bags[i] @ got, 9))) for i in range(90)}
+
+
+def test_names_are_counted_without_comparing_each_with_the_whole_text():
+    """Counts and first sentences against a plain search; a long text of different words takes no time that grows with its square."""
+    import random
+    import time
+
+    from placewright.operators import extract as E
+
+    rng = random.Random(3)
+    for few in (E.FEW, 0):
+        E.FEW, kept = few, E.FEW
+        for _ in range(200):
+            text = "".join(rng.choice(["aa", "ab", "Aaaa", " ", " ", ". ", "\n", "Bo Aaaa ", " ", "x" * 70]) for _ in range(60))
+            listed = list(dict.fromkeys([w for w in text.split(" ") if len(w) > 3 and (few or not set(w) & set(".\n"))] + ["Bo Aaaa"] * ("Bo Aaaa" in text)))
+            sentences = E._SENTENCE.split(text)
+            assert E.counted_names(text, listed) == [(max(1, text.count(n)), next((s for s in sentences if n in s), None)) for n in listed]
+        E.FEW = kept
+    words = [f"{i:06d}w" for i in range(12_000)]
+    began = time.process_time()
+    assert {c for c, _ in E.counted_names(" ".join(words), words)} == {1}
+    assert time.process_time() - began < 0.5
