@@ -195,3 +195,12 @@ def test_bands_are_told_as_by_the_exact_distance(spark):
     exact = [(geodesic.distance(*ends) <= x).alias(f"e{x}") for x in limits]
     for r in df.select("i", *told, *exact).collect():
         assert all(r[f"t{x}"] == r[f"e{x}"] for x in limits), r
+
+
+def test_places_on_the_border_of_a_polygon_are_not_matched(spark):
+    """A box of which places lie on each side, at a corner and, one of them, within."""
+    places = spark.createDataFrame([(i, "n", "c", y, x, None, 1) for i, (x, y) in enumerate([(0.0, 5.0), (10.0, 5.0), (5.0, 0.0), (5.0, 10.0), (0.0, 0.0), (5.0, 5.0)])], "id long, name string, country_code string, lat double, lon double, population long, admin_level int")
+    rows = spark.createDataFrame([(1, "n", "c", 1.0, 1.0, 1)], "input_id long, name string, country_code string, lat double, lon double, admin_level int")
+    box = lambda top: rows.withColumn("mpoly", spatial.box_polygon(F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(top)))
+    assert [(r.place_id, r.match_rank) for r in gazetteer.match_places(box(10.0), places).collect()] == [(5, 2)]
+    assert gazetteer.match_places(box(10.0), places.where("id < 5")).count() == 0
