@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import extract, resolve
+from ..session import kept
 from ..sources.files import source_kind
 
 #: Fixed: values that count as true in forms, and formats that a map may have.
@@ -127,7 +128,8 @@ def set_correct(featureplace: DataFrame, changes: DataFrame) -> DataFrame:
 def geolocate(docs: DataFrame, key: str, places: DataFrame) -> DataFrame:
     """(key, latitude, longitude) of each text's first correct place by name."""
     found = extract.names_in_text(docs, key, pattern_only=True).select(F.col(key).alias("order_id"), "name", F.lit(0).alias("position"))
-    feature, fp = resolve.resolve_locations(found, places)
+    #: Kept, as features and links are both made of them: texts are read once.
+    feature, fp = resolve.resolve_locations(kept(found, "names"), places)
     rows = fp.where("correct").join(feature.select("feature_id", "name"), "feature_id").join(places.select(F.col("id").alias("place_id"), "lat", "lon"), "place_id")
     return rows.groupBy(F.col("order_id").alias(key)).agg(F.min_by(F.struct("lat", "lon"), F.struct("name", "place_id")).alias("_p")).select(key, F.col("_p.lat").alias("latitude"), F.col("_p.lon").alias("longitude"))
 
