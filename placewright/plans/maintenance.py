@@ -84,9 +84,9 @@ def load_dataset(layer: DataFrame, name: str, places: DataFrame, countries: Data
 def conflate_one(places: DataFrame, name: str, lat: float, lon: float, population: int | None = None, country_code: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(places after one place went in, the id it has): the best same-name place within 10 km or a new one."""
     row = places.sparkSession.createDataFrame([(1, name, lat, lon, country_code, population)], "input_id long, name string, lat double, lon double, country_code string, population long")
-    found = gazetteer.best(gazetteer.candidates_nearby(row, places), "input_id").select("place_id")
+    found = gazetteer.best(gazetteer.candidates_nearby(row, places, exact=False, few=True), "input_id").select("place_id")
     last = places.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next"))
-    return gazetteer.conflate(row, places), last.join(found, F.lit(True), "left").select(F.coalesce("place_id", "next").alias("id"))
+    return gazetteer.conflate(row, places, few=True), last.join(found, F.lit(True), "left").select(F.coalesce("place_id", "next").alias("id"))
 
 
 def in_osm(osm: DataFrame, wanted: DataFrame) -> DataFrame:
