@@ -1,8 +1,8 @@
 """Points of one name that lie near each other, directly or by way of others, as clusters.
 
 Points are put into cubes so small that any two in a cube are near, so a cube is one node, however many points it holds.
-Neighbouring cubes are joined by an edge if a point of one is near a point of the other. That is told without pairing their points
-where they are many: cubes are cut into smaller ones until two of those are surely near, or all are too far, or few points are left to
+Neighbouring cubes are joined by an edge if a point of one is near a point of the other. Cubes of few points carry them along and
+are compared where they meet. Where points are many, that is told without pairing them: cubes are cut into smaller ones until two of those are surely near, or all are too far, or few points are left to
 compare. Components of the edges are found by stars: alternately every node hands its larger and its smaller neighbours to
 the smallest one it knows, until nothing changes; the rounds grow with the logarithm of the longest chain.
 """
@@ -21,6 +21,8 @@ from ..session import drop, kept
 CUT = 8
 #: Pairs of points of two cubes that are compared one by one, at most; beyond, the cubes are cut.
 PAIRS = 4096
+#: Cubes along each side of a block, in which neighbouring cubes meet.
+BLOCK = 16
 #: How often cubes are cut: the last are a tenth of a millimetre wide for a radius of 10 km, and points in one are then one.
 DEEPEST = 9
 #: The spheroid's distances differ from the sphere's by less than this share.
@@ -50,29 +52,59 @@ def clusters(points: DataFrame, radius: float = 10_000) -> DataFrame:
     sure, maybe = _chord(radius * (1 - SLACK)), _chord(radius * (1 + SLACK))
     side = sure / math.sqrt(3)
     rows = points.select("input_id", "name", "lat", "lon")
-    placed = kept(rows.where("name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").withColumn("cube", _cube(side)), "placed")
-    nodes = kept(placed.groupBy("name", "cube").agg(F.min("input_id").alias("node")), "nodes")
-    edges = _edges(placed, nodes, side, radius, sure, maybe)
+    placed = kept(rows.where("name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"), "placed").withColumn("cube", _cube(side))
+    node = placed.groupBy("name", "cube").agg(F.min("input_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    tagged = kept(placed.join(node, ["name", "cube"]).select("input_id", "node", "n", "name", "lat", "lon"), "tagged")
+    #: A cube of few points carries them along; of others, one tells where the cube is.
+    spot, few = F.struct("lat", "lon"), F.col("n") <= math.isqrt(PAIRS)
+    nodes = kept(tagged.groupBy("node").agg(F.first("name").alias("name"), F.min("lat").alias("_lat"), F.min_by("lon", "lat").alias("_lon"), F.collect_set(F.when(few, spot)).alias("dots")), "nodes")
+    found = components(_edges(placed, nodes, side, radius, sure, maybe))
+    known = tagged.select("input_id", "node").join(found, F.col("node") == F.col("member"), "left").select("input_id", F.coalesce("cluster", "node").alias("cluster"))
     lost = rows.where("name IS NULL OR lat IS NULL OR lon IS NULL").select("input_id", F.col("input_id").alias("cluster"))
-    if edges is None:
-        return placed.join(nodes, ["name", "cube"]).select("input_id", F.col("node").alias("cluster")).unionByName(lost)
-    found = components(edges)
-    of = nodes.join(found, F.col("node") == F.col("member"), "left").select(F.col("name").alias("_n"), F.col("cube").alias("_c"), F.coalesce("cluster", "node").alias("cluster"))
-    known = placed.join(of, (F.col("name") == F.col("_n")) & (F.col("cube") == F.col("_c"))).select("input_id", "cluster")
     return known.unionByName(lost)
 
 
-def _edges(placed: DataFrame, nodes: DataFrame, side: float, radius: float, sure: float, maybe: float) -> DataFrame | None:
-    """(a, b) of nodes that have points near each other; none if no two cubes are neighbours."""
-    reach = range(-2, 3)
-    #: Half of the neighbours, as each pair is met once.
-    ahead = [(x, y, z) for x in reach for y in reach for z in reach if (x, y, z) > (0, 0, 0)]
-    steps = F.explode(F.array(*[F.struct((F.col("cube.c0") + x).alias("c0"), (F.col("cube.c1") + y).alias("c1"), (F.col("cube.c2") + z).alias("c2")) for x, y, z in ahead])).alias("_beside")
-    other = nodes.select(F.col("name").alias("_name"), F.col("cube").alias("other"), F.col("node").alias("b"))
-    pairs = nodes.select("name", "cube", F.col("node").alias("a"), steps).join(other, (F.col("name") == F.col("_name")) & (F.col("_beside") == F.col("other")))
-    pairs = kept(pairs.where(_gap(F.col("cube"), F.col("other"), side, -1) <= maybe).select("name", "a", "b", F.col("cube").alias("one"), "other"), "pairs")
-    if pairs.isEmpty():
-        return None
+def _beside(nodes: DataFrame, side: float, maybe: float) -> DataFrame:
+    """(name, a, one, dots_a, b, other, dots_b): each pair of nodes of a name that may have points near each other, once.
+
+    Cubes meet in blocks: one of the pair is in its own block alone, the other in every block that it reaches two cubes far. So a cube is
+    shuffled about three times, not once for each of its 62 neighbours, and a block holds no more cubes than the sphere has there.
+    """
+    cube = F.struct(*[F.floor(v / side).alias(f"c{i}") for i, v in enumerate(spatial.axes(F.col("_lat"), F.col("_lon")))])
+    of = nodes.select("name", "node", "dots", cube.alias("cube"))
+    one = of.select(F.col("name"), F.col("node").alias("a"), F.col("cube").alias("one"), F.col("dots").alias("dots_a"), *[_block(i, 0).alias(f"_b{i}") for i in range(3)])
+    other = _reached(of).select(F.col("name").alias("_name"), F.col("node").alias("b"), F.col("cube").alias("other"), F.col("dots").alias("dots_b"), "_o0", "_o1", "_o2")
+    met = (F.col("name") == F.col("_name")) & (F.col("_b0") == F.col("_o0")) & (F.col("_b1") == F.col("_o1")) & (F.col("_b2") == F.col("_o2"))
+    pairs = one.join(other.hint("merge"), met & (F.col("other") > F.col("one")) & (_gap(F.col("one"), F.col("other"), side, -1) <= maybe))
+    return pairs.select("name", "a", "one", "dots_a", "b", "other", "dots_b")
+
+
+def _block(i: int, off: int) -> Column:
+    return F.floor((F.col(f"cube.c{i}") + off) / BLOCK)
+
+
+def _reached(cubes: DataFrame) -> DataFrame:
+    """A row for each block that a cube reaches: blocks of cubes that it's ahead of, so never behind it along the first axis."""
+    out = cubes.withColumn("_o0", F.explode(F.sequence(_block(0, -2), _block(0, 0))))
+    for i in (1, 2):
+        out = out.withColumn(f"_o{i}", F.explode(F.sequence(_block(i, -2), _block(i, 2))))
+    return out
+
+
+def _edges(placed: DataFrame, nodes: DataFrame, side: float, radius: float, sure: float, maybe: float) -> DataFrame:
+    """(a, b) of nodes that have points near each other; a pair may come more than once."""
+    pairs = _beside(nodes, side, maybe)
+    each = pairs.select("a", "b", F.explode("dots_a").alias("p"), "dots_b").select("a", "b", "p", F.explode("dots_b").alias("q"))
+    ends = [F.col(c) for c in ("p.lat", "p.lon", "q.lat", "q.lon")]
+    edges = each.where(geodesic.sphere(*ends) <= radius * (1 + SLACK)).where(geodesic.within(*ends, radius)).select("a", "b")
+    if nodes.where(F.size("dots") == 0).isEmpty():
+        return edges
+    many = kept(pairs.where((F.size("dots_a") == 0) | (F.size("dots_b") == 0)).select("name", "a", "b", "one", "other"), "pairs")
+    return edges if many.isEmpty() else edges.unionByName(_cut(placed, many, side, radius, sure, maybe))
+
+
+def _cut(placed: DataFrame, pairs: DataFrame, side: float, radius: float, sure: float, maybe: float) -> DataFrame:
+    """(a, b) of the pairs that have points near each other, told by cutting their cubes."""
     near = placed.join(pairs.select("name", F.col("one").alias("cube")).unionByName(pairs.select("name", F.col("other").alias("cube"))).distinct(), ["name", "cube"], "left_semi")
     dots = kept(near.groupBy("name", "lat", "lon").agg(F.first("cube").alias("root")), "dots")
     done: DataFrame | None = None
@@ -111,22 +143,27 @@ def _edges(placed: DataFrame, nodes: DataFrame, side: float, radius: float, sure
 def components(edges: DataFrame) -> DataFrame:
     """(member, cluster) of the nodes of edges (a, b): the smallest node of each one's component."""
     edges = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
-        before = edges
-        larger = _star(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger=True)
-        edges = kept(_star(larger, larger=False), "edges")
-        same = before.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(before, ["a", "b"], "left_anti").isEmpty()
+    while not edges.isEmpty():
+        before, larger = edges, kept(_larger(edges), "larger")
+        edges = kept(_smaller(larger), "edges")
         drop(before)
-        if same:
+        drop(larger)
+        if edges.where("moved").isEmpty():
             break
     return edges.select(F.col("a").alias("member"), F.col("b").alias("cluster")).unionByName(edges.select(F.col("b").alias("member"), F.col("b").alias("cluster")).distinct())
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Each node's neighbours b that are larger (or all, of edges that lead to smaller ones) lead to the smallest that it knows, itself included."""
-    least = edges.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("_m", F.col("a")).alias("_m"))
-    known = edges.join(least, F.col("a") == F.col("_a"))
-    if larger:
-        return known.where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
-    moved = known.select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(least.select(F.col("_a").alias("a"), F.col("_m").alias("b")))
-    return moved.where("a != b").distinct()
+def _larger(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours lead to the smallest node that it knows, itself included. moved: that isn't itself."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("_m", F.col("a")).alias("_m"))
+    ahead = edges.select(F.col("b").alias("_of"), "a").join(least, F.col("_of") == F.col("_a"))
+    return ahead.select("a", F.col("_m").alias("b"), (F.col("_m") != F.col("_of")).alias("moved"))
+
+
+def _smaller(edges: DataFrame) -> DataFrame:
+    """Each node and its neighbours, all smaller, lead to the smallest of them. moved: of a node, that an edge has changed; none has if all are stars."""
+    least = edges.groupBy("a").agg(F.min("b").alias("_m"), (F.max("moved") | (F.min("b") < F.max("b"))).alias("moved")).select(F.col("a").alias("_a"), "_m", "moved")
+    others = edges.select("a", "b").join(least, F.col("a") == F.col("_a")).where(F.col("b") != F.col("_m"))
+    led = others.select(F.col("b").alias("a"), F.col("_m").alias("b"), F.lit(True).alias("moved")).unionByName(least.select(F.col("_a").alias("a"), F.col("_m").alias("b"), "moved"))
+    return led.groupBy("a", "b").agg(F.max("moved").alias("moved"))

@@ -76,6 +76,24 @@ def brute_clusters(near, ids):
         low = new
 
 
+def test_neighbouring_cubes_meet_in_blocks(spark):
+    """Every two cubes that may have near points meet once, over the edges of blocks and of octants too, and a cube is dealt to two or so blocks, not to its 62 neighbours."""
+    side, maybe = clusters._chord(9_900) / math.sqrt(3), clusters._chord(10_100)
+    rng = random.Random(5)
+    dots = [(rng.uniform(-0.6, 0.6), rng.uniform(-0.6, 0.6)) for _ in range(500)] + [(89.9 + rng.random() / 10, rng.uniform(-180, 180)) for _ in range(60)]
+    rows = {}
+    for at, (lat, lon) in enumerate(dots):
+        flat = math.cos(math.radians(lat)) * geodesic.MEAN
+        where = (flat * math.cos(math.radians(lon)), flat * math.sin(math.radians(lon)), math.sin(math.radians(lat)) * geodesic.MEAN)
+        rows.setdefault(tuple(math.floor(v / side) for v in where), (at, "x", lat, lon, [(lat, lon)]))
+    gap = lambda a, b: side * math.sqrt(sum(max(abs(u - v) - 1, 0) ** 2 for u, v in zip(a, b, strict=True)))
+    want = sorted((rows[a][0], rows[b][0]) for a in rows for b in rows if a < b and gap(a, b) <= maybe)
+    nodes = spark.createDataFrame(list(rows.values()), "node long, name string, _lat double, _lon double, dots array<struct<lat: double, lon: double>>")
+    assert sorted((r.a, r.b) for r in clusters._beside(nodes, side, maybe).collect()) == want and want
+    wide = spark.range(40_000).selectExpr("struct(id % 200 - 100 AS c0, id div 200 - 100 AS c1, id % 37 - 18 AS c2) AS cube")
+    assert clusters._reached(wide).count() < 2 * wide.count()
+
+
 @pytest.mark.parametrize("pairs", [4096, 64])
 def test_clusters_against_brute_force(spark, monkeypatch, pairs):
     """Chains over cells' edges, the poles and the date line, crowds in a cell, and names kept apart; with cubes cut down or compared point by point."""
