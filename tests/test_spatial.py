@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import geodesic, simplify, spatial
 from placewright.operators import clusters, cover, gazetteer
+from placewright.queries import QUERIES
 from placewright.queries.spatial import LAND
 
 #: Points and published or computed lengths of the geodesic between them.
@@ -203,6 +204,17 @@ def test_places_near_inputs_are_not_broadcast(spark):
     assert _broadcasts(gazetteer.candidates_nearby(inputs.limit(1), places, few=True)) == 1
 
 
+@pytest.mark.parametrize("name", ["t08_score_order", "g02_distance", "j17_match_places"])
+def test_queries_of_near_places_send_none_of_them_to_all(spark, name):
+    assert _broadcasts(QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_five_metres_are_told_over_batches(spark):
+    """Not by a function of each row that Spark doesn't compile."""
+    plan = QUERIES["g04_within_5m"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
 def test_bands_are_told_as_by_the_exact_distance(spark):
     """Points about each limit of a band, where the sphere is wrong."""
     rows = [(i, 40.0, 3.0, 40.0 + limit * (0.985 + 0.0003 * k) / 111_000 * (k % 2), 3.0 + limit * (0.985 + 0.0003 * k) / 85_000 * ((k + 1) % 2)) for i, (limit, k) in enumerate((x, k) for x in (1, 10_000, 500_000) for k in range(100))]
