@@ -53,7 +53,8 @@ def clusters(points: DataFrame, radius: float = 10_000) -> DataFrame:
     side = sure / math.sqrt(3)
     rows = points.select("input_id", "name", "lat", "lon")
     placed = kept(rows.where("name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"), "placed").withColumn("cube", _cube(side))
-    node = placed.groupBy("name", "cube").agg(F.min("input_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    #: Written, so that both sides of the join come straight from a shuffle and a cube of very many points is split.
+    node = kept(placed.groupBy("name", "cube").agg(F.min("input_id").alias("node"), F.count(F.lit(1)).alias("n")), "cubes")
     tagged = kept(placed.join(node, ["name", "cube"]).select("input_id", "node", "n", "name", "lat", "lon"), "tagged")
     #: A cube of few points carries them along; of others, one tells where the cube is.
     spot, few = F.struct("lat", "lon"), F.col("n") <= math.isqrt(PAIRS)
