@@ -496,6 +496,28 @@ def test_topics_are_singular_vectors(spark):
     assert best == {i: int(np.argmax(np.round(bags[i] @ got, 9))) for i in range(90)}
 
 
+def test_topics_send_the_driver_less_than_a_vector(spark, monkeypatch):
+    """Vectors over terms or texts stay on the executors, and equal singular values all have theirs."""
+    import pickle
+
+    from pyspark import RDD
+
+    from placewright.operators import topics
+
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(f"w{200 * (i % 30) + j:05d}".translate(letters) for j in range(200)) for i in range(30)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(5)
+    sent, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: (sent.append(collect(rdd)), sent[-1])[1])
+    model = topics.build(df, 3)
+    assert model.weights.count() == 6000 and model.k == 3
+    assert 0 < max(len(pickle.dumps(s)) for s in sent) < 8 * 6000
+    got = np.array([r.w for r in model.weights.collect()])
+    assert np.allclose(got.T @ got, np.eye(3), atol=1e-8)
+    bags = {r.i: np.array(r.s) for r in df.select("i", F.explode(F.split("text", " ")).alias("term")).join(model.weights, "term").groupBy("i").agg(F.array(*[F.sum(F.col("w")[c]) for c in range(3)]).alias("s")).collect()}
+    assert np.allclose(sum(s * s for s in bags.values()), 2 * 200, rtol=1e-8)
+
+
 def test_names_are_counted_without_comparing_each_with_the_whole_text():
     """Counts and first sentences against a plain search; a long text of different words takes no time that grows with its square."""
     import random
