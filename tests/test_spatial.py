@@ -227,6 +227,23 @@ def test_bands_are_told_as_by_the_exact_distance(spark):
         assert all(r[f"t{x}"] == r[f"e{x}"] for x in limits), r
 
 
+def test_places_match_in_one_join_by_points(spark):
+    """Points that many places share, five metres either way, coordinates that are none: as by all pairs, in one join whose pairs don't grow with the places of a point."""
+    nan = float("nan")
+    spots = [(40.0, 3.0), (40.00004, 3.0), (40.00005, 3.0), (-90.0, 0.0), (-90.0, 90.0), (0.0, 180.0), (0.00001, -180.0), (nan, 3.0), (None, 3.0)]
+    places = [(i * len(spots) + k, "n", "c", lat, lon, (None, 1, 2, 3)[i % 4]) for i in range(40) for k, (lat, lon) in enumerate(spots)]
+    kinds = "name string, country_code string, lat double, lon double, admin_level int"
+    p, rows = (spark.createDataFrame(places, f"{c} long, {kinds}") for c in ("id", "input_id"))
+    found = gazetteer.match_places(rows, p)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "min(place_id" in plan[plan.index("SortMergeJoin") :]
+    pairs = rows.join(p.toDF(*[f"_{c}" for c in p.columns]), F.expr("name = _name AND country_code = _country_code"))
+    ends = [F.col(c) for c in ("lat", "lon", "_lat", "_lon")]
+    pairs = pairs.withColumn("d", F.explode(F.array(geodesic.short(*ends)))).withColumn("r", F.expr("CASE WHEN lat = _lat AND lon = _lon THEN 1 WHEN d < 5 THEN 3 END")).where("r IS NOT NULL")
+    best = pairs.groupBy("input_id").agg(F.expr("min_by(struct(_id, r), struct(r, -coalesce(cast(coalesce(admin_level, 3) = _admin_level AS int), 0), coalesce(d, double('inf')), _id)) AS m")).select("input_id", "m.*")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, best.collect())) and found.count() == 320
+
+
 def test_places_on_the_border_of_a_polygon_are_not_matched(spark):
     """A box of which places lie on each side, at a corner and, one of them, within."""
     places = spark.createDataFrame([(i, "n", "c", y, x, None, 1) for i, (x, y) in enumerate([(0.0, 5.0), (10.0, 5.0), (5.0, 0.0), (5.0, 10.0), (0.0, 0.0), (5.0, 5.0)])], "id long, name string, country_code string, lat double, lon double, population long, admin_level int")
