@@ -343,7 +343,7 @@ def points(place):
 def within_5m(place):
     """Points a metre further north at each step."""
     north = F.col("lat") + (F.col("id") % 10) * 0.000009
-    return place.where(geodesic.short(F.col("lat"), F.col("lon"), north, F.col("lon")) < 5).select("id", (F.col("id") % 10).alias("step"))
+    return place.where(geodesic.nearer(F.col("lat"), F.col("lon"), north, F.col("lon"), 5)).select("id", (F.col("id") % 10).alias("step"))
 
 
 @query("g07_reprojected", "v_place", sql="SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM v_place WHERE abs(lat) < 85")

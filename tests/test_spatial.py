@@ -215,6 +215,17 @@ def test_five_metres_are_told_over_batches(spark):
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
 
 
+def test_five_metres_are_told_of_near_points_alone(spark):
+    """What the sphere rules out is left out before points are sent to Python; about five metres the spheroid decides."""
+    plan = QUERIES["g04_within_5m"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ASIN" in plan[plan.index("ArrowEvalPython") :]
+    rows = [(i * 7 + k, float(lat), 4.9 + 0.02 * k) for i, lat in enumerate(range(-90, 91, 5)) for k in range(11)]
+    df = spark.createDataFrame(rows, "i long, lat double, metres double").withColumn("other", F.col("lat") + F.when(F.col("lat") < 0, 1).otherwise(-1) * F.col("metres") / 111_132)
+    ends = [F.col("lat"), F.lit(3.0), F.col("other"), F.lit(3.0)]
+    told = df.select(geodesic.nearer(*ends, 5).alias("told"), (geodesic.distance(*ends) < 5).alias("exact")).collect()
+    assert all(r.told == r.exact for r in told) and {r.told for r in told} == {True, False}
+
+
 def test_bands_are_told_as_by_the_exact_distance(spark):
     """Points about each limit of a band, where the sphere is wrong."""
     rows = [(i, 40.0, 3.0, 40.0 + limit * (0.985 + 0.0003 * k) / 111_000 * (k % 2), 3.0 + limit * (0.985 + 0.0003 * k) / 85_000 * ((k + 1) % 2)) for i, (limit, k) in enumerate((x, k) for x in (1, 10_000, 500_000) for k in range(100))]
