@@ -262,3 +262,45 @@ def test_places_on_the_border_of_a_polygon_are_not_matched(spark):
     box = lambda top: rows.withColumn("mpoly", spatial.box_polygon(F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(top)))
     assert [(r.place_id, r.match_rank) for r in gazetteer.match_places(box(10.0), places).collect()] == [(5, 2)]
     assert gazetteer.match_places(box(10.0), places.where("id < 5")).count() == 0
+
+
+def test_polygons_of_few_edges_are_covered_without_python(spark):
+    """Boxes of rows lie whole in their cells; other shapes of few edges, with gaps, holes and numbers that are none in them, hold what all their edges say. Those of many edges are dealt over tasks."""
+    ring = lambda *points: [dict(zip("xy", p, strict=True)) for p in points]
+    nan = float("nan")
+    shapes = [
+        [[ring((0.0, 0.0), (50.0, 0.0), (50.0, 40.0), (0.0, 40.0), (0.0, 0.0))]],
+        [[ring((0.0, 0.0), (0.0, 40.0), (50.0, 40.0), (50.0, 0.0), (0.0, 0.0))]],
+        [[ring((0.0, 0.0), (50.0, 40.0), (50.0, 0.0), (0.0, 40.0), (0.0, 0.0))]],
+        [[ring((0.0, 0.0), (50.0, 5.0), (20.0, 40.0), (0.0, 0.0)), ring((10.0, 8.0), (22.0, 10.0), (19.0, 20.0), (10.0, 8.0))]],
+        [[ring((0.0, 0.0), (nan, 0.0), (50.0, 40.0), (0.0, 40.0), (0.0, 0.0), (7.0, 39.0))]],
+        [[ring((3.0, 3.0))], [ring((nan, 1.0), (2.0, nan))]],
+    ]
+    kind = "pid int, mpoly array<array<array<struct<x:double,y:double>>>>"
+    closed = spark.createDataFrame(list(enumerate(shapes)), kind)
+    points = spark.createDataFrame([(i, x * 1.25 - 3, y * 1.25 - 3) for i, (x, y) in enumerate((x, y) for x in range(45) for y in range(37))], "id int, lon double, lat double")
+    boxed = closed.select("pid", "mpoly", F.lit(0.0).alias("west"), F.lit(50.0).alias("east"), F.lit(0.0).alias("south"), F.lit(40.0).alias("north"))
+    narrow = closed.withColumns({c: F.lit(v) for c, v in (("west", 1.0), ("east", 30.5), ("south", -9.0), ("north", 38.0))})
+    for polygons in (closed, boxed, narrow):
+        within = spatial.within_box(*[F.col(c) for c in ("lon", "lat", "west", "east", "south", "north")]) if "west" in polygons.columns else F.lit(True)
+        want = sorted((r.id, r.pid) for r in points.crossJoin(polygons).where(within & spatial.contains(F.col("mpoly"), F.col("lon"), F.col("lat"))).where("pid < 4").collect())
+        for few in (0, 20_000):
+            assert sorted((r.id, r.pid) for r in cover.inside(points, polygons, broadcast=few).where("pid < 4").collect()) == want and want
+    cells = cover.cover(boxed).collect()
+    assert {r.pid for r in cells if r._cell_whole} == {0, 1} and not any(r._cell_ax for r in cells if r._cell_whole) and 5 not in {r.pid for r in cells}
+    null = spark.createDataFrame([(1, None, 0.0, 50.0, 0.0, 40.0), (2, None, 9.0, 4.0, 0.0, 40.0), (3, None, 0.0, None, 0.0, 40.0)], kind + ", west double, east double, south double, north double")
+    assert {r.pid for r in cover.inside(points, null).collect()} == {1}
+    many = spark.range(0, 40, 1, 1).select("id", spatial.box_polygon(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0)).alias("mpoly")).withColumn("mpoly", F.array(F.flatten(F.array_repeat(F.get("mpoly", F.lit(0)), 5))))
+    assert cover.cover(many).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_the_nearest_place_in_a_polygon_is_taken(spark):
+    """As by all pairs: of the level if there is one, then by the distance along the spheroid, then by id; also for inputs without a point."""
+    places = spark.sql("SELECT id, 'n' AS name, 'c' AS country_code, double(id * 37 % 170 - 85) AS lat, double(id * 53 % 360 - 180) AS lon, int(nullif(id % 6, 5)) AS admin_level FROM range(900)")
+    rows = places.where("id % 9 = 0").selectExpr("id AS input_id", "name", "country_code", "CASE WHEN id % 27 = 0 THEN null WHEN id % 18 = 0 THEN lat + 0.5 ELSE lat + 3 END AS lat", "lon", "int(CASE WHEN id % 63 = 0 THEN 9 ELSE admin_level END) AS admin_level", "lon - 8 AS w", "lon + 7 AS e", "lat - 9 AS s", "lat + 6 AS n")
+    inputs = rows.withColumn("mpoly", spatial.box_polygon(*[F.col(c) for c in "wesn"]))
+    pairs = rows.join(places.toDF(*[f"_{c}" for c in places.columns]), F.expr("_lon > w AND _lon < e AND _lat > s AND _lat < n"))
+    pairs = pairs.withColumn("d", F.explode(F.array(F.coalesce(geodesic.distance(*[F.col(c) for c in ("lat", "lon", "_lat", "_lon")]), F.lit(float("inf"))))))
+    best = pairs.groupBy("input_id").agg(F.expr("min_by(_id, struct(-coalesce(int(coalesce(admin_level, 3) = _admin_level), 0), d, _id))").alias("place_id")).collect()
+    found = {r.input_id: r.place_id for r in gazetteer.match_places(inputs.drop(*"wesn"), places).where("match_rank = 2").collect()}
+    assert found == {r.input_id: r.place_id for r in best} and len(found) > 90
