@@ -538,3 +538,39 @@ def test_names_are_counted_without_comparing_each_with_the_whole_text():
     began = time.process_time()
     assert {c for c, _ in E.counted_names(" ".join(words), words)} == {1}
     assert time.process_time() - began < 0.5
+
+
+def test_a_part_of_bags_takes_few_bytes_an_entry(monkeypatch):
+    """A part is made, and multiplied, without arrays of longer numbers beside its entries; bags of any length, empty ones too, come out as by plain sums."""
+    import tracemalloc
+
+    import numpy as np
+
+    from placewright.operators import lanczos
+
+    monkeypatch.setattr(lanczos, "AT_ONCE", 10_000, raising=False)
+    rng = np.random.default_rng(5)
+    parts, sent, plain = 7, [], []
+    for batch in range(50):
+        lengths = rng.integers(0, 60, 400).astype("int32")
+        lengths[[0, 399]] = 0, 25_000 * (batch == 3)
+        at, n = rng.integers(0, 900, lengths.sum()).astype("int32"), rng.integers(1, 9, lengths.sum()).astype("int32")
+        plain.append((lengths, at, n))
+        sent.append((3, (0, batch, lengths.tobytes(), at.tobytes(), n.tobytes())))
+    lengths, at, n = (np.concatenate(c) for c in zip(*plain, strict=True))
+    tracemalloc.start()
+    ((p, (_, part)),) = lanczos._part(parts)(reversed(sent))
+    made = tracemalloc.get_traced_memory()[1]
+    x = rng.uniform(-1, 1, len(lengths))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    sums = part.by_term(x)
+    back = part.by_bag(sums)
+    used = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert p == 3 and made < 30 * len(at) and used < 4 * len(at), (made / len(at), used / len(at))
+    bag = np.repeat(np.arange(len(lengths)), lengths)
+    want = np.bincount(at, weights=n * x[bag], minlength=900)
+    assert np.allclose(sums, want[part.names]) and sorted(part.names.tolist()) == np.unique(at).tolist()
+    assert np.allclose(back, np.bincount(bag, weights=n * want[at], minlength=len(lengths)))
+    assert all((part.names[part.bounds[t] : part.bounds[t + 1]] % parts == t).all() for t in range(parts)) and part.bounds[-1] == len(part.names)
