@@ -268,9 +268,8 @@ def unordered(place):
 def score_order(place):
     """Candidates of each place by their score."""
     inputs = place.select(F.col("id").alias("input_id"), "name", "lat", "lon", "population")
-    scored = G.candidates_nearby(inputs, place, 1_000_000, WIDE, "osm", exact=False)
-    order = Window.partitionBy("input_id").orderBy(F.desc("score"), "place_id")
-    return scored.select(F.col("input_id").alias("a"), F.col("place_id").alias("b"), F.col("score").cast("int").alias("score"), F.row_number().over(order).cast("long").alias("place"))
+    ranked = G.ranked_nearby(inputs, place, 1_000_000, WIDE)
+    return ranked.select(F.col("input_id").alias("a"), F.col("place_id").alias("b"), "score", "place")
 
 
 @query("t10_columns", "v_place", sql="""WITH u AS (SELECT unnest(['id', 'name']) AS f, unnest([count(DISTINCT id), count(DISTINCT name)]) AS n FROM v_place), m AS (SELECT unnest(['importance', 'admin_level']) AS f, unnest([median(importance), median(admin_level)]) AS n FROM v_place)

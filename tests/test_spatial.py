@@ -304,3 +304,22 @@ def test_the_nearest_place_in_a_polygon_is_taken(spark):
     best = pairs.groupBy("input_id").agg(F.expr("min_by(_id, struct(-coalesce(int(coalesce(admin_level, 3) = _admin_level), 0), d, _id))").alias("place_id")).collect()
     found = {r.input_id: r.place_id for r in gazetteer.match_places(inputs.drop(*"wesn"), places).where("match_rank = 2").collect()}
     assert found == {r.input_id: r.place_id for r in best} and len(found) > 90
+
+
+def test_pairs_in_order_of_score_are_not_shuffled(spark, monkeypatch):
+    """What is sent grows with the places: after the join there is no exchange. Cubes of many pairs, and ids that repeat, give the same order."""
+    plan = QUERIES["t08_score_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")] and "Window" in plan
+    places = _places(spark).withColumn("lat", F.col("lat") + F.when(F.col("id") % 3 == 0, 0.00001).otherwise(0.0)).withColumn("lat", F.when(F.col("id") % 40 == 7, None).otherwise(F.col("lat")))
+    inputs = places.withColumnRenamed("id", "input_id")
+    bands = ((1, 10000), (10, 1000), (200_000, 10), (700_000, 1))
+    rank = lambda df: sorted(map(tuple, df.selectExpr("input_id", "place_id", "int(score)", "row_number() OVER (PARTITION BY input_id ORDER BY score DESC, place_id)").collect()))
+    want = rank(gazetteer.candidates_nearby(inputs, places, 700_000, bands, "osm"))
+    for most in (16_000_000, 50):
+        monkeypatch.setattr(gazetteer, "PAIRS", most)
+        monkeypatch.setattr(gazetteer, "MOST_TASKS", 8)
+        assert sorted(map(tuple, gazetteer.ranked_nearby(inputs, places, 700_000, bands).collect())) == want and want
+    twice = inputs.withColumn("input_id", F.col("input_id").bitwiseAND(~1))
+    found = gazetteer.ranked_nearby(twice, places, 700_000, bands).collect()
+    both = gazetteer.candidates_nearby(twice, places, 700_000, bands, "osm").groupBy("input_id").count().collect()
+    assert all(sorted(r.place for r in found if r.input_id == b.input_id) == list(range(1, b["count"] + 1)) for b in both[:20])
